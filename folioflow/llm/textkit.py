@@ -74,23 +74,32 @@ def codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def _hash_piece(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and starts (in code points) of the words in ``text``."""
-    low, _ = _tables()
-    c = codes(text)
-    lc = low[np.minimum(c, _LIMIT - 1)]
-    if (far := c >= _LIMIT).any():
-        lc = np.where(far, c, lc)
-    edge = np.flatnonzero(np.diff((lc != 0).view(np.int8), prepend=0, append=0))
-    start, end = edge[0::2], edge[1::2]
-    n = len(c)
-    size = 1 << max(12, int(n).bit_length())
-    power, inverse = _powers(size)
+def _runs(word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    edge = np.flatnonzero(np.diff(word.view(np.int8), prepend=0, append=0))
+    return edge[0::2], edge[1::2]
+
+
+def _run_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the values in each [start, end); values are not 0 inside and 0 outside of these runs."""
+    n = len(values)
+    power, inverse = _powers(1 << max(12, int(n).bit_length()))
     acc = np.empty(n + 1, np.uint64)
     acc[0] = 0
-    np.cumsum(lc * inverse[:n], out=acc[1:])
-    h = (acc[end] - acc[start]) * power[np.maximum(end - 1, 0)]
-    return mix(h + (end - start).astype(np.uint64)), start
+    np.cumsum(values * inverse[:n], out=acc[1:])
+    return mix((acc[end] - acc[start]) * power[np.maximum(end - 1, 0)] + (end - start).astype(np.uint64))
+
+
+def _lowered(c: np.ndarray) -> np.ndarray:
+    low, _ = _tables()
+    lc = low[np.minimum(c, _LIMIT - 1)]
+    return np.where(far, c, lc) if (far := c >= _LIMIT).any() else lc
+
+
+def _hash_piece(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and starts (in code points) of the words in ``text``."""
+    lc = _lowered(codes(text))
+    start, end = _runs(lc != 0)
+    return _run_hashes(lc, start, end), start
 
 
 def _pieces(texts: list[str]):
@@ -132,6 +141,63 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)), np.cumsum(counts)
 
 
+def units(texts: list[str | None], breaks: str = "\n.!?") -> dict[str, np.ndarray]:
+    """The units of the texts: the words between two characters of ``breaks``, line ends first among them.
+
+    Arrays with one entry a unit: ``text`` (index), ``start`` and ``stop`` in code points (from the first word to the
+    first word of the next unit, or the end of the text), ``words``, and ``a`` and ``b``, two 64-bit digests of the
+    sequence of lower-cased words. A unit without words does not count.
+    """
+    at, starts, ends, hashes, cuts = [], [], [], [], []
+    marks = np.array([ord(x) for x in breaks], np.uint32)
+    offset = np.zeros(len(texts), np.int64)
+    for group in _pieces(texts):
+        joined = "\n".join(p for _, p in group)
+        c = codes(joined)
+        lc = _lowered(c)
+        start, end = _runs(lc != 0)
+        bounds = np.cumsum([0] + [len(p) + 1 for _, p in group])
+        per = np.diff(np.searchsorted(start, bounds))
+        index = np.array([i for i, _ in group])
+        mark = np.zeros(len(c), bool)
+        for m in marks:
+            mark |= c == m
+        count = np.cumsum(mark, dtype=np.int64)
+        for k, (i, p) in enumerate(group):  # pieces of one text follow each other
+            bounds[k] -= offset[i]
+            offset[i] += len(p)
+        shift = np.repeat(bounds[: len(group)], per)
+        hashes.append(_run_hashes(lc, start, end))
+        at.append(np.repeat(index, per))
+        starts.append(start - shift)
+        ends.append(end - shift)
+        gap = np.zeros(len(start), bool)
+        if len(start):
+            before = np.concatenate([[0], end[:-1]])
+            gap = np.where(start > 0, count[np.maximum(start - 1, 0)], 0) > np.where(before > 0, count[np.maximum(before - 1, 0)], 0)
+            if len(group) == 1 and group[0][1] is not texts[group[0][0]] and offset[group[0][0]] > len(group[0][1]):
+                head = texts[group[0][0]][: int(offset[group[0][0]] - len(group[0][1]))].rstrip()
+                tail = re.search(r"[\W_]*\Z", head + joined[: int(start[0])])
+                gap[0] = any(x in breaks for x in tail.group() + texts[group[0][0]][len(head) : int(starts[-1][0])])
+        cuts.append(gap)
+    empty = np.zeros(0, np.int64)
+    if not hashes or not sum(map(len, hashes)):
+        return {k: empty.astype(np.uint64) if k in "ab" else empty for k in ("text", "start", "stop", "words", "a", "b")}
+    h, at, start, end, cut = map(np.concatenate, (hashes, at, starts, ends, cuts))
+    new = cut | np.concatenate([[True], at[1:] != at[:-1]])
+    first = np.flatnonzero(new)
+    n = np.diff(np.append(first, len(h)))
+    place = np.arange(len(h)) - np.repeat(first, n)
+    power, _ = _powers(1 << max(12, int(len(h)).bit_length()))
+    both = []
+    for salt in (0x243F6A8885A308D3, 0x13198A2E03707344):
+        both.append(mix(np.add.reduceat(mix(h ^ np.uint64(salt)) * power[place], first) + n.astype(np.uint64)))
+    text = at[first]
+    length = np.array([len(t) if t else 0 for t in texts], np.int64)
+    stop = np.where(np.append(text[1:], -1) == text, np.append(start[first][1:], 0), length[text])
+    return {"text": text, "start": start[first], "stop": stop, "words": n, "a": both[0], "b": both[1]}
+
+
 def bigrams(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the pairs of successive words inside each text, and where each text begins among them."""
     n = np.diff(bounds)
