@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, packing, quality_classifier, quality_rules, simhash
+from . import line_dedup, packing, pii, quality_classifier, quality_rules, simhash
 from .textkit import read_table
 
 
@@ -18,6 +18,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.removed(read_table(spark, sf_dir, "documents"))
 
 
+def op5_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(read_table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -30,6 +34,6 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_simhash_near_dedup, op4_substring_dedup, op6_quality_rules, op8_best_fit_packing, op10_quality_classifier)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_simhash_near_dedup, op4_substring_dedup, op5_private_data, op6_quality_rules, op8_best_fit_packing, op10_quality_classifier)}
 
 ORACLE_SQL: dict[str, str] = {"op4_substring_dedup": line_dedup.ORACLE_SQL}
