@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import line_dedup, packing, pii, quality_classifier, quality_rules, simhash
+from . import line_dedup, packing, pii, quality_classifier, quality_rules, simhash, tiff
 from .textkit import read_table
 
 
@@ -30,10 +31,17 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
 
+def op9_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page of a picture of every embedding."""
+    pages = tiff.pages(tiff.rendered(read_table(spark, sf_dir, "embeddings")), "id", "content")
+    size, total = F.octet_length("pixels").alias("n_bytes"), F.round("pixel_sum", 4).alias("pixel_sum")
+    return pages.select(F.col("id").alias("vec_id"), "page", "width", "height", "bits", "compression", "predictor", "tiled", size, total, "error")
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_simhash_near_dedup, op4_substring_dedup, op5_private_data, op6_quality_rules, op8_best_fit_packing, op10_quality_classifier)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_simhash_near_dedup, op4_substring_dedup, op5_private_data, op6_quality_rules, op8_best_fit_packing, op9_tiff_pages, op10_quality_classifier)}
 
-ORACLE_SQL: dict[str, str] = {"op4_substring_dedup": line_dedup.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_substring_dedup": line_dedup.ORACLE_SQL, "op9_tiff_pages": tiff.ORACLE_SQL}
