@@ -19,6 +19,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +36,7 @@ def unit_table(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """(a, b, doc_id, start, stop, n_words) of every unit long enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
+        for x in K.slices(batches):
             u = K.units(K.column(x, "text"))
             k = np.flatnonzero(u["words"] >= p.min_words)
             yield pa.RecordBatch.from_arrays(
@@ -60,7 +61,7 @@ def removed(docs: DataFrame, p: Params = Params()) -> DataFrame:
 
 def cut_spans(text: str, starts: list[int], stops: list[int]) -> str:
     out, at = [], 0
-    for a, b in sorted(zip(starts, stops)):
+    for a, b in sorted(zip(map(int, starts), map(int, stops))):
         if a > at:
             out.append(text[at:a])
         at = max(at, b)
@@ -75,8 +76,8 @@ def clean(docs: DataFrame, p: Params = Params()) -> DataFrame:
     joined = docs.select(F.struct(*(F.col(f"`{c}`") for c in cols)).alias("__row"), F.col("doc_id").cast("bigint").alias("__id")).join(spans, "__id", "left")
 
     @F.pandas_udf("string")
-    def cut(text, starts, stops):
-        return text.combine(list(zip(starts, stops)), lambda t, s: cut_spans(t, s[0], s[1]))
+    def cut(text: pd.Series, starts: pd.Series, stops: pd.Series) -> pd.Series:
+        return pd.Series([cut_spans(*x) for x in zip(text, starts, stops)], dtype=object)
 
     changed = joined.where("__spans is not null").withColumn("__text", cut("__row.text", F.col("__spans.start"), F.col("__spans.stop")))
     same = joined.where("__spans is null").withColumn("__text", F.col("__row.text"))

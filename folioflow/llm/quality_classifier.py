@@ -163,7 +163,7 @@ def score(docs: DataFrame, w: np.ndarray, p: Params = Params()) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
-        for b in batches:
+        for b in K.slices(batches):
             s, n = score_texts(K.column(b, "text"), w, p.bits)
             s = np.round(s, 6)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(s), pa.array(s >= p.threshold)], ["doc_id", "n_tokens", "score", "keep"])
@@ -181,7 +181,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataF
     i = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in K.slices(batches, i):
             s, _ = score_texts(b.column(i).to_pylist(), w.value, p.bits)
             yield b.filter(pa.array(np.round(s, 6) >= p.threshold))
 

@@ -11,9 +11,11 @@ import functools
 import re
 import unicodedata
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -217,6 +219,18 @@ def segment_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return acc[bounds[1:]] - acc[bounds[:-1]]
 
 
+def slices(batches: Iterator[pa.RecordBatch], text: str | int = "text", size: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most about ``size`` bytes of text (one text at least), to bound working memory."""
+    for b in batches:
+        i = text if isinstance(text, int) else b.schema.get_field_index(text)
+        acc = np.cumsum(pc.fill_null(pc.binary_length(b.column(i)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < b.num_rows:
+            end = max(at + 1, int(np.searchsorted(acc, (acc[at - 1] if at else 0) + size, side="right")))
+            yield b.slice(at, end - at)
+            at = end
+
+
 def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
