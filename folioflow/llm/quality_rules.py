@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +31,7 @@ class Params:
     smoothing: float = 1.0
     threshold: float = -0.1
     trusted: int = 1
+    max_ids: int = 4_000_000  # of 8 bytes each, sent to every task
 
 
 def grams(texts: list[str | None], bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,13 +74,22 @@ def log_ratio(target: np.ndarray, raw: np.ndarray, smoothing: float) -> np.ndarr
 
 def counts(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> tuple[np.ndarray, np.ndarray]:
     """Bucket counts over the trusted documents and over all. Each task sums its own; 2**bits numbers reach the driver."""
-    good = labels.where((F.col("quality") == p.trusted) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct().withColumn("good", F.lit(True))
-    marked = K.narrow(docs).join(good, "doc_id", "left")
+    good = labels.where((F.col("quality") == p.trusted) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct()
+    few = np.sort(good.limit(p.max_ids + 1).toArrow()["doc_id"].to_numpy())
+    if len(few) <= p.max_ids:  # else the ids are too many to send to every task, and the labels are joined to the texts
+        marked, ids = K.narrow(docs), docs.sparkSession.sparkContext.broadcast(few)
+    else:
+        marked, ids = K.narrow(docs).join(good.withColumn("good", F.lit(True)), "doc_id", "left"), None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, 1 << p.bits), np.int64)
-        for b in batches:
-            good = np.array([x is True for x in K.column(b, "good")], bool)
+        for b in K.slices(batches):
+            if ids is None:
+                good = np.array([x is True for x in K.column(b, "good")], bool)
+            else:
+                own = pc.fill_null(b.column(0), -1).to_numpy(zero_copy_only=False)
+                place = np.minimum(np.searchsorted(ids.value, own), max(0, len(ids.value) - 1))
+                good = (ids.value[place] == own) & pc.is_valid(b.column(0)).to_numpy(zero_copy_only=False) if len(ids.value) else np.zeros(len(own), bool)
             g, bounds = grams(K.column(b, "text"), p.bits)
             total[1] += np.bincount(g, minlength=1 << p.bits)
             total[0] += np.bincount(g[np.repeat(good, np.diff(bounds))], minlength=1 << p.bits)
@@ -103,7 +114,7 @@ def rate(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(log_ratio(*counts(docs, labels, p), p.smoothing))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in K.slices(batches):
             s, n = score_texts(K.column(b, "text"), shared.value, p.bits)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(s), pa.array(s >= p.threshold)], ["doc_id", "n_grams", "score", "keep"])
 

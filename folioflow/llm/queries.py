@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, packing, pii, quality_classifier, quality_rules, simhash, tiff
+from . import line_dedup, packing, pii, quality_classifier, quality_rules, sentence_pieces, simhash, tiff
 from .textkit import read_table
 
 
@@ -27,6 +27,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op7_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.encode(read_table(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
@@ -42,6 +46,6 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_simhash_near_dedup, op4_substring_dedup, op5_private_data, op6_quality_rules, op8_best_fit_packing, op9_tiff_pages, op10_quality_classifier)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_simhash_near_dedup, op4_substring_dedup, op5_private_data, op6_quality_rules, op7_sentence_pieces, op8_best_fit_packing, op9_tiff_pages, op10_quality_classifier)}
 
 ORACLE_SQL: dict[str, str] = {"op4_substring_dedup": line_dedup.ORACLE_SQL, "op9_tiff_pages": tiff.ORACLE_SQL}
