@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, packing, pii, quality_classifier, quality_rules, sentence_pieces, simhash, tiff, token_blocks
+from . import line_dedup, packing, pii, quality_classifier, quality_rules, sentence_pieces, simhash, suffix_dedup, tiff, token_blocks
 from .textkit import read_table
 
 
@@ -15,6 +15,10 @@ def op1_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_blocks.to_blocks(read_table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.spans(read_table(spark, sf_dir, "documents"))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(read_table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,6 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_blocks, op3_simhash_near_dedup, op4_substring_dedup, op5_private_data, op6_quality_rules, op7_sentence_pieces, op8_best_fit_packing, op9_tiff_pages, op10_quality_classifier)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_blocks, op2_suffix_dedup, op3_simhash_near_dedup, op4_substring_dedup, op5_private_data, op6_quality_rules, op7_sentence_pieces, op8_best_fit_packing, op9_tiff_pages, op10_quality_classifier)}
 
-ORACLE_SQL: dict[str, str] = {"op4_substring_dedup": line_dedup.ORACLE_SQL, "op9_tiff_pages": tiff.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_suffix_dedup": suffix_dedup.ORACLE_SQL, "op4_substring_dedup": line_dedup.ORACLE_SQL, "op9_tiff_pages": tiff.ORACLE_SQL}

@@ -25,15 +25,20 @@ _LIMIT = 0x20000
 _GAP = re.compile(r"[\W_]", re.UNICODE)
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` into the folder that the session names in spark.checkpoint.dir.
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir, set for use.
 
     Only where that setting is absent (tests, a laptop) a folder of our own is set.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/folioflow-checkpoint/{uuid.uuid4().hex}")
+    return sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df`` into the shared folder."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
 
