@@ -1,0 +1,179 @@
+"""Segmenters and chunkers: (doc_id, text) -> (doc_id, chunk_id, content). One row a document goes in; nothing shuffles."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import kernels as K
+from ..functions import patterns as P
+from ..functions import text as X
+
+
+def fold(kernel: Callable, result: str, *args) -> Callable[..., Column]:
+    """A kernel over whole columns as an Arrow-batched UDF; nulls stay null."""
+
+    def run(*cols: pd.Series) -> pd.Series:
+        return pd.Series([None if any(v is None for v in row) else kernel(*(v.tolist() if hasattr(v, "tolist") else v for v in row), *args) for row in zip(*cols)], dtype=object)
+
+    def one(a: pd.Series) -> pd.Series:
+        return run(a)
+
+    def two(a: pd.Series, b: pd.Series) -> pd.Series:
+        return run(a, b)
+
+    one.__annotations__ = {"a": pd.Series, "return": pd.Series}
+    two.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.Series}
+    return lambda *cols: F.pandas_udf(one if len(cols) == 1 else two, result)(*cols)
+
+
+def exploded(docs: DataFrame, chunks: Column, id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, chunk_id from 1, content)"""
+    return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(chunks).alias("p", "content")).select("doc_id", (F.col("p") + 1).alias("chunk_id"), "content")
+
+
+def _positive(limit: int, overlap: int = 0) -> None:
+    if limit <= 0 or overlap < 0:
+        raise ValueError("max_tokens must be positive and overlap not negative")
+
+
+def sentence_rows(docs: DataFrame) -> DataFrame:
+    return exploded(docs, X.sentences(F.col("text")))
+
+
+def pack_sentences(docs: DataFrame, limit: int = 500, overlap: int = 50) -> DataFrame:
+    """Sentence-priority packing: chunks of whole sentences with a sentence overlap."""
+    _positive(limit, overlap)
+    return exploded(docs, fold(K.pack_sentences, "array<string>", limit, overlap)(F.col("text")))
+
+
+def pack_natively(docs: DataFrame, limit: int = 500) -> DataFrame:
+    """The same packing without overlap as a Catalyst fold over sentence lengths; for plans that must not leave the JVM."""
+    _positive(limit)
+    sents = docs.select("doc_id", X.sentences(F.col("text")).alias("s"))
+    state = F.struct(F.array().cast("array<struct<a:int,b:int>>").alias("out"), F.lit(1).alias("first"), F.lit(0).alias("size"))
+
+    def step(acc: Column, i: Column) -> Column:
+        n = F.length(F.element_at("s", i))
+        full = (acc["first"] < i) & (acc["size"] + n > limit)
+        out = F.when(full, F.array_append(acc["out"], F.struct(acc["first"].alias("a"), (i - 1).alias("b")))).otherwise(acc["out"])
+        first, size = F.when(full, i).otherwise(acc["first"]), F.when(full, n).otherwise(acc["size"] + n)
+        alone = (first == i) & (2 * size > 3 * limit)
+        return F.struct(
+            F.when(alone, F.array_append(out, F.struct(i.alias("a"), i.alias("b")))).otherwise(out).alias("out"),
+            F.when(alone, i + 1).otherwise(first).alias("first"),
+            F.when(alone, 0).otherwise(size).alias("size"),
+        )
+
+    n = F.size("s")
+    places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    folded = sents.withColumn("st", F.aggregate(places, state, step))
+    last = F.struct(F.col("st.first").alias("a"), n.alias("b"))
+    bounds = F.when(F.col("st.first") <= n, F.array_append("st.out", last)).otherwise(F.col("st.out"))
+    return exploded(folded, F.transform(bounds, lambda b: F.array_join(F.slice("s", b["a"], b["b"] - b["a"] + 1), " ")))
+
+
+def natural_breaks(docs: DataFrame, limit: int = 2000) -> DataFrame:
+    _positive(limit)
+    return exploded(docs, fold(K.natural_breaks, "array<string>", limit)(F.col("text")))
+
+
+def windows(docs: DataFrame, limit: int, overlap: int = 0) -> DataFrame:
+    """Windows of ``limit`` characters; overlap 0 is the forced split. An overlap of limit is an error, more gives none."""
+    _positive(limit, overlap)
+    step = limit - overlap
+    if step == 0:
+        raise ValueError("overlap must be below max_tokens")
+    if step < 0:
+        return exploded(docs.where("false"), F.array(F.col("text")))
+    n = F.length("text")
+    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(step)))
+    return exploded(docs, F.transform(starts, lambda s: F.substring(F.col("text"), s + 1, F.lit(limit))))
+
+
+def slide(docs: DataFrame, limit: int = 2000, overlap: int = 200, by_sentence: bool = True) -> DataFrame:
+    """The dispatcher: texts within the limit stay whole, structured ones are cut at list marks, others by sentences or windows."""
+    _positive(limit, overlap)
+    return exploded(docs, fold(K.slide, "array<string>", limit, overlap, by_sentence)(F.col("text")))
+
+
+def marker_sections(docs: DataFrame) -> DataFrame:
+    return exploded(docs, fold(K.marker_sections, "array<string>")(F.col("text")))
+
+
+def pack_structure(docs: DataFrame, limit: int = 2000, overlap: int = 200) -> DataFrame:
+    _positive(limit, overlap)
+    return exploded(docs, fold(K.pack_structure, "array<string>", limit, overlap)(F.col("text")))
+
+
+_CURSOR = "array<struct<start_pos:int,end_pos:int,content:string>>"
+
+
+def simple_chunks(docs: DataFrame, limit: int = 800, ratio: float = 0.1, drop_contained: bool = False) -> DataFrame:
+    """Sentence-complete cursor chunks: (doc_id, chunk_id, total_chunks, start_pos, end_pos, length, content)."""
+    _positive(limit)
+    kernel = lambda t: [{"start_pos": a, "end_pos": b, "content": c} for a, b, c in K.cursor(t, limit, ratio, drop_contained)]
+    chunks = docs.select("doc_id", fold(kernel, _CURSOR)(F.col("text")).alias("c"))
+    rows = chunks.select("doc_id", F.size("c").alias("total_chunks"), F.posexplode("c").alias("p", "x"))
+    return rows.select("doc_id", (F.col("p") + 1).alias("chunk_id"), "total_chunks", "x.start_pos", "x.end_pos", F.length("x.content").alias("length"), "x.content")
+
+
+def strict_sizes(chunks: DataFrame, limit: int, overlap: int = 0) -> DataFrame:
+    """Chunks over the limit are split by sentences; a longer single sentence stays. Order and numbering follow."""
+    _positive(limit, overlap)
+    parts = F.when(F.length("content") <= limit, F.array("content")).otherwise(fold(K.split_oversized, "array<string>", limit, overlap)(F.col("content")))
+    w = F.row_number().over(_by_doc("chunk_id", "p"))
+    return chunks.select("doc_id", "chunk_id", F.posexplode(parts).alias("p", "content")).select("doc_id", w.alias("chunk_id"), "content")
+
+
+def _by_doc(*order: str):
+    return Window.partitionBy("doc_id").orderBy(*order)
+
+
+def repair_articles(chunks: DataFrame) -> DataFrame:
+    """Joins truncated articles with the next chunk, per document."""
+    ordered = chunks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_id", "content"))).alias("c"))
+    return exploded(ordered, fold(K.repair, "array<string>")(F.col("c.content")))
+
+
+def section_parts(sections: DataFrame, limit: int, overlap: int, style: str) -> DataFrame:
+    """Size control of sections (doc_id, seq, heading, content, level): oversize content becomes parts.
+
+    style: ``sibling`` numbers parts after the first, ``child`` gives an emptied section children one level down.
+    """
+    _positive(limit, overlap)
+    big = F.length("content") > limit
+    parts = F.when(big, fold(K.slide, "array<string>", limit, overlap, True)(F.col("content")))
+    rows = sections.withColumn("parts", parts)
+    whole = rows.where(F.col("parts").isNull()).select("doc_id", "seq", F.lit(0).alias("part"), "heading", "content", "level")
+    cut = rows.where(F.col("parts").isNotNull())
+    each = cut.select("doc_id", "seq", "heading", "level", F.posexplode("parts").alias("p", "content"))
+    name = F.concat(F.col("heading"), F.format_string(" (Part %d)", F.col("p") + 1))
+    if style == "sibling":
+        out = each.select("doc_id", "seq", F.col("p").alias("part"), F.when(F.col("p") > 0, name).otherwise(F.col("heading")).alias("heading"), "content", "level")
+        return whole.unionByName(out)
+    named = F.when(F.col("heading") != "", name).otherwise(F.format_string("Part %d", F.col("p") + 1))
+    out = each.select("doc_id", "seq", (F.col("p") + 1).alias("part"), named.alias("heading"), "content", (F.col("level") + 1).alias("level"))
+    return whole.unionByName(out).unionByName(cut.select("doc_id", "seq", F.lit(0).alias("part"), "heading", F.lit("").alias("content"), "level"))
+
+
+def legal_sections(docs: DataFrame) -> DataFrame:
+    """(doc_id, seq, heading, type, level, content, start_pos, end_pos): from every structure mark to the next."""
+    pattern = P.any_legal()
+    rows = docs.select("doc_id", F.posexplode(X.mark_split(F.col("text"), pattern)).alias("seq", "piece"))
+    end = F.sum(F.length("piece")).over(_by_doc("seq").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    placed = rows.withColumn("end_pos", end).where("seq > 0").withColumn("heading", F.regexp_extract("piece", f"^(?:{pattern})", 0))
+    level = X._plain_level(F.col("heading"))
+    return placed.select("doc_id", "seq", "heading", X.legal_type(F.col("heading")).alias("type"), level.alias("level"), X.strip(F.col("piece")).alias("content"), (F.col("end_pos") - F.length("piece")).alias("start_pos"), "end_pos")
+
+
+def articles(docs: DataFrame, method: str = "simple") -> DataFrame:
+    """Article chunks: ``simple`` at each article mark, ``advanced`` with close chapters, ``chapter`` with chapter marks alone."""
+    if method == "simple":
+        pieces = F.filter(F.transform(X.mark_split(F.col("text"), P.ARTICLE), X.strip), lambda x: x != "")
+        return exploded(docs, pieces)
+    kernel = {"advanced": K.articles_advanced, "chapter": K.articles_by_chapter}[method]
+    return exploded(docs, fold(kernel, "array<string>")(F.col("text")))
