@@ -8,7 +8,7 @@ of the three are adaptive: for each class of both confidences and of whether the
 to be right. An id takes the share of the range of the first order that predicts it, and within order 0 that of its count.
 
 The encoder knows all ids, so it finds predictions and weights of many blocks at once by stable sorts; then the range
-coder advances all blocks in step, in 48 bits, 16 bits out at a time, with carries added at the end. The decoder is
+coder advances all blocks in step, in 56 bits, 16 bits out at a time, with carries added at the end. The decoder is
 sequential and updates the same numbers.
 
 Defined cases: a null or empty text has no ids and appears in a block with count 0; a null doc_id stays null; rows that
@@ -35,7 +35,7 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 
 _REFRESH = (0, 64, 256, 1024, 4096)
 _GAIN = 32
-_TOP = np.uint64(1 << 32)
+_TOP, _SHIFT, _DIGIT, _REST = np.uint64(1 << 40), np.uint64(40), np.uint64(16), np.uint64((1 << 40) - 1)
 
 
 @dataclass(frozen=True)
@@ -78,8 +78,12 @@ def contexts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return one, (two.astype(np.uint32) * np.uint32(0x9E3B) + one * np.uint32(0x6A0B) + (two >> 5)).astype(np.uint16)
 
 
-def events(x: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(low, share, total) of the two shares of the range of each id, (lanes, 2 n), and which of them are there."""
+def events(x: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(low, share, total) of the part of the range that each id takes, (lanes, n).
+
+    The range is first divided among the orders, in parts of w2 + w1 + w0, then that of order 0 by counts; all totals
+    are products of both, so that one division codes an id.
+    """
     lanes, n = x.shape
     one, two = contexts(x)
     p1, c1 = _last_seen(x, one)
@@ -103,24 +107,24 @@ def events(x: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray, np.n
     w0, w1, w2 = weight
     w2 = np.where(c2 > 0, w2, 0)
     w1 = np.where((c1 > 0) & ~agree, w1, 0)
-    low, share, total = (np.zeros((lanes, n, 2), np.uint32) for _ in range(3))
-    there = np.ones((lanes, n, 2), bool)
-    low[:, :, 0] = np.where(by == 2, 0, np.where(by == 1, w2, w2 + w1))
-    share[:, :, 0] = np.where(by == 2, w2, np.where(by == 1, w1, w0))
-    total[:, :, 0] = w0 + w1 + w2
-    there[:, :, 1] = by == 0
+    base, share, total = np.zeros((lanes, n), np.int64), np.empty((lanes, n), np.int64), np.empty(n, np.int64)
     ends = [*refreshes(n), n]
     v = np.arange(vocabulary + 1, dtype=np.int32)
-    for i in range(lanes):
-        for a, b in zip(ends, ends[1:]):
-            count = np.bincount(x[i, :a], minlength=vocabulary)
-            edge = v.copy()
-            edge[1:] += np.cumsum(count, dtype=np.int32) * np.int32(_GAIN)
-            part = x[i, a:b].astype(np.int64)
-            low[i, a:b, 1] = edge[part]
-            share[i, a:b, 1] = edge[part + 1] - edge[part]
-            total[i, a:b, 1] = edge[-1]
-    return low.reshape(lanes, -1), share.reshape(lanes, -1), total.reshape(lanes, -1), there.reshape(lanes, -1)
+    edge = np.empty(vocabulary + 1, np.int32)
+    for a, b in zip(ends, ends[1:]):
+        total[a:b] = vocabulary + _GAIN * a
+        for i in range(lanes):
+            if a:
+                edge[0] = 0
+                np.cumsum(np.bincount(x[i, :a], minlength=vocabulary), out=edge[1:])
+                edge *= _GAIN
+                edge += v
+            part = x[i, a:b]
+            base[i, a:b] = edge[part] if a else part
+            share[i, a:b] = edge[part.astype(np.int32) + 1] - edge[part] if a else 1
+    last = by == 0
+    low = np.where(by == 2, 0, np.where(by == 1, w2, w2 + w1)) * total + np.where(last, base * w0, 0)
+    return low, np.where(last, share * w0, np.where(by == 2, w2, w1) * total), (w0 + w1 + w2) * total
 
 
 def _carried(digits: np.ndarray) -> bytes:
@@ -141,35 +145,35 @@ def encode_blocks(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
             by_length.setdefault(len(b), []).append(i)
     for n, members in by_length.items():
         lanes = len(members)
-        low, share, total = np.zeros((2 * n, lanes), np.uint32), np.ones((2 * n, lanes), np.uint32), np.ones((2 * n, lanes), np.uint32)
-        longest = 0
+        if (2 * n + 3) * (vocabulary + _GAIN * refreshes(n)[-1]) >= 1 << 36:
+            raise ValueError("the block is too long for the range")
+        low, share, total = (np.empty((n, lanes), np.uint64) for _ in range(3))
         for at in range(0, lanes, 32):
-            group = members[at : at + 32]
-            e = events(np.stack([blocks[i] for i in group]).astype(np.uint16), vocabulary)
-            for k in range(len(group)):
-                keep = e[3][k]
-                m = int(keep.sum())
-                longest = max(longest, m)
-                for to, value in zip((low, share, total), e):
-                    to[:m, at + k] = value[k][keep]
-        base, width = np.zeros(lanes, np.uint64), np.full(lanes, 1 << 48, np.uint64)
-        digits = np.zeros((2 * longest + 8, lanes), np.uint64)
+            for to, value in zip((low, share, total), events(np.stack([blocks[i] for i in members[at : at + 32]]).astype(np.uint16), vocabulary)):
+                to[:, at : at + 32] = value.T
+        base, width = np.zeros(lanes, np.uint64), np.full(lanes, 1 << 56, np.uint64)
+        digits = np.zeros((2 * n + 8, lanes), np.uint64)
         filled = np.zeros(lanes, np.int64)
-        low64 = np.empty(lanes, np.uint64)
-        for t in range(longest):
-            width //= total[t]
-            np.multiply(width, low[t], out=low64)
-            base += low64
+        step = np.empty(lanes, np.uint64)
+        small = np.empty(lanes, bool)
+        for t in range(n):
+            np.floor_divide(width, total[t], out=width)
+            np.multiply(width, low[t], out=step)
+            base += step
             width *= share[t]
-            while len(k := np.flatnonzero(width < _TOP)):
-                b = base[k]
-                digits[filled[k], k] = b >> np.uint64(32)
-                filled[k] += 1
-                base[k] = (b & np.uint64(0xFFFFFFFF)) << np.uint64(16)
-                width[k] <<= np.uint64(16)
+            np.less(width, _TOP, out=small)
+            k = small.nonzero()[0]
+            while len(k):
+                b, f = base[k], filled[k]
+                digits[f, k] = b >> _SHIFT
+                filled[k] = f + 1
+                base[k] = (b & _REST) << _DIGIT
+                w = width[k] << _DIGIT
+                width[k] = w
+                k = k[w < _TOP]
         for lane, i in enumerate(members):
             b = int(base[lane])
-            tail = np.array([b >> 32, (b >> 16) & 0xFFFF, b & 0xFFFF], np.uint64)
+            tail = np.array([b >> 40, (b >> 24) & 0xFFFF, (b >> 8) & 0xFFFF, (b & 0xFF) << 8], np.uint64)
             out[i] = _carried(np.concatenate([digits[: filled[lane], lane], tail]))
     return out
 
@@ -180,7 +184,7 @@ def decode_block(payload: bytes, n: int, vocabulary: int) -> np.ndarray:
     if not n:
         return x
     data = payload + bytes(16)
-    code, at, width = int.from_bytes(data[:6], "big"), 6, 1 << 48
+    code, at, width = int.from_bytes(data[:7], "big"), 7, 1 << 56
     last: list[dict[int, list[int]]] = [{}, {}]  # context -> [id, right ones in a row]
     weights: dict[int, list[int]] = {}
     ends = refreshes(n)
@@ -196,22 +200,21 @@ def decode_block(payload: bytes, n: int, vocabulary: int) -> np.ndarray:
         agree = bool(s1 and s2 and s1[0] == s2[0])
         w = weights.setdefault(c2 * 10 + c1 * 2 + agree, [1, 1, 1])
         w2, w1, w0 = (w[2] if s2 else 0), (w[1] if s1 and not agree else 0), w[0]
-        width //= w0 + w1 + w2
+        total = int(edge[-1])
+        width //= (w0 + w1 + w2) * total
         q = code // width
-        by, lo, share = (2, 0, w2) if q < w2 else (1, w2, w1) if q < w2 + w1 else (0, w2 + w1, w0)
-        code -= lo * width
+        if q < w2 * total:
+            by, v, low, share = 2, s2[0] if s2 else 0, 0, w2 * total
+        elif q < (w2 + w1) * total:
+            by, v, low, share = 1, s1[0], w2 * total, w1 * total
+        else:
+            k = min((q - (w2 + w1) * total) // w0, total - 1)
+            by, v = 0, int(np.searchsorted(edge, k, side="right")) - 1
+            low, share = (w2 + w1) * total + int(edge[v]) * w0, int(edge[v + 1] - edge[v]) * w0
+        code -= low * width
         width *= share
-        while width < 1 << 32:
+        while width < 1 << 40:
             code, at, width = (code << 16) | int.from_bytes(data[at : at + 2].ljust(2, b"\0"), "big"), at + 2, width << 16
-        if by:
-            v = (s2 if by == 2 else s1)[0]
-        else:
-            width //= int(edge[-1])
-            v = int(np.searchsorted(edge, min(code // width, int(edge[-1]) - 1), side="right")) - 1
-            code -= int(edge[v]) * width
-            width *= int(edge[v + 1] - edge[v])
-            while width < 1 << 32:
-                code, at, width = (code << 16) | int.from_bytes(data[at : at + 2].ljust(2, b"\0"), "big"), at + 2, width << 16
         w[by] += 2
         for k, s in ((0, s1), (1, s2)):
             last[k][ctx[k]] = [v, s[1] + 1 if s and s[0] == v else 0]
