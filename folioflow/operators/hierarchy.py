@@ -14,9 +14,9 @@ STRATEGIES = ("finest_granularity", "all_levels", "parent_only")
 _TREE = "array<struct<section:int,parent:int>>"
 
 
-def enhance(elements: DataFrame, legal: bool = True) -> DataFrame:
+def enhance(elements: DataFrame, legal: bool = True, custom: tuple[str, ...] = ()) -> DataFrame:
     """Elements that are no headings yet are tested again by the legal rules."""
-    more = ~F.col("is_heading") & X.legal_heading(F.col("text"), legal)
+    more = ~F.col("is_heading") & X.legal_heading(F.col("text"), legal, custom=custom)
     return elements.withColumn("level", F.when(more, X.legal_level(F.col("text"))).otherwise(F.col("level"))).withColumn("is_heading", F.col("is_heading") | more)
 
 

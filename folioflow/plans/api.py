@@ -33,7 +33,7 @@ def elements_of(files: DataFrame, options: Options = Options()) -> DataFrame:
     out = word.withColumnRenamed("path", "doc_id").unionByName(H.lines(texts))
     for fmt, splitter in SPLITTERS.items():
         out = out.unionByName(splitter(files.where(F.col("format") == fmt)).withColumnRenamed("path", "doc_id"))
-    return H.enhance(out, options.legal)
+    return H.enhance(out, custom=options.custom_patterns)
 
 
 def split_sections(files: DataFrame, options: Options = Options()) -> DataFrame:

@@ -53,7 +53,7 @@ def _typed(value: str, like):
 
 def _merged(base, given: dict, env: dict[str, str]):
     names = {f.name for f in fields(base)}
-    known = {k: v for k, v in given.items() if k in names}
+    known = {k: tuple(v) if isinstance(v, list) else v for k, v in given.items() if k in names}
     for var, name in env.items():
         if var in os.environ:
             try:
