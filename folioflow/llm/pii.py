@@ -44,6 +44,7 @@ class Params:
     overlap: int = 96
     min_length: int = 5
     lanes: int = 1024
+    prior: float = 2.0  # cost of a span beyond that from training, whose samples are denser than texts
 
 
 @functools.cache
@@ -132,8 +133,9 @@ def harmless(r: np.random.Generator) -> str:
     return [
         lambda: d(int(r.integers(1, 6))), lambda: f"{r.integers(1900, 2030)}", lambda: f"{r.integers(1900, 2030)}-{d(2)}-{d(2)}", lambda: f"{d(2)}/{d(2)}/{r.integers(1900, 2030)}", lambda: f"v{d(1)}.{d(1)}", lambda: f"{d(1)}.{d(2)}.{d(1)}", lambda: f"{d(2)}:{d(2)}",
         lambda: f"{d(2)},{d(3)}", lambda: f"${d(2)}.{d(2)}", lambda: f"#{d(4)}", lambda: f"https://{_word(r)}.example.com/{_word(r)}", lambda: f"({d(1)})", lambda: f"{d(2)}%", lambda: "password", lambda: "the token", lambda: f"{_word(r)}.{_word(r)}",
-        lambda: f"{_word(r)} = {_word(r)}", lambda: f"version {d(1)}", lambda: f"<{_word(r)}>", lambda: f"@{_word(r)}", lambda: f"{_word(r)}-{_word(r)}", lambda: f"{_from(r, _UP, 4)}", lambda: f"{d(1)}-{d(1)}",
-    ][r.integers(0, 23)]()
+        lambda: f"{_word(r)} = {_word(r)}", lambda: f"version {d(1)}", lambda: f"<{_word(r)}>", lambda: f"@{_word(r)}", lambda: f"{_word(r)}-{_word(r)}", lambda: f"{_from(r, _UP, 4)}", lambda: f"{d(1)}-{d(1)}", lambda: f"{_word(r)}{d(int(r.integers(1, 5)))}",
+        lambda: " ".join(f"{w}{k}" for w, k in [(_word(r), int(r.integers(0, 90)))] for k in range(k, k + 4)), lambda: " ".join(d(int(r.integers(1, 4))) for _ in range(5)), lambda: f"{_word(r)}_{_word(r)}{d(2)}",
+    ][r.integers(0, 27)]()
 
 
 def sample(r: np.random.Generator, length: int, rate: float = 0.07) -> tuple[np.ndarray, np.ndarray]:
@@ -283,6 +285,7 @@ def train(p: Params = Params()) -> dict[str, np.ndarray]:
             m1[q] += 0.1 * (v - m1[q])
             m2[q] += 0.01 * (v * v - m2[q])
             w[q] -= (rate * (m1[q] / (1 - 0.9**step)) / (np.sqrt(m2[q] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+    w["tr"][0, 1:] -= p.prior
     return w
 
 
@@ -465,9 +468,8 @@ def redact(docs: DataFrame, p: Params = Params()) -> DataFrame:
             found = _found(texts, shared.value, p)
             cols = list(b.columns)
             cols[i] = pa.array([mask(t, s) for t, s in zip(texts, found)], b.schema.field(i).type)
-            yield pa.RecordBatch.from_arrays(cols, names)
+            yield pa.RecordBatch.from_arrays(cols, b.schema.names)
 
-    out = docs.mapInArrow(run, docs.schema)
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out
+    out = K.map_rows(docs, run)
+    size = F.when(F.col("n_chars").isNotNull(), F.length("text")).cast(docs.schema["n_chars"].dataType).alias("n_chars") if "n_chars" in names else None
+    return out.select(*(size if c == "n_chars" else F.col(f"`{c}`") for c in names))

@@ -185,4 +185,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataF
             s, _ = score_texts(b.column(i).to_pylist(), w.value, p.bits)
             yield b.filter(pa.array(np.round(s, 6) >= p.threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return K.map_rows(docs, run)

@@ -18,6 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PIECE = 1 << 20
 _R = 0x9E3779B97F4A7C15 | 1
@@ -236,6 +237,13 @@ def slices(batches: Iterator[pa.RecordBatch], text: str | int = "text", size: in
             at = end
 
 
+def map_rows(docs: DataFrame, run) -> DataFrame:
+    """mapInArrow over all columns with the same schema; names stay out of it, whatever characters they hold."""
+    plain = [f"c{i}" for i in range(len(docs.columns))]
+    schema = T.StructType([T.StructField(c, f.dataType, True) for c, f in zip(plain, docs.schema)])
+    return docs.toDF(*plain).mapInArrow(run, schema).toDF(*docs.columns)
+
+
 def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
