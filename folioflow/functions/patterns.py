@@ -23,18 +23,19 @@ GENERAL: dict[str, tuple[str, ...]] = {
 }
 
 ARTICLE, CHAPTER = LEVELS[5][1][0], LEVELS[3][1][0]
-CONTENT_WORDS = ("内容", "规定", "说明", "包含", "详细")
-ARTICLE_WORDS = (*CONTENT_WORDS, "很长", "多")
+CONTENT_WORDS = tuple("内容 规定 说明 包含 详细".split())
+ARTICLE_WORDS = CONTENT_WORDS + tuple("很长 多".split())
 STRUCTURE_MARKERS = tuple(f"{h}、" for h in HAN) + tuple(f"（{h}）" for h in HAN[:5]) + tuple(f"{d}、" for d in range(1, 6))
 LIST_MARKERS = tuple(f"{h}、" for h in HAN[:8])
 SENTENCE_ENDS, CLOSERS = "。！？；.!?;", '"）)】]》>'
 CURSOR_ENDS = "\n。！？.!?"
-SHEET_KEYWORDS = ("条", "款", "项", "章", "节", "编", "篇", "规定", "办法", "条例", "法律", "法规")
+SHEET_KEYWORDS = tuple("条款项章节编篇") + tuple("规定 办法 条例 法律 法规".split())
 GENERIC_SHEETS = tuple(f"{p}{n}" for p, k in (("Sheet", 5), ("工作表", 3), ("Worksheet", 2)) for n in ("", *range(1, k + 1)))
-LAW_HEADERS = ("法规名称", "条文", "内容", "法律名称", "条款", "条文号", "第几条", "法规条文")
-CLAUSE_WORDS = ("违约", "责任", "赔偿", "付款", "交付", "保密", "终止", "breach", "liability", "payment", "confidential", "termination")
-PROCESS_WORDS = ("步骤", "程序", "流程", "process", "procedure", "step")
-PARTY_TAGS = {"当事人": ("甲方", "乙方", "当事人"), "合同条款": ("条款", "第"), "权利义务": ("权利", "义务"), "违约责任": ("违约", "赔偿")}
+LAW_HEADERS = tuple("法规名称 条文 内容 法律名称 条款 条文号 第几条 法规条文".split())
+CLAUSE_WORDS = tuple("违约 终止 争议 赔偿 责任 保密 breach termination dispute compensation liability confidential".split())
+PROCESS_WORDS = tuple("步骤 程序 流程 process procedure step".split())
+FILE_WORDS = tuple("law 法律 法规 条例 办法 规定 管理 监督 证券 银行 金融".split())
+CONTEXT_WORDS = tuple("law legal regulation rule act 法 条例 规定 办法 法律".split())
 
 
 def any_of(words: tuple[str, ...]) -> str:

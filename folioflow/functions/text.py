@@ -226,16 +226,19 @@ def is_process(c: Column) -> Column:
 
 
 def party_tags(c: Column) -> Column:
-    return F.filter(F.array(*(F.when(contains_any(c, ws), tag) for tag, ws in P.PARTY_TAGS.items())), lambda x: x.isNotNull())
+    """What a contract's chunk speaks of."""
+    tags = {"当事人": contains_any(c, ("甲方", "乙方")), "合同条款": c.contains("第") & c.contains("条"), "权利义务": contains_any(c, ("权利", "义务")), "违约责任": contains_any(c, ("违约", "责任"))}
+    return F.filter(F.array(*(F.when(yes, tag) for tag, yes in tags.items())), lambda x: x.isNotNull())
 
 
 def legal_filename(path: Column) -> Column:
     p = F.lower(path)
-    return p.contains("/law/") | contains_any(p, ("law", "legal", "regulation", "rule", "法", "条例", "规定", "办法", "细则", "规则", "法规"))
+    stem = F.regexp_replace(F.element_at(F.split(p, "/"), -1), r"\.[^.]*$", "")
+    return p.contains("/law/") | contains_any(stem, P.FILE_WORDS)
 
 
 def legal_context(path: Column, explicit: bool = False) -> Column:
-    return F.lit(explicit) | contains_any(F.lower(path), ("law", "legal", "regulation", "rule", "act", "法", "条例", "规定", "办法", "法律"))
+    return F.lit(explicit) | contains_any(F.lower(path), P.CONTEXT_WORDS)
 
 
 def show_sheet(name: Column, sheets: Column) -> Column:

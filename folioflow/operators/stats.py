@@ -27,10 +27,13 @@ def length_histogram(chunks: DataFrame) -> DataFrame:
     return counts.withColumn("percent", F.round(100 * F.col("n") / F.sum("n").over(Window.partitionBy()), 2))  # six rows
 
 
+def structure_kind(c: Column) -> Column:
+    n = F.when(X.legal_heading(c), X.legal_level(c))
+    return F.when(n.isin(1, 3), "chapter").when(n == 5, "article").when(n >= 10, "item").otherwise("content")
+
+
 def structure_histogram(chunks: DataFrame) -> DataFrame:
-    level = X.legal_level(F.regexp_extract("content", r"^\s*(\S{1,60})", 1))
-    kind = F.when(level == 3, "chapter").when(level == 5, "article").when(level.isin(7, 11) | X.strip(F.col("content")).rlike(f"^（{P.NUM}）"), "item").otherwise("content")
-    return chunks.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+    return chunks.groupBy(structure_kind(F.col("content")).alias("kind")).agg(F.count("*").alias("n"))
 
 
 def completion_rate(chunks: DataFrame, *by: str) -> DataFrame:
@@ -43,11 +46,14 @@ def article_coverage(chunks: DataFrame) -> DataFrame:
     return chunks.agg(F.count("*").alias("chunks"), F.count_if(hit).alias("with_article"), F.round(F.avg(hit.cast("int")), 4).alias("share"))
 
 
-def structure_counts(docs: DataFrame) -> DataFrame:
-    def count(p):
-        return F.sum(F.size(F.regexp_extract_all("text", F.lit(p), F.lit(0))))
-
-    return docs.agg(count(P.CHAPTER).alias("chapters"), count(P.ARTICLE).alias("articles"), count(P.LEVELS[10][1][0]).alias("items"), F.sum(F.size(X.sentences(F.col("text")))).alias("sentences"))
+def structure_counts(chunks: DataFrame) -> DataFrame:
+    """Chunks that name chapters, articles or clauses, and that end with a full sentence; and the share of these."""
+    c = F.col("content")
+    mark, done = c.contains("第"), c.rlike(r"(?U)[。！？；]\s*$")
+    return chunks.agg(
+        F.count("*").alias("chunks"), F.count_if(mark & c.contains("章")).alias("chapters"), F.count_if(mark & c.contains("条")).alias("articles"),
+        F.count_if(mark & X.contains_any(c, ("款", "项"))).alias("clauses"), F.count_if(done).alias("complete"), F.round(100 * F.avg(done.cast("int")), 1).alias("percent"),
+    )
 
 
 def batch_counters(files: DataFrame) -> DataFrame:
@@ -56,9 +62,12 @@ def batch_counters(files: DataFrame) -> DataFrame:
 
 
 def overlaps(chunks: DataFrame, least: int = 10) -> DataFrame:
-    """Chunks whose start repeats the end of the chunk before by ``least`` characters."""
+    """Chunks that share a run of ``least`` characters with the chunk before."""
     before = F.lag("content").over(Window.partitionBy("doc_id").orderBy("chunk_id"))
-    return chunks.withColumn("before", before).where(F.col("before").isNotNull() & F.expr(f"contains(before, left(content, {least}))")).drop("before")
+    last = F.length("before") - least + 1
+    runs = F.when(last > 0, F.sequence(F.lit(1), last))
+    shared = F.exists(runs, lambda i: F.col("content").contains(F.substring("before", i, F.lit(least))))
+    return chunks.withColumn("before", before).where(F.coalesce(shared, F.lit(False))).drop("before")
 
 
 def tag_counts(chunks: DataFrame) -> DataFrame:

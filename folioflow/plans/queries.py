@@ -248,7 +248,7 @@ def a4_fingerprint(spark, sf):
     return documents(spark, sf).select("doc_id", F.md5(X.fingerprint(F.col("text"))).alias("hash"))
 
 
-@query(_pack_sql(500, 50, "select doc_id, chunk_id from (select doc_id, chunk_id, content, lag(content) over (partition by doc_id order by chunk_id) as before from chunks) where before is not null and contains(before, left(content, 10))"))
+@query(_pack_sql(500, 50, "select doc_id, chunk_id from (select doc_id, chunk_id, content, lag(content) over (partition by doc_id order by chunk_id) as before from chunks) where before is not null and len(list_filter(range(1, length(before) - 8), lambda i: contains(content, substr(before, i, 10)))) > 0"))
 def w7_overlaps(spark, sf):
     return S.overlaps(C.pack_sentences(documents(spark, sf), 500, 50)).select("doc_id", "chunk_id")
 
@@ -341,17 +341,22 @@ def a12_article_coverage(spark, sf):
     return S.article_coverage(C.articles(legal_docs(spark, sf), "simple"))
 
 
-@query(f"with {LEGAL} select sum(len(regexp_extract_all(text, '{P.CHAPTER}')))::bigint as chapters, sum(len(regexp_extract_all(text, '{P.ARTICLE}')))::bigint as articles, sum(len(regexp_extract_all(text, '{P.LEVELS[10][1][0]}')))::bigint as items, sum(len(list_filter(list_transform(regexp_extract_all(text, '[^。！？；.!?;]*[。！？；.!?;][\"）)】\\]》>]*|[^。！？；.!?;]+'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: length(x) > 2)))::bigint as sentences from legal")
+_KEPT = f"with {LEGAL}, {_PIECES.replace('{p}', P.ARTICLE)}, kept as (select {_TRIM} as content from pieces where {_TRIM} <> '')"
+
+
+@query(_KEPT + r" select count(*) as chunks, count(*) filter (contains(content, '第') and contains(content, '章')) as chapters, count(*) filter (contains(content, '第') and contains(content, '条')) as articles, count(*) filter (contains(content, '第') and regexp_matches(content, '款|项')) as clauses, count(*) filter (regexp_matches(content, '[。！？；]\s*$')) as complete, round(100 * avg(regexp_matches(content, '[。！？；]\s*$')::int), 1) as percent from kept")
 def a15_structure_counts(spark, sf):
-    return S.structure_counts(legal_docs(spark, sf))
+    return S.structure_counts(C.articles(legal_docs(spark, sf), "simple"))
 
 
-@query(f"with {LEGAL}, {LINES}, h as (select doc_id, seq, case when {_X4} = 3 then 'chapter' when {_X4} = 5 then 'article' when regexp_matches(text, '^（{P.NUM}）') or {_X4} in (7, 11) then 'item' else 'content' end as kind from lines) select kind, count(*) as n from h group by kind")
+@query(f"with {LEGAL}, {LINES}, h as (select case when not ({_P1}) then 'content' when {_X4} in (1, 3) then 'chapter' when {_X4} = 5 then 'article' when {_X4} >= 10 then 'item' else 'content' end as kind from lines) select kind, count(*) as n from h group by kind")
 def a10_structure_histogram(spark, sf):
-    t = F.col("text")
-    level = X.legal_level(t)
-    kind = F.when(level == 3, "chapter").when(level == 5, "article").when(level.isin(7, 11) | t.rlike(f"^（{P.NUM}）"), "item").otherwise("content")
-    return legal_lines(spark, sf).groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+    return S.structure_histogram(legal_lines(spark, sf).withColumnRenamed("text", "content"))
+
+
+@query(_KEPT + " select tag, count(*) as n from (select unnest(list_filter([case when contains(content, '第') and contains(content, '条') then '合同条款' end, case when regexp_matches(content, '甲方|乙方') then '当事人' end, case when regexp_matches(content, '权利|义务') then '权利义务' end, case when regexp_matches(content, '违约|责任') then '违约责任' end], lambda x: x is not null)) as tag from kept) group by tag")
+def p9_contract_tags(spark, sf):
+    return S.tag_counts(C.articles(legal_docs(spark, sf), "simple"))
 
 
 @query(f"with {LEGAL}, {LINES}, u as (select doc_id, text, min(seq) as seq from (select doc_id, seq, regexp_replace(text, '^\\s+|\\s+$', '', 'g') as text from lines) where text <> '' group by doc_id, text) select doc_id, md5(string_agg(text, chr(10) || chr(10) order by seq)) as hash from u group by doc_id")

@@ -53,7 +53,8 @@ def test_small_predicates(spark):
     assert each(spark, X.sentence_complete, ["a。", "a. ", "a", "a；"]) == [True, True, False, True]
     assert each(spark, X.is_important, ["违约责任", "Liability", "x"]) == [True, True, False]
     assert each(spark, X.is_process, ["流程", "Step 1", "x"]) == [True, True, False]
-    assert each(spark, X.party_tags, ["甲方应承担违约责任", "x"]) == [["当事人", "违约责任"], []]
+    assert each(spark, X.party_tags, ["甲方应承担违约责任", "x", "第一条"]) == [["当事人", "违约责任"], [], ["合同条款"]]
+    assert each(spark, X.legal_filename, ["/law/x.doc", "/y/law.d/x.doc", "/y/金融.doc"]) == [True, False, True]
     assert each(spark, X.file_format, ["/a/b.DOCX", "/a.b/c", "x.tar.gz"]) == ["docx", "", "gz"]
     assert each(spark, X.clean_sheet_text, ["【工作表: A】\n表头: x\n-----------\n★ y\n\n\nz"]) == ["x\ny\nz"]
     assert each(spark, X.table_text, [[["a", None], ["b", "c"]]], "array<array<string>>") == ["a | \nb | c"]

@@ -118,4 +118,5 @@ def test_statistics(spark):
     assert {x.bucket: x.n for x in S.length_histogram(c).collect()} == {"0-50": 2, "101-200": 1}
     assert S.completion_rate(c).first().percent == 66.67 and S.article_coverage(c).first().with_article == 1
     assert {x.kind: x.n for x in S.structure_histogram(c).collect()} == {"content": 2, "article": 1}
+    assert tuple(S.structure_counts(c).first()) == (3, 0, 1, 0, 2, 66.7)
     assert S.tag_counts(c.withColumn("content", F.lit("甲方违约"))).count() == 2
