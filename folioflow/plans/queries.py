@@ -211,12 +211,20 @@ def c9_simple_chunks(spark, sf):
     return C.simple_chunks(documents(spark, sf), 800, 0.1).withColumn("hash", F.md5("content")).drop("content")
 
 
-@query()
+_BARE = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
+
+
+def _whole_or_packed(limit: int, overlap: int, whole: str) -> str:
+    one = f"(select doc_id, 1 as chunk_id, {whole} as content from documents where length({whole}) <= {limit} and {whole} <> '')"
+    return _pack_sql(limit, overlap, f"select doc_id, chunk_id, cast(length(content) as int) as len, md5(content) as hash from (select doc_id, chunk_id, content from chunks where doc_id in (select doc_id from documents where length({whole}) > {limit}) and doc_id in (select doc_id from sent) union all from {one})")
+
+
+@query(_whole_or_packed(500, 0, _BARE))
 def c2_natural_breaks(spark, sf):
     return hashed(C.natural_breaks(documents(spark, sf), 500))
 
 
-@query()
+@query(_whole_or_packed(500, 50, "text").replace("and doc_id in (select doc_id from sent) ", ""))
 def c5_slide(spark, sf):
     return hashed(C.slide(documents(spark, sf), 500, 50))
 
@@ -326,19 +334,25 @@ def c18_articles_advanced(spark, sf):
     return hashed(C.articles(legal_docs(spark, sf), "advanced"))
 
 
-@query()
+_MARK = f"regexp_extract(piece, '^(?:{P.ARTICLE}|{P.CHAPTER})')"
+_REST = f"regexp_replace(substr(piece, length({_MARK}) + 1), '^\\s+|\\s+$', '', 'g')"
+
+
+@query(
+    f"with {LEGAL}, {_PIECES.replace('{p}', P.ARTICLE + '|' + P.CHAPTER)}, c as (select doc_id, seq, 0 as k, case when seq = 0 then {_TRIM} when regexp_matches(piece, '^{P.CHAPTER}') then {_MARK} when {_REST} <> '' then {_MARK} || chr(10) || chr(10) || {_REST} else {_MARK} end as content from pieces "
+    + f"union all select doc_id, seq, 1, {_REST} from pieces where seq > 0 and regexp_matches(piece, '^{P.CHAPTER}')) select doc_id, cast(row_number() over (partition by doc_id order by seq, k) as int) as chunk_id, cast(length(content) as int) as len, md5(content) as hash from c where content <> ''"
+)
 def c20_articles_by_chapter(spark, sf):
     return hashed(C.articles(legal_docs(spark, sf), "chapter"))
 
 
-@query()
+@query(
+    f"with recursive {LEGAL}, d as (select doc_id, list_transform(range(0, length(text), 60), lambda i: substr(text, i + 1, 60)) as l from legal), "
+    + f"walk as (select doc_id, 1::bigint as i, []::varchar[] as out from d union all select doc_id, i + case when glue then 2 else 1 end, list_append(out, case when glue then now || case when bare then '' else chr(10) || chr(10) end || after else now end) from (select *, after is not null and (bare or (length(now) < 100 and regexp_matches(now, '{P.ARTICLE}') and not regexp_matches(after, '^{P.ARTICLE}'))) as glue from (select w.*, l[i] as now, l[i + 1] as after, coalesce(ends_with(l[i], '应当对本办法') and regexp_matches(l[i + 1], '{P.ARTICLE}.*?的内容进行'), false) as bare from walk w join d using (doc_id) where i <= len(l)))), "
+    + "done as (select w.doc_id, w.out from walk w join d using (doc_id) where w.i > len(d.l)) select doc_id, cast(k as int) as chunk_id, cast(length(out[k]) as int) as len, md5(out[k]) as hash from (select doc_id, out, unnest(range(1, len(out) + 1)) as k from done)"
+)
 def c22_repair_articles(spark, sf):
-    return hashed(C.repair_articles(C.articles(legal_docs(spark, sf), "simple")))
-
-
-@query(f"with {LEGAL}, {_PIECES.replace('{p}', P.ARTICLE)}, kept as (select {_TRIM} as content from pieces where {_TRIM} <> '') select count(*) as chunks, count(*) filter (regexp_matches(content, '{P.ARTICLE}')) as with_article, round(avg(regexp_matches(content, '{P.ARTICLE}')::int), 4) as share from kept")
-def a12_article_coverage(spark, sf):
-    return S.article_coverage(C.articles(legal_docs(spark, sf), "simple"))
+    return hashed(C.repair_articles(C.windows(legal_docs(spark, sf), 60)))
 
 
 _KEPT = f"with {LEGAL}, {_PIECES.replace('{p}', P.ARTICLE)}, kept as (select {_TRIM} as content from pieces where {_TRIM} <> '')"
@@ -420,7 +434,7 @@ def t4_flatten_with_paths(spark, sf):
     return hashed(H.flatten_with_paths(tree(spark, sf), limit=400, overlap=40))
 
 
-@query()
+@query(f"with {LEGAL}, {LINES} select doc_id, cast(seq as int) as seq, {_P1} as is_heading, case when {_P1} then {_X4} else 0 end as level from lines")
 def p3_enhance(spark, sf):
     e = legal_lines(spark, sf).withColumn("is_heading", F.lit(False)).withColumn("level", F.lit(0))
     return H.enhance(e).select("doc_id", "seq", "is_heading", "level")
@@ -495,9 +509,14 @@ def s26_legal_content(spark, sf):
     return T.legal_content(cells(spark, sf))
 
 
-@query(
+_LAW = (
     f"with {CELLS}, n as (select *, regexp_extract(value, '^{P.ARTICLE}') as num from cells where col_idx = 2 and row_idx > 1), b as (select n.doc_id, n.sheet_idx, n.sheet_name, n.row_idx, l.value as law_name, n.value as content, n.num as number from n join (select * from cells where col_idx = 1) l using (sheet_idx, row_idx)), "
     + "f as (select *, first_value(law_name) over (partition by sheet_idx order by row_idx) as law from b), s as (select *, sum((law_name = law)::int) over (partition by sheet_idx) >= 2 and sum((number <> '')::int) over (partition by sheet_idx) >= 2 as special from f) "
+)
+
+
+@query(
+    _LAW
     + "select doc_id, sheet_idx, sheet_name, cast(row_idx as int) as row_idx, law_name, number, content, law, special, case when special then '【ARTICLE】' || case when number <> '' then number else '条文' end else '【' || trim(law_name || ' ' || number) || '】' end as heading from s"
 )
 def s27_law_articles(spark, sf):
@@ -519,7 +538,12 @@ def s25_workbook_text(spark, sf):
     return T.sheet_text(T.rows(cells(spark, sf))).select("doc_id", F.md5("text").alias("hash"))
 
 
-@query()
+@query(
+    _LAW
+    + """, m as (select doc_id, sheet_idx, sheet_name, row_idx - 1 + special::int as section, case when special then case when number <> '' then number else '条文' end else trim(law_name || ' ' || number) end as heading, md5(content) as content, 'law_article' as section_type from s
+      union all select distinct doc_id, sheet_idx, sheet_name, 1, '法规名称', md5(law), 'law_name' from s where special)
+    select doc_id, sheet_idx, sheet_name, cast(section as bigint) as section, heading, content, section_type from m"""
+)
 def c26_parse_law_articles(spark, sf):
     return T.parse_law_articles(T.law_text(cells(spark, sf))).withColumn("content", F.md5("content"))
 
@@ -535,7 +559,11 @@ def c28_by_importance(spark, sf):
     return T.by_importance(_sheet_texts(spark, sf)).withColumn("content", F.md5("content"))
 
 
-@query()
+@query(
+    f"with recursive {CELLS}, l as (select doc_id, sheet_idx, sheet_name, row_idx, string_agg(value, ' | ' order by col_idx) as v from cells where coalesce(value, '') <> '' group by all), d as (select doc_id, sheet_idx, sheet_name, list(case when regexp_matches(v, '{_KW}') then '★ ' || v else v end order by row_idx) as l from l group by all), "
+    + "walk as (select sheet_idx, 1::bigint as i, '' as now, []::varchar[] as out from d union all select sheet_idx, i + 1, case when full_ then l[i] || chr(10) else now || l[i] || chr(10) end, case when full_ and now <> '' then list_append(out, now) else out end from (select w.*, d.l, length(now) + length(l[i]) > 200 as full_ from walk w join d using (sheet_idx) where i <= len(l))), "
+    + "done as (select w.sheet_idx, list_append(w.out, w.now) as out from walk w join d using (sheet_idx) where w.i > len(d.l)) select doc_id, sheet_idx, sheet_name, cast(k as int) as part, '第' || k || '部分' as heading, md5(regexp_replace(out[k], '^\\s+|\\s+$', '', 'g')) as content, 'content_part' as section_type from (select sheet_idx, out, unnest(range(1, len(out) + 1)) as k from done) join d using (sheet_idx)"
+)
 def c29_by_length(spark, sf):
     return T.by_length(_sheet_texts(spark, sf), 200).withColumn("content", F.md5("content"))
 
