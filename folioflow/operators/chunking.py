@@ -170,6 +170,11 @@ def legal_sections(docs: DataFrame) -> DataFrame:
     return placed.select("doc_id", "seq", "heading", X.legal_type(F.col("heading")).alias("type"), level.alias("level"), X.strip(F.col("piece")).alias("content"), (F.col("end_pos") - F.length("piece")).alias("start_pos"), "end_pos")
 
 
+def reflow(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): flattened legal text with its lines again."""
+    return docs.select("doc_id", fold(K.reflow_lines, "string")(X.reflow(F.col("text"))).alias("text"))
+
+
 def articles(docs: DataFrame, method: str = "simple") -> DataFrame:
     """Article chunks: ``simple`` at each article mark, ``advanced`` with close chapters, ``chapter`` with chapter marks alone."""
     if method == "simple":

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from ..functions import text as X
-from .chunking import exploded, fold
+from .chunking import fold
 
 STRATEGIES = ("finest_granularity", "all_levels", "parent_only")
 _TREE = "array<struct<section:int,parent:int>>"
@@ -105,6 +105,48 @@ def concat_text(sections: DataFrame, joiner: str = "\n", with_heading: bool = Tr
     return sections.groupBy("doc_id").agg(F.array_join(agg, joiner).alias("text"))
 
 
+def pattern_sections(docs: DataFrame, unit: str = "line") -> DataFrame:
+    """Flat sections (doc_id, seq, heading, content, level) of text without styles.
+
+    unit ``line``: legal headings among lines; what precedes the first has no heading and level 0. ``paragraph``: the same
+    among paragraphs, with general levels and "Document Content" at level 1.
+    """
+    mark, joiner = ("\n", "\n") if unit == "line" else ("\n\n", "\n\n")
+    parts = docs.select("doc_id", F.posexplode(F.split("text", mark)).alias("i", "t")).withColumn("t", X.strip(F.col("t"))).where("t != ''")
+    level = X.legal_level(F.col("t")) if unit == "line" else X.heading_level(F.col("t"))
+    head = parts.withColumn("h", X.legal_heading(F.col("t"))).withColumn("level", level)
+    w = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    g = head.withColumn("seq", F.sum(F.col("h").cast("int")).over(w).cast("int"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("h"), F.struct("i", "t")))), lambda x: x["t"]), joiner)
+    s = g.groupBy("doc_id", "seq").agg(F.max(F.when(F.col("h"), F.col("t"))).alias("heading"), body.alias("content"), F.max(F.when(F.col("h"), F.col("level"))).alias("level"))
+    name, top = ("", 0) if unit == "line" else ("Document Content", 1)
+    return s.select("doc_id", "seq", F.coalesce("heading", F.lit(name)).alias("heading"), "content", F.coalesce("level", F.lit(top)).alias("level"))
+
+
+def single_section(docs: DataFrame) -> DataFrame:
+    return docs.where(X.strip(F.col("text")) != "").select("doc_id", F.lit(1).alias("seq"), F.lit("Document Content").alias("heading"), X.clean_text(F.col("text")).alias("content"), F.lit(1).alias("level"))
+
+
+def first_found(*attempts: DataFrame) -> DataFrame:
+    """For each document the sections of the first attempt that has any; attempts have the same columns."""
+    out, *rest = attempts
+    for more in rest:
+        out = out.unionByName(more.join(out.select("doc_id").distinct(), "doc_id", "left_anti"))
+    return out
+
+
+def pdf_sections(docs: DataFrame) -> DataFrame:
+    """The cascade for page text: line patterns if a document has headings, else paragraphs, else one section."""
+    named = pattern_sections(docs)
+    with_headings = named.join(named.where("heading != ''").select("doc_id").distinct(), "doc_id", "left_semi")
+    return first_found(with_headings, pattern_sections(docs, "paragraph"), single_section(docs))
+
+
+def preorder(sections: DataFrame) -> DataFrame:
+    """Sections that have content, in order, without their children."""
+    return sections.where(X.strip(F.col("content")) != "").select("doc_id", "seq", "heading", "content", "level")
+
+
 def clean_small(sections: DataFrame) -> DataFrame:
     """Without sections of under 10 characters under a heading of under 5; heading and content joined."""
     keep = ~((F.length("content") < 10) & (F.length("heading") < 5))
@@ -137,6 +179,3 @@ def outline_sections(pages: DataFrame, outline: DataFrame) -> DataFrame:
     joined = o.join(pages.alias("p"), (F.col("o.doc_id") == F.col("p.doc_id")) & F.col("p.page").between(F.col("o.page"), F.col("o.stop")), "left")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("p.page").alias("page"), F.col("p.text").alias("text")))), lambda x: x["text"]), "\n")
     return joined.groupBy("o.doc_id", "o.seq", "o.level", "o.title").agg(text.alias("content")).withColumnRenamed("title", "heading")
-
-
-__all__ = ["build", "clean_small", "concat_text", "enhance", "exploded", "flatten", "flatten_with_paths", "font_headings", "lines", "outline_sections"]

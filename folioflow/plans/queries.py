@@ -451,6 +451,44 @@ def c14_section_parts(spark, sf):
     return C.section_parts(s, 60, 10, "sibling").withColumn("content", F.md5("content")).withColumn("style", F.lit("sibling")).unionByName(C.section_parts(s, 60, 10, "child").withColumn("content", F.md5("content")).withColumn("style", F.lit("child")))
 
 
+@query(
+    f"with {LEGAL}, {LINES}, g as (select doc_id, seq, text, {_P1} as h, {_X4} as lv, sum(({_P1})::int) over (partition by doc_id order by seq) as sec from lines where text <> '') "
+    + "select doc_id, cast(sec as int) as seq, coalesce(max(text) filter (h), '') as heading, coalesce(max(lv) filter (h), 0) as level, md5(coalesce(string_agg(text, chr(10) order by seq) filter (not h), '')) as hash from g group by doc_id, sec"
+)
+def s19_pattern_sections(spark, sf):
+    return H.pattern_sections(legal_docs(spark, sf)).withColumn("hash", F.md5("content")).drop("content")
+
+
+@query(f"with {LEGAL}, {LINES}, g as (select doc_id, seq, text, {_P1} as h, sum(({_P1})::int) over (partition by doc_id order by seq) as sec from lines where text <> ''), s as (select doc_id, sec, string_agg(text, chr(10) order by seq) filter (not h) as content from g group by doc_id, sec) select doc_id, count(*) as sections, sum(length(content))::bigint as chars from s where content <> '' group by doc_id")
+def t5_preorder(spark, sf):
+    p = H.preorder(H.pdf_sections(legal_docs(spark, sf)))
+    return p.groupBy("doc_id").agg(F.count("*").alias("sections"), F.sum(F.length("content")).alias("chars"))
+
+
+@query()
+def x7_reflow(spark, sf):
+    return C.reflow(legal_docs(spark, sf)).select("doc_id", F.md5("text").alias("hash"))
+
+
+@query()
+def c23_rtf_sections(spark, sf):
+    from ..sources import files as FS
+
+    return FS.rtf_sections(legal_docs(spark, sf)).withColumn("content", F.md5("content"))
+
+
+@query()
+def c25_legal_split(spark, sf):
+    return T.legal_split(_sheet_texts(spark, sf)).withColumn("content", F.md5("content"))
+
+
+@query()
+def c27_by_table(spark, sf):
+    lines = T.table_structure(cells(spark, sf))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_idx", "part", "line"))), lambda x: x["line"]), "\n")
+    return T.by_table(lines.groupBy(*T.SHEET).agg(body.alias("text"))).withColumn("content", F.md5("content"))
+
+
 _L5 = r"""with lines as (select i, k.t || repeat('x', i % 25) || case when i % 7 = 0 then '，' else '' end as text from range(0, 400) r(i), (values ('一、'), ('（二）'), ('3、'), ('(4)'), ('条')) k(t))
 select cast(i as int) as i, text, h as is_heading, cast(case when h then lv else 0 end as int) as level, case when h then good else bad end as confidence from (
  select i, text, case lv when 1 then length(text) <= 100 when 2 then length(text) <= 20 and not regexp_matches(text, '[：:，。]') when 0 then false else length(text) <= 15 and not regexp_matches(text, '[：:，]') end as h, lv,

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import kernels as K
 from ..functions import text as X
 from . import docx, rtf, xlsx
 
@@ -24,16 +25,20 @@ def read_files(spark: SparkSession, path: str, recursive: bool = True) -> DataFr
     return describe(f)
 
 
+def route_of(fmt: Column) -> Column:
+    return F.create_map(*(F.lit(x) for kv in ROUTES.items() for x in kv))[fmt]
+
+
 def describe(files: DataFrame) -> DataFrame:
     parts = F.split("path", "/")
     fmt = X.file_format(F.col("path"))
-    route = F.create_map(*(F.lit(x) for kv in ROUTES.items() for x in kv))[fmt]
-    return files.select("path", F.element_at(parts, -1).alias("name"), F.element_at(parts, -2).alias("dir"), fmt.alias("format"), route.alias("route"), X.file_type_name(fmt).alias("file_type"), "length", "content")
+    return files.select("path", F.element_at(parts, -1).alias("name"), F.element_at(parts, -2).alias("dir"), fmt.alias("format"), route_of(fmt).alias("route"), X.file_type_name(fmt).alias("file_type"), "length", "content")
 
 
 def validated(files: DataFrame) -> DataFrame:
     """With ``error``: why a file is rejected, or null."""
-    why = F.when(F.col("length") == 0, "empty file").when(F.col("route").isNull(), F.concat(F.lit("unsupported format: "), "format"))
+    before = F.when(F.col("error").isNotNull(), F.col("error")) if "error" in files.columns else F
+    why = before.when(F.col("length") == 0, "empty file").when(F.col("route").isNull(), F.concat(F.lit("unsupported format: "), "format"))
     return files.withColumn("error", why)
 
 
@@ -121,6 +126,39 @@ def xlsx_cells(files: DataFrame) -> DataFrame:
     return c.withColumnRenamed("path", "doc_id")
 
 
+def converted(files: DataFrame, converters: dict[str, tuple[str, Callable[[bytes], bytes]]]) -> DataFrame:
+    """Files of other formats made into those that are read here: format -> (new format, function(bytes) -> bytes).
+
+    Adds ``metadata`` (original_format, original_file, conversion_method) and ``error``; a failed conversion keeps its file.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for path, fmt, data in zip(*(c.to_pylist() for c in b.columns)):
+                meta, bad = None, None
+                if fmt in converters:
+                    target, f = converters[fmt]
+                    try:
+                        data, meta, fmt = f(data), [("original_format", fmt), ("original_file", path), ("conversion_method", getattr(f, "__name__", "function"))], target
+                    except Exception as e:  # noqa: BLE001 a file that can't be converted is data
+                        bad = f"{type(e).__name__}: {e}"
+                out.append((path, fmt, data, meta, bad))
+            kinds = (pa.string(), pa.string(), pa.binary(), pa.map_(pa.string(), pa.string()), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["path", "format", "content", "metadata", "error"])
+
+    out = files.select("path", "format", "content").mapInArrow(run, "path string, format string, content binary, metadata map<string,string>, error string")
+    return out.withColumn("route", route_of(F.col("format"))).withColumn("length", F.octet_length("content").cast("bigint"))
+
+
+def rtf_sections(texts: DataFrame) -> DataFrame:
+    """(doc_id, seq, heading, content) of RTF text (doc_id, text): title and articles, or title and rest."""
+    from ..operators.chunking import fold
+
+    parts = fold(lambda t: rtf.sections(K.reflow_lines(t)), "array<struct<heading:string,content:string>>")(F.col("text"))
+    return texts.select("doc_id", F.posexplode(parts).alias("seq", "s")).select("doc_id", "seq", "s.heading", "s.content")
+
+
 def pdf_page_text(pages: DataFrame) -> DataFrame:
     """(doc_id, text) of pages (doc_id, page, text) under banners, as a parser of the user's gives them."""
     banner = F.concat(F.lit("--- 第"), F.col("page").cast("string"), F.lit("页 ---\n"), "text")

@@ -120,3 +120,17 @@ def test_statistics(spark):
     assert {x.kind: x.n for x in S.structure_histogram(c).collect()} == {"content": 2, "article": 1}
     assert tuple(S.structure_counts(c).first()) == (3, 0, 1, 0, 2, 66.7)
     assert S.tag_counts(c.withColumn("content", F.lit("甲方违约"))).count() == 2
+
+
+def test_flat_sections_and_cascade(spark):
+    d = spark.createDataFrame([(1, "前言\n第一章 总则\n甲\n乙\n第二章\n丙"), (2, "p one\n\np two"), (3, ""), (4, None)], "doc_id int, text string")
+    got = [tuple(r) for r in H.pattern_sections(d.where("doc_id = 1")).orderBy("seq").collect()]
+    assert got == [(1, 0, "", "前言", 0), (1, 1, "第一章 总则", "甲\n乙", 3), (1, 2, "第二章", "丙", 3)]
+    got = {(r.doc_id, r.heading) for r in H.pdf_sections(d).collect()}
+    assert got == {(1, ""), (1, "第一章 总则"), (1, "第二章"), (2, "Document Content")}
+    assert H.preorder(H.pattern_sections(d)).where("doc_id = 1").count() == 3
+
+
+def test_small_sections(spark):
+    s = spark.createDataFrame([(1, 1, "ab", "short", 1), (1, 2, "heading", "short", 1), (1, 3, "", "long enough content", 1)], "doc_id int, seq int, heading string, content string, level int")
+    assert [r.content for r in H.clean_small(s).orderBy("seq").collect()] == ["heading\nshort", "long enough content"]

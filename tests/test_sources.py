@@ -153,3 +153,20 @@ def test_sinks_and_stream(spark, tmp_path):
     q.awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out")).drop("length")
     assert got.exceptAll(chunks).count() == 0 and got.count() == chunks.count()
+
+
+def test_converters(spark, folder):
+    def to_docx(data):
+        if data != b"%PDF":
+            raise ValueError("no")
+        return make_docx()
+
+    c = S.converted(S.read_files(spark, folder).where("format in ('pdf', 'zip', 'txt')"), {"pdf": ("docx", to_docx), "zip": ("docx", to_docx)})
+    got = {r.path.rsplit("/", 1)[1]: r for r in c.collect()}
+    assert got["e.pdf"].format == "docx" and got["e.pdf"].metadata["original_format"] == "pdf" and got["f.zip"].error == "ValueError: no" and got["c.TXT"].metadata is None
+    assert api.split_document(c.where("format = 'docx'")).count() == 1
+
+
+def test_rtf_sections(spark):
+    d = spark.createDataFrame([(1, "某某办法 第一条 甲甲甲甲甲甲甲甲甲。 第二条 乙乙乙乙乙乙乙乙乙。"), (2, None)], "doc_id int, text string")
+    assert [r.heading for r in S.rtf_sections(d).orderBy("seq").collect()] == ["某某办法", "第一条", "第二条"]
