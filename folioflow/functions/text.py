@@ -45,8 +45,8 @@ def clean_text(c: Column) -> Column:
 
     def line(x: Column) -> Column:
         x = F.regexp_replace(x, r"[ \t]+", " ")
-        x = F.regexp_replace(x, r"(?U)\s*([，。；：！？、）】}])\s*", "$1")
-        x = F.regexp_replace(x, r"(?U)\s*([（【{])\s*", "$1")
+        x = F.regexp_replace(x, r"(?U)\s*([、。！？，：；】）}])\s*", "$1")
+        x = F.regexp_replace(x, r"(?U)\s*([{【（])\s*", "$1")
         x = F.regexp_replace(x, rf"(?U)(\d)\s+([{P.HAN}])", "$1$2")
         x = F.regexp_replace(x, rf"(?U)([{P.HAN}])\s+(\d)", "$1$2")
         x = F.regexp_replace(x, r"(?U)([\x{4e00}-\x{9fff}])\s+([\x{4e00}-\x{9fff}])", "$1$2")

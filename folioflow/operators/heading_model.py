@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import kernels as K
 from ..functions import text as X
 
-_NONE = {"is_heading": False, "level": 0, "confidence": 0.0}
+_NONE = dict(is_heading=False, level=0, confidence=0.0)
 
 
 def prompt(texts: list[str]) -> str:

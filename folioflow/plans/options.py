@@ -6,6 +6,7 @@ import json
 import os
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, fields, replace
+from pathlib import Path
 
 
 @dataclass(frozen=True)
@@ -67,15 +68,13 @@ def load(path: str | None = None, **given) -> tuple[Options, HeadingModel]:
     """Options and heading model; unknown names in the file are ignored, those given are an error."""
     data = {}
     if path:
-        with open(path, encoding="utf-8") as f:
-            data = json.load(f)
+        data = json.loads(Path(path).read_text("utf-8"))
     options = _merged(Options(), data.get("document", {}), _ENV)
     return replace(options, **given), _merged(HeadingModel(), data.get("llm", {}), _MODEL_ENV)
 
 
 def save(options: Options, path: str) -> None:
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump({"document": asdict(options)}, f, ensure_ascii=False, indent=2)
+    Path(path).write_text(json.dumps({"document": asdict(options)}, ensure_ascii=False, indent=2), "utf-8")
 
 
 def for_domain(domain: str, kind: str = "", **given) -> Options:

@@ -383,7 +383,7 @@ def x5_clean_legal_text(spark, sf):
     return legal_docs(spark, sf).select("doc_id", F.md5(X.clean_legal_text(F.col("text"))).alias("hash"))
 
 
-_CLEAN = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), '\s*([，。；：！？、）】}])\s*', '\1', 'g'), '\s*([（【{])\s*', '\1', 'g'), '([0-9])\s+([一二三四五六七八九十])', '\1\2', 'g'), '([一二三四五六七八九十])\s+([0-9])', '\1\2', 'g'), '([\x{4e00}-\x{9fff}])\s+([\x{4e00}-\x{9fff}])', '\1\2', 'g'), '^\s+|\s+$', '', 'g')"
+_CLEAN = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), '\s*([、。！？，：；】）}])\s*', '\1', 'g'), '\s*([{【（])\s*', '\1', 'g'), '([0-9])\s+([一二三四五六七八九十])', '\1\2', 'g'), '([一二三四五六七八九十])\s+([0-9])', '\1\2', 'g'), '([\x{4e00}-\x{9fff}])\s+([\x{4e00}-\x{9fff}])', '\1\2', 'g'), '^\s+|\s+$', '', 'g')"
 
 
 @query(f"with {LEGAL}, {LINES}, c as (select doc_id, seq, {_CLEAN} as t from lines) select doc_id, md5(string_agg(t, chr(10) order by seq)) as hash from c group by doc_id")
@@ -503,7 +503,7 @@ def l5_rule_headings(spark, sf):
     return lines.select("i", "text", X.rule_heading(F.col("text")).alias("v")).select("i", "text", "v.*")
 
 
-@query(r"with m as (select c_custkey as doc_id, '一、' || c_name || '二、' || c_mktsegment || '三、' || cast(round(c_acctbal) as bigint) as text from customer) select doc_id, len(list_filter(['一、','二、','三、','四、','五、','六、','七、','八、','九、','十、','（一）','（二）','（三）','（四）','（五）','1、','2、','3、','4、','5、'], lambda x: contains(text, x))) >= 3 as structured, cast(len(p) as int) as sections, md5(array_to_string(p, '|')) as hash from (select doc_id, text, list_filter(string_split(regexp_replace(text, '([一二三四五六七八]、)', chr(1) || '\1', 'g'), chr(1)), lambda x: x <> '') as p from m)")
+@query(r"with m as (select c_custkey as doc_id, '一、' || c_name || '二、' || c_mktsegment || '三、' || cast(round(c_acctbal) as bigint) as text from customer) select doc_id, len(list_filter(string_split('" + "|".join(P.STRUCTURE_MARKERS) + r"', '|'), lambda x: contains(text, x))) >= 3 as structured, cast(len(p) as int) as sections, md5(array_to_string(p, '|')) as hash from (select doc_id, text, list_filter(string_split(regexp_replace(text, '([一二三四五六七八]、)', chr(1) || '\1', 'g'), chr(1)), lambda x: x <> '') as p from m)")
 def c8_marker_sections(spark, sf):
     m = table(spark, sf, "customer").selectExpr("c_custkey doc_id", "concat('一、', c_name, '二、', c_mktsegment, '三、', cast(round(c_acctbal) as bigint)) text")
     p = m.select("doc_id", X.has_structure(F.col("text")).alias("structured"), C.fold(C.K.marker_sections, "array<string>")(F.col("text")).alias("p"))

@@ -7,7 +7,7 @@ import re
 from ..functions import kernels as K
 
 _SKIP = "fonttbl colortbl stylesheet info listtable listoverridetable generator pict themedata datastore latentstyles xmlnstbl".split()
-_TOKEN = re.compile(rb"\\([a-zA-Z]+)(-?\d+)? ?|\\'([0-9a-fA-F]{2})|\\(\*|[^a-zA-Z])|([{}])|([^\\{}]+)", re.S)
+_TOKEN = re.compile(rb"\\([a-zA-Z]+)(-?\d+)? ?|\\'((?i:[\da-f]{2}))|\\(\*|[^a-zA-Z])|([{}])|([^\\{}]+)", re.S)
 _BREAKS = {"par": "\n", "line": "\n", "tab": "\t", "sect": "\n", "page": "\n", "row": "\n", "cell": " | "}
 
 
@@ -76,7 +76,7 @@ def parse(data: bytes) -> str:
 
 def direct(data: bytes) -> str:
     """What is left if only readable characters stay."""
-    text = re.sub(rb"(?:\\'[0-9a-fA-F]{2})+", lambda m: bytes.fromhex(m.group().decode().replace("\\'", "")), data).decode("gbk", "ignore")
+    text = re.sub(rb"(?i:\\'[\da-f]{2})+", lambda m: bytes.fromhex(m.group().decode().replace("\\'", "")), data).decode("gbk", "ignore")
     return re.sub(r"\s+", " ", re.sub(r"[^\u4e00-\u9fff\w\s，。；：！？、（）()《》.,;:!?-]", "", re.sub(r"\\[a-z]+-?\d* ?|[{}]", "", text))).strip()
 
 
