@@ -15,6 +15,7 @@ from ..operators import hierarchy as H
 from ..operators import stats as S
 from ..operators import tabular as T
 from . import api
+from .options import Options
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -229,7 +230,21 @@ def c5_slide(spark, sf):
     return hashed(C.slide(documents(spark, sf), 500, 50))
 
 
-@query()
+_E = "[。！？；.!?;]"
+_STRIP = r"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+_STRICT = (
+    f"""big as (select doc_id, chunk_id, list_filter(list_transform(regexp_extract_all(content, '[^。！？；.!?;]*{_E}|[^。！？；.!?;]+'), lambda x: {_STRIP.replace('{x}', 'x')}), lambda x: x <> '') as l from chunks where length(content) > 400),
+    fold as (select doc_id, chunk_id, 0::bigint as i, '' as now, []::varchar[] as out from big
+      union all select doc_id, chunk_id, i + 1, case when fits then longer when now = '' then '' when tail <> '' then tail || chr(10) || s else s end, case when fits then out when now = '' then list_append(out, s) else list_append(out, now) end
+      from (select *, length(longer) <= 400 as fits, case when length(now) <= 40 then now when regexp_matches(right(now, 40), '{_E}') then {_STRIP.replace('{x}', f"regexp_replace(right(now, 40), '(?s)^[^。！？；.!?;]*{_E}', '')")} else {_STRIP.replace('{x}', 'right(now, 40)')} end as tail
+        from (select f.*, b.l[f.i + 1] as s, case when f.now = '' then b.l[f.i + 1] else f.now || chr(10) || b.l[f.i + 1] end as longer from fold f join big b using (doc_id, chunk_id) where f.i < len(b.l)))),
+    parts as (select f.doc_id, f.chunk_id, case when now <> '' then list_append(out, now) else out end as p from fold f join big b using (doc_id, chunk_id) where f.i = len(b.l)),
+    every as (select doc_id, chunk_id, 0 as k, content from chunks where length(content) <= 400 union all select doc_id, chunk_id, unnest(range(1, len(p) + 1)), unnest(p) from parts)
+    select doc_id, cast(row_number() over (partition by doc_id order by chunk_id, k) as int) as chunk_id, cast(length(content) as int) as len, md5(content) as hash from every"""
+)
+
+
+@query(_pack_sql(900, 0, ", " + _STRICT))
 def c13_strict_sizes(spark, sf):
     return hashed(C.strict_sizes(C.pack_sentences(documents(spark, sf), 900, 0), 400, 40))
 
@@ -346,10 +361,15 @@ def c20_articles_by_chapter(spark, sf):
     return hashed(C.articles(legal_docs(spark, sf), "chapter"))
 
 
+_REPAIR = (
+    f"walk as (select doc_id, 1::bigint as i, []::varchar[] as out from d union all select doc_id, i + case when glue then 2 else 1 end, list_append(out, case when glue then now || case when bare then '' else chr(10) || chr(10) end || after else now end) from (select *, after is not null and (bare or (length(now) < 100 and regexp_matches(now, '{P.ARTICLE}') and not regexp_matches(after, '^{P.ARTICLE}'))) as glue from (select w.*, l[i] as now, l[i + 1] as after, coalesce(ends_with(l[i], '应当对本办法') and regexp_matches(l[i + 1], '{P.ARTICLE}.*?的内容进行'), false) as bare from walk w join d using (doc_id) where i <= len(l)))), "
+    + "done as (select w.doc_id, w.out from walk w join d using (doc_id) where w.i > len(d.l)) select doc_id, cast(k as int) as chunk_id, cast(length(out[k]) as int) as len, md5(out[k]) as hash from (select doc_id, out, unnest(range(1, len(out) + 1)) as k from done)"
+)
+
+
 @query(
     f"with recursive {LEGAL}, d as (select doc_id, list_transform(range(0, length(text), 60), lambda i: substr(text, i + 1, 60)) as l from legal), "
-    + f"walk as (select doc_id, 1::bigint as i, []::varchar[] as out from d union all select doc_id, i + case when glue then 2 else 1 end, list_append(out, case when glue then now || case when bare then '' else chr(10) || chr(10) end || after else now end) from (select *, after is not null and (bare or (length(now) < 100 and regexp_matches(now, '{P.ARTICLE}') and not regexp_matches(after, '^{P.ARTICLE}'))) as glue from (select w.*, l[i] as now, l[i + 1] as after, coalesce(ends_with(l[i], '应当对本办法') and regexp_matches(l[i + 1], '{P.ARTICLE}.*?的内容进行'), false) as bare from walk w join d using (doc_id) where i <= len(l)))), "
-    + "done as (select w.doc_id, w.out from walk w join d using (doc_id) where w.i > len(d.l)) select doc_id, cast(k as int) as chunk_id, cast(length(out[k]) as int) as len, md5(out[k]) as hash from (select doc_id, out, unnest(range(1, len(out) + 1)) as k from done)"
+    + _REPAIR
 )
 def c22_repair_articles(spark, sf):
     return hashed(C.repair_articles(C.windows(legal_docs(spark, sf), 60)))
@@ -516,9 +536,14 @@ def c7_pack_structure(spark, sf):
     return hashed(C.pack_structure(m, 60, 20))
 
 
-@query()
+def _legal_pack_sql(limit: int, overlap: int, tail: str) -> str:
+    q = _pack_sql(limit, overlap, tail).replace("with recursive ", f"with recursive {LEGAL}, ", 1)
+    return q.replace("select doc_id, lang, list_filter", "select doc_id, '' as lang, list_filter", 1).replace("text from documents)", "text from legal)", 1)
+
+
+@query(_legal_pack_sql(400, 40, ", c as (select doc_id, chunk_id, content from chunks where doc_id in (select doc_id from legal where length(text) > 400) union all select doc_id, 1, text from legal where length(text) <= 400), d as (select doc_id, list(content order by chunk_id) as l from c group by doc_id), " + _REPAIR.replace("walk", "mend")))
 def e5_legal_pipeline(spark, sf):
-    return hashed(api.split_legal_text(legal_docs(spark, sf)))
+    return hashed(api.split_legal_text(legal_docs(spark, sf), Options(max_tokens=400, overlap=0)))
 
 
 @query()
