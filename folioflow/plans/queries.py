@@ -449,7 +449,18 @@ def t3_flatten_all_levels(spark, sf):
     return H.flatten(tree(spark, sf), "all_levels").withColumn("hash", F.md5("content")).drop("content")
 
 
-@query()
+_T4_LINES = "src as (select doc_id, seq, unnest(string_split(array_to_string(path, ' > ') || chr(10) || chr(10) || content, chr(10))) as text, generate_subscripts(string_split(array_to_string(path, ' > ') || chr(10) || chr(10) || content, chr(10)), 1) as k from tree where is_leaf)"
+
+
+@query(
+    _TREE_SQL.rstrip() + f""", {_T4_LINES}, cl as (select doc_id, seq, string_agg({_CLEAN}, chr(10) order by k) as content from src group by doc_id, seq),
+    nb as (select doc_id, row_number() over (partition by doc_id order by seq) as chunk_id, content, {_FP} as s from cl),
+    fd as (select doc_id, list(s order by chunk_id) as fs, list(content order by chunk_id) as cs, count(*) as n from nb group by doc_id),
+    keep as (select doc_id, 0::bigint as i, []::bigint[] as kept from fd
+      union all select k.doc_id, k.i + 1, case when len(list_filter(k.kept, lambda j: 10 * len(list_intersect(fd.fs[j], fd.fs[k.i + 1])) >= 7 * len(list_distinct(list_concat(fd.fs[j], fd.fs[k.i + 1]))))) > 0 then k.kept else list_append(k.kept, k.i + 1) end
+      from keep k join fd using (doc_id) where k.i < fd.n)
+    select doc_id, cast(pos as int) as chunk_id, cast(length(cs[kept[pos]]) as int) as len, md5(cs[kept[pos]]) as hash from (select doc_id, kept, cs, unnest(range(1, len(kept) + 1)) as pos from keep join fd using (doc_id) where i = n)"""
+)
 def t4_flatten_with_paths(spark, sf):
     return hashed(H.flatten_with_paths(tree(spark, sf), limit=400, overlap=40))
 
@@ -465,7 +476,21 @@ def a1_concat_text(spark, sf):
     return H.concat_text(tree(spark, sf)).select("doc_id", F.md5("text").alias("hash"))
 
 
-@query()
+def _tree_pack_sql(limit: int, overlap: int, tail: str) -> str:
+    """Packing of the sections of the tree, keyed by document and section."""
+    q = _pack_sql(limit, overlap, tail).replace("with recursive ", _TREE_SQL.rstrip() + ", src as (select doc_id * 100000 + seq as doc_id, content as text from tree), ", 1)
+    return q.replace("select doc_id, lang, list_filter", "select doc_id, '' as lang, list_filter", 1).replace("text from documents)", "text from src)", 1).replace("walk", "steps0").replace("steps0 as (select doc_id, 0::bigint as i, []::bigint[] as stack", "walk as (select doc_id, 0::bigint as i, []::bigint[] as stack", 1).replace("from steps0 w join d using", "from walk w join d using")
+
+
+_PARTS = """, cut as (select c.doc_id // 100000 as doc_id, c.doc_id % 100000 as seq, c.chunk_id as k, c.content, t.heading, t.level from chunks c join tree t on t.doc_id = c.doc_id // 100000 and t.seq = c.doc_id % 100000 where length(t.content) > 60),
+whole as (select doc_id, seq, 0 as part, heading, content, level from tree where length(content) <= 60),
+rows_ as (select *, 'sibling' as style from whole union all select doc_id, seq, k - 1, case when k > 1 then heading || ' (Part ' || k || ')' else heading end, content, level, 'sibling' from cut
+  union all select *, 'child' from whole union all select doc_id, seq, k, heading || ' (Part ' || k || ')', content, level + 1, 'child' from cut
+  union all select distinct doc_id, seq, 0, heading, '', level, 'child' from cut)
+select doc_id, cast(seq as int) as seq, cast(part as int) as part, heading, md5(content) as content, level, style from rows_"""
+
+
+@query(_tree_pack_sql(60, 10, _PARTS))
 def c14_section_parts(spark, sf):
     s = tree(spark, sf)
     return C.section_parts(s, 60, 10, "sibling").withColumn("content", F.md5("content")).withColumn("style", F.lit("sibling")).unionByName(C.section_parts(s, 60, 10, "child").withColumn("content", F.md5("content")).withColumn("style", F.lit("child")))
