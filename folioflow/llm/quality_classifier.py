@@ -97,23 +97,27 @@ def features(texts: list[str | None], bits: int) -> list[tuple[np.ndarray, np.nd
     return out
 
 
-def train(texts: list[str | None], labels: list[int], p: Params = Params()) -> np.ndarray:
-    """Weights of the buckets, the bias last."""
-    size = 1 << p.bits
-    z, n = np.zeros(size + 1), np.zeros(size + 1)
-    families = features(texts, p.bits)
+def sparse_rows(texts: list[str | None], bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(buckets, values) of each text; the last bucket, 2**bits, is the bias."""
+    families = features(texts, bits)
     rows = []
     for i in range(len(texts)):
-        idx, val = [np.array([size])], [np.array([1.0])]
+        idx, val = [np.array([1 << bits])], [np.array([1.0])]
         for g, b in families:
             part = g[b[i] : b[i + 1]]
             if len(part):
                 u, k = np.unique(part, return_counts=True)
                 idx.append(u)
                 val.append(k / len(part))
-        idx, val = np.concatenate(idx), np.concatenate(val)
-        u, inverse = np.unique(idx, return_inverse=True)
-        rows.append((u, np.bincount(inverse, val)))
+        u, inverse = np.unique(np.concatenate(idx), return_inverse=True)
+        rows.append((u.astype(np.int32), np.bincount(inverse, np.concatenate(val)).astype(np.float32)))
+    return rows
+
+
+def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[int], p: Params = Params()) -> np.ndarray:
+    """Weights of the buckets, the bias last."""
+    size = 1 << p.bits
+    z, n = np.zeros(size + 1), np.zeros(size + 1)
 
     def weights(i):
         zi = z[i]
@@ -151,10 +155,16 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> np.ndarray:
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(p.max_labelled)
     )
-    sample = K.narrow(docs).where("doc_id is not null").join(F.broadcast(majority), "doc_id").toArrow()
-    order = np.argsort(np.array(sample["doc_id"].to_pylist(), np.int64), kind="stable")
-    texts, y = sample["text"].to_pylist(), sample["y"].to_pylist()
-    return train([texts[i] for i in order], [y[i] for i in order], p)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in K.slices(batches):
+            rows = sparse_rows(K.column(b, "text"), p.bits)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([i for i, _ in rows], pa.list_(pa.int32())), pa.array([v for _, v in rows], pa.list_(pa.float32()))], ["doc_id", "y", "i", "v"])
+
+    sample = K.narrow(docs).where("doc_id is not null").join(F.broadcast(majority), "doc_id").select("doc_id", "text", "y")
+    found = sample.mapInArrow(run, "doc_id bigint, y int, i array<int>, v array<float>").toArrow().combine_chunks()  # features, so that long texts stay where they are
+    order = np.argsort(found["doc_id"].to_numpy(), kind="stable")
+    i, v, y = found["i"].combine_chunks(), found["v"].combine_chunks(), found["y"].to_pylist()
+    return train([(i[int(k)].values.to_numpy(), v[int(k)].values.to_numpy()) for k in order], [y[k] for k in order], p)
 
 
 def score(docs: DataFrame, w: np.ndarray, p: Params = Params()) -> DataFrame:

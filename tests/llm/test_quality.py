@@ -9,7 +9,7 @@ def test_held_out_accuracy(spark):
 
     sf = "/root/testdata/sf0.01"
     d = pd.read_parquet(f"{sf}/documents.parquet").merge(pd.read_parquet(f"{sf}/labels.parquet"), on="doc_id")
-    w = C.train(d.text[:250].tolist(), d.quality[:250].tolist())
+    w = C.train(C.sparse_rows(d.text[:250].tolist(), 18), d.quality[:250].tolist())
     s, _ = C.score_texts(d.text[250:].tolist(), w, 18)
     good = d.quality[250:].to_numpy() == 1
     assert ((s >= C.Params().threshold) == good).mean() > 0.95
