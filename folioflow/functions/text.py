@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from . import patterns as P
 
 
+_BLANK = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(_BLANK))
 
 
 def contains_any(c: Column, words) -> Column:
