@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -548,6 +549,27 @@ def l5_rule_headings(spark, sf):
     return lines.select("i", "text", X.rule_heading(F.col("text")).alias("v")).select("i", "text", "v.*")
 
 
+_L5_LINES = rf"""with {LEGAL}, {LINES}, m as (select c_custkey as doc_id, '一、' || c_name || chr(10) || '二、' || c_mktsegment || chr(10) || '三、' || cast(round(c_acctbal) as bigint) as text from customer),
+every as (select 'legal' as corpus, doc_id, seq, text from lines
+ union all select 'markers', doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1, unnest(string_split(text, chr(10))) from m
+ union all select 'documents', doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1, unnest(string_split(text, chr(10))) from documents),
+kinds as (select corpus, doc_id, seq, t, length(t) as n, case when regexp_matches(t, '^[一二三四五六七八九十]、') then 1 when regexp_matches(t, '^（[一二三四五六七八九十]）') then 2 when regexp_matches(t, '^([1-9]|10)、') then 3 when regexp_matches(t, '^\(([1-9]|10)\)') then 4 else 0 end as lv
+ from (select *, regexp_replace(text, '^\s+|\s+$', '', 'g') as t from every)),
+rated as (select *, case lv when 0 then false when 1 then n <= 100 when 2 then n <= 20 and not regexp_matches(t, '[：:，。]') else n <= 15 and not regexp_matches(t, '[：:，]') end as h from kinds)
+select corpus, doc_id, cast(seq as int) as seq, h as is_heading, cast(case when h then lv else 0 end as int) as level,
+ (case when h then [0.0, 0.9, 0.7, 0.6, 0.5][lv + 1] else [0.9, 0.8, 0.8, 0.7, 0.6][lv + 1] end)::double as confidence from rated"""
+
+
+@query(_L5_LINES)
+def l5_line_headings(spark, sf):
+    """Every line of documents, and of the derived texts, as documents hold no list marks."""
+    marked = table(spark, sf, "customer").selectExpr("c_custkey doc_id", r"concat('一、', c_name, '\n二、', c_mktsegment, '\n三、', cast(round(c_acctbal) as bigint)) text")
+    split = lambda d: d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("seq", "text"))
+    parts = {"legal": legal_lines(spark, sf).select("doc_id", "seq", "text"), "markers": split(marked), "documents": split(documents(spark, sf))}
+    every = reduce(DataFrame.unionByName, (d.withColumn("corpus", F.lit(k)) for k, d in parts.items()))
+    return every.select("corpus", "doc_id", F.col("seq").cast("int").alias("seq"), X.rule_heading(F.col("text")).alias("v")).select("corpus", "doc_id", "seq", "v.*")
+
+
 @query(r"with m as (select c_custkey as doc_id, '一、' || c_name || '二、' || c_mktsegment || '三、' || cast(round(c_acctbal) as bigint) as text from customer) select doc_id, len(list_filter(string_split('" + "|".join(P.STRUCTURE_MARKERS) + r"', '|'), lambda x: contains(text, x))) >= 3 as structured, cast(len(p) as int) as sections, md5(array_to_string(p, '|')) as hash from (select doc_id, text, list_filter(string_split(regexp_replace(text, '([一二三四五六七八]、)', chr(1) || '\1', 'g'), chr(1)), lambda x: x <> '') as p from m)")
 def c8_marker_sections(spark, sf):
     m = table(spark, sf, "customer").selectExpr("c_custkey doc_id", "concat('一、', c_name, '二、', c_mktsegment, '三、', cast(round(c_acctbal) as bigint)) text")

@@ -39,6 +39,14 @@ def test_query(spark, duck, name):
     assert plain(rows, df.columns) == plain(got.fetchall(), names)
 
 
+def test_every_line_is_rated_as_a_heading_or_not(spark):
+    rows = E.queries()["l5_line_headings"](spark, SF).groupBy("corpus", "level").count().collect()
+    n = {(r["corpus"], r["level"]): r["count"] for r in rows}
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert n["documents", 0] == sum(r.text.count("\n") + 1 for r in docs.where("text is not null").collect())
+    assert n["markers", 1] == 3 * spark.read.parquet(f"{SF}/customer.parquet").count() and {k for c, k in n if c == "legal"} >= {0, 2}
+
+
 def test_entry(spark):
     assert E.entry(spark).count() == 4
 
