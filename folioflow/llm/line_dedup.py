@@ -5,6 +5,11 @@ put into the middle of a line, so lines are cut at sentence ends. Units are norm
 lower-cased words and digested to 128 bits. Units of fewer than ``min_words`` words are left alone. Of the occurrences
 of a digest, the one with the smallest (doc_id, start) stays; all others are removed.
 
+``removed`` leaves the short units of a repeated passage. ``removed_passages`` takes them too: a short unit is also digested
+together with all units from the nearest long unit before it, and with all up to the nearest long unit behind it; if either
+digest has an earlier occurrence, it goes. So a short unit only goes with a long neighbour that is repeated at the same place.
+A first or last sentence that shares its unit with the host text stays, as does a passage without a sentence end.
+
 A removed span runs from the unit's first word to the first word of the next unit or the end of the text, in code
 points of the original text.
 
@@ -15,7 +20,7 @@ other columns, of any name, are kept as they are by ``clean`` and ignored by ``r
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -49,7 +54,10 @@ def unit_table(docs: DataFrame, p: Params = Params()) -> DataFrame:
 
 def removed(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """(doc_id, start, stop, n_words, keep_doc_id, keep_start) of each occurrence that goes."""
-    units = unit_table(docs, p)
+    return _later(unit_table(docs, p))
+
+
+def _later(units: DataFrame) -> DataFrame:
     first = units.groupBy("a", "b").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max(F.struct("doc_id", "start")).alias("last")).where("first != last").select("a", "b", "first")
     return (
         units.join(first, ["a", "b"])
@@ -59,6 +67,36 @@ def removed(docs: DataFrame, p: Params = Params()) -> DataFrame:
     )
 
 
+def passage_table(docs: DataFrame, p: Params = Params()) -> DataFrame:
+    """As ``unit_table``, with two more rows of each short unit: its digests with the long unit before it and behind it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in K.slices(batches):
+            u = K.units(K.column(x, "text"))
+            n, text = len(u["words"]), u["text"]
+            i, long = np.arange(n), u["words"] >= p.min_words
+            before = np.maximum.accumulate(np.where(long, i, -1)) if n else i
+            behind = np.minimum.accumulate(np.where(long, i, n)[::-1])[::-1] if n else i
+            left = np.flatnonzero(~long & (before >= 0) & (text[np.maximum(before, 0)] == text))
+            right = np.flatnonzero(~long & (behind < n) & (text[np.minimum(behind, n - 1)] == text))
+            own = np.flatnonzero(long)
+            k = np.concatenate([own, left, right])
+            a, b = (np.concatenate([u[c][own], K._run_hashes(u[c], before[left], left + 1), K._run_hashes(u[c], right, behind[right] + 1)]) for c in "ab")
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), x.column(0).take(pa.array(text[k])), *(pa.array(u[c][k].astype(np.int32)) for c in ("start", "stop", "words"))],
+                ["a", "b", "doc_id", "start", "stop", "n_words"],
+            )
+
+    return K.narrow(docs).where("doc_id is not null and text is not null").mapInArrow(run, "a bigint, b bigint, doc_id bigint, start int, stop int, n_words int")
+
+
+def removed_passages(docs: DataFrame, p: Params = Params()) -> DataFrame:
+    """As ``removed``, with the short units of repeated passages; of two places that a short unit repeats, the first is named."""
+    found = _later(passage_table(docs, p))
+    first = F.min(F.struct("keep_doc_id", "keep_start")).alias("first")
+    return found.groupBy("doc_id", "start", "stop", "n_words").agg(first).select("doc_id", "start", "stop", "n_words", "first.*")
+
+
 def cut_spans(text: str, starts: list[int], stops: list[int]) -> str:
     out, at = [], 0
     for a, b in sorted(zip(map(int, starts), map(int, stops))):
@@ -69,10 +107,10 @@ def cut_spans(text: str, starts: list[int], stops: list[int]) -> str:
     return "".join(out)
 
 
-def clean(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """``docs`` without the removed spans, with the same columns and rows; n_chars, if there, follows the text."""
+def clean(docs: DataFrame, p: Params = Params(), find: Callable[[DataFrame, Params], DataFrame] = removed) -> DataFrame:
+    """``docs`` without the spans that ``find`` (``removed`` or ``removed_passages``) gives, with the same columns and rows; n_chars, if there, follows the text."""
     cols = docs.columns
-    spans = removed(docs, p).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("start", "stop")).alias("__spans"))
+    spans = find(docs, p).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("start", "stop")).alias("__spans"))
     joined = docs.select(F.struct(*(F.col(f"`{c}`") for c in cols)).alias("__row"), F.col("doc_id").cast("bigint").alias("__id")).join(spans, "__id", "left")
 
     @F.pandas_udf("string")
@@ -110,3 +148,23 @@ ranked as (
 select doc_id, cast(start as int) as start, cast(stop as int) as stop, cast(n_words as int) as n_words, keep_doc_id, cast(keep_start as int) as keep_start
 from ranked where doc_id <> keep_doc_id or start <> keep_start
 """
+
+PASSAGES_SQL = (
+    ORACLE_SQL[: ORACLE_SQL.index("ranked as (")]
+    + r"""
+marks as (
+  select *, n_words >= 6 as long, sum((n_words >= 6)::int) over (partition by doc_id order by start) as l,
+         sum((n_words >= 6)::int) over (partition by doc_id order by start desc) as r from whole),
+keys as (
+  select doc_id, start, stop, n_words, 0 as kind, norm as key from marks where long
+  union all
+  select doc_id, start, stop, n_words, 1, key from (select *, string_agg(norm, '|') over (partition by doc_id, l order by start) as key from marks where l > 0) where not long
+  union all
+  select doc_id, start, stop, n_words, 2, key from (select *, string_agg(norm, '|') over (partition by doc_id, r order by start desc) as key from marks where r > 0) where not long),
+ranked as (
+  select *, min_by(doc_id, (doc_id, start)) over (partition by kind, key) as keep_doc_id, min_by(start, (doc_id, start)) over (partition by kind, key) as keep_start from keys)
+select doc_id, cast(start as int) as start, cast(stop as int) as stop, cast(n_words as int) as n_words,
+       min_by(keep_doc_id, (keep_doc_id, keep_start)) as keep_doc_id, cast(min_by(keep_start, (keep_doc_id, keep_start)) as int) as keep_start
+from ranked where doc_id <> keep_doc_id or start <> keep_start group by doc_id, start, stop, n_words
+"""
+)

@@ -27,6 +27,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.removed(read_table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.removed_passages(read_table(spark, sf_dir, "documents"))
+
+
 def op5_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(read_table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,6 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_blocks, op2_suffix_dedup, op3_simhash_near_dedup, op4_substring_dedup, op5_private_data, op6_quality_rules, op7_sentence_pieces, op8_best_fit_packing, op9_tiff_pages, op10_quality_classifier)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_blocks, op2_suffix_dedup, op3_simhash_near_dedup, op4_substring_dedup, op4_substring_dedup_passages, op5_private_data, op6_quality_rules, op7_sentence_pieces, op8_best_fit_packing, op9_tiff_pages, op10_quality_classifier)}
 
-ORACLE_SQL: dict[str, str] = {"op2_suffix_dedup": suffix_dedup.ORACLE_SQL, "op4_substring_dedup": line_dedup.ORACLE_SQL, "op9_tiff_pages": tiff.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_suffix_dedup": suffix_dedup.ORACLE_SQL, "op4_substring_dedup": line_dedup.ORACLE_SQL, "op4_substring_dedup_passages": line_dedup.PASSAGES_SQL, "op9_tiff_pages": tiff.ORACLE_SQL}

@@ -47,6 +47,19 @@ def test_cleaned_text_keeps_the_rest(spark):
     assert got == {1: line, 2: "Start of it. End of it."}
 
 
+def test_short_sentences_of_a_passage_go_with_it(spark):
+    passage = "The first sentence has more than six words. Yes. No, never. Another sentence of more than six words follows. Quite so."
+    rows = [(1, passage), (2, f"Here it is told again by us. {passage} And so it ends for all of us. Yes."), (3, "Yes. No, never. A sentence of its own with enough words. Quite so.")]
+    got = {r.doc_id: r.text for r in L.clean(spark.createDataFrame(rows, "doc_id bigint, text string"), find=L.removed_passages).collect()}
+    assert got == {1: passage, 2: "Here it is told again by us. And so it ends for all of us. Yes.", 3: rows[2][1]}
+
+
+def test_passages_hold_all_that_removed_holds(documents):
+    spans = lambda df: {(r.doc_id, r.start, r.stop) for r in df.collect()}
+    short, whole = spans(L.removed(documents)), L.removed_passages(documents)
+    assert short < spans(whole) and whole.where("n_words < 6").count() == len(spans(whole) - short)
+
+
 def test_odd_rows(odd_docs, no_docs):
     rows = L.removed(odd_docs).collect()
     assert {r.doc_id for r in rows} <= {2}
