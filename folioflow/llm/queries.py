@@ -60,4 +60,4 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_blocks, op2_suffix_dedup, op3_simhash_near_dedup, op4_substring_dedup, op4_substring_dedup_passages, op5_private_data, op6_quality_rules, op7_sentence_pieces, op8_best_fit_packing, op9_tiff_pages, op10_quality_classifier)}
 
-ORACLE_SQL: dict[str, str] = {"op2_suffix_dedup": suffix_dedup.ORACLE_SQL, "op4_substring_dedup": line_dedup.ORACLE_SQL, "op4_substring_dedup_passages": line_dedup.PASSAGES_SQL, "op9_tiff_pages": tiff.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_suffix_dedup": suffix_dedup.ORACLE_SQL, "op4_substring_dedup": line_dedup.ORACLE_SQL, "op4_substring_dedup_passages": line_dedup.PASSAGES_SQL, "op8_best_fit_packing": packing.ORACLE_SQL, "op9_tiff_pages": tiff.ORACLE_SQL}

@@ -1,3 +1,6 @@
+from collections import Counter
+
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -18,11 +21,31 @@ def brute(lengths, capacity):
     return out
 
 
+def placed(runs, lengths):
+    """(bin, offset) of each of the lengths, longest first, by the runs of the plan."""
+    out = []
+    for x in sorted(set(lengths), reverse=True):
+        mine = [r for r in runs if r[0] == x]
+        for rank in range(lengths.count(x)):
+            _, start, first, k, offset = [r for r in mine if r[1] <= rank][-1]
+            out.append((first + (rank - start) // k, offset + (rank - start) % k * x))
+    return out
+
+
 @given(st.integers(1, 70), st.lists(st.integers(1, 70), max_size=200))
 @settings(max_examples=200, deadline=None)
 def test_against_brute_force(capacity, lengths):
     lengths = sorted((min(x, capacity) for x in lengths), reverse=True)
-    assert P.pack_lengths(lengths, capacity) == brute(lengths, capacity)
+    runs = P.plan(list(Counter(lengths).items()), capacity).tolist()
+    assert placed(runs, lengths) == brute(lengths, capacity)
+
+
+def test_the_plan_does_not_grow_with_the_documents():
+    r = np.random.default_rng(3)
+    sizes = np.unique(r.integers(1, 32769, 4000))
+    few, many = (P.plan([(int(x), int(n)) for x, n in zip(sizes, r.integers(1, 10, len(sizes)) * f)], 32768) for f in (100, 1_000_000))
+    assert len(many) < 1.2 * len(few) < 20 * len(sizes)
+    assert (np.bincount(np.searchsorted(sizes, many[:, 0])) > 0).all()
 
 
 def test_whole_table(documents):
@@ -32,7 +55,7 @@ def test_whole_table(documents):
     total, spans = {}, {}
     for r in rows:
         total[r.doc_id] = total.get(r.doc_id, 0) + r.n_tokens
-        spans.setdefault((r.shard, r.bin), []).append((r.bin_offset, r.bin_offset + r.n_tokens))
+        spans.setdefault(r.bin, []).append((r.bin_offset, r.bin_offset + r.n_tokens))
     assert total == size
     for x in spans.values():
         x.sort()
@@ -41,6 +64,33 @@ def test_whole_table(documents):
     assert [(r.bin, r.bin_offset) for r in order] == brute([r.n_tokens for r in order], 4096)
 
 
+def test_ids_above_2_to_the_53_beside_null(spark):
+    ids = [9007199254740993, 9007199254740995, None, -(2**63), 2**63 - 1]
+    docs = spark.createDataFrame([(i, "abc") for i in ids], "doc_id bigint, text string")
+    assert {r.doc_id for r in P.pack(docs).collect()} == set(ids)
+
+
+def test_hot_and_long_ids_over_partitions(spark):
+    """A null id in a third of the rows, repeated ids, and texts of many pieces; ranks run over partitions."""
+    r = np.random.default_rng(2)
+    rows = [(None if i % 3 == 0 else int(i % 500), "x" * int(r.integers(0, 9))) for i in range(30_000)] + [(7, "y" * 90)] * 3
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    got = P.pack(docs, P.Params(capacity=20)).collect()
+    copies, want = {}, []
+    for i, n in sorted(((-1 if i is None else i), len(t) + 1) for i, t in rows):
+        copies[i] = copies.get(i, -1) + 1
+        want += [(-min(20, n - 20 * k), i, copies[i], k) for k in range(-(-n // 20))]
+    want.sort()
+    # the tightest bin by brute force is quadratic here; the plan itself is held against it above
+    runs = P.plan(list(Counter(-x for x, *_ in want).items()), 20).tolist()
+    rank, places = {}, []
+    for x, *_ in want:
+        q = rank[x] = rank.get(x, -1) + 1
+        _, start, first, k, offset = [s for s in runs if s[0] == -x and s[1] <= q][-1]
+        places.append((first + (q - start) // k, offset + (q - start) % k * -x))
+    assert sorted((-1 if g.doc_id is None else g.doc_id, g.copy, g.piece, g.n_tokens, g.bin, g.bin_offset) for g in got) == sorted((i, c, k, -x, *p) for (x, i, c, k), p in zip(want, places))
+
+
 def test_odd_rows(odd_docs, no_docs):
     rows = P.pack(odd_docs).collect()
     assert {(r.doc_id, r.copy) for r in rows} == {(1, 0), (2, 0), (2, 1), (3, 0), (4, 0), (None, 0), (5, 0), (6, 0), (7, 0)}
