@@ -9,8 +9,8 @@ from __future__ import annotations
 
 import functools
 import re
+import tempfile
 import unicodedata
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,11 +29,15 @@ _GAP = re.compile(r"[\W_]", re.UNICODE)
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder that the session names in spark.checkpoint.dir, set for use.
 
-    Only where that setting is absent (tests, a laptop) a folder of our own is set.
+    Only where that setting is absent and Spark runs in this very process (tests, a laptop) a folder of our own is set; on a
+    cluster a folder of one machine would lose its files with that machine, so there the setting is required.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/folioflow-checkpoint/{uuid.uuid4().hex}")
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="folioflow-checkpoint-"))
     return sc.getCheckpointDir()
 
 
