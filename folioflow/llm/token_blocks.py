@@ -1,25 +1,27 @@
 """Token ids as compressed binary blocks: an adaptive context-mixing range coder.
 
 Ids (16 bits) of the documents of a task follow each other in blocks of ``block`` ids. Each block starts from nothing and
-carries the CRC-32 of its ids. Of the orders 2 and 1, each predicts the id that followed the last occurrence of its context
-(the two ids before, hashed to 16 bits; the id before), with a confidence of how often in a row that context predicted
-right. Order 0 predicts by the counts of all ids so far, refreshed after 64, 256, 1024 and 4096 ids. The mixing weights
-of the three are adaptive: for each class of both confidences and of whether the two agree, how often each was the first
-to be right. An id takes the share of the range of the first order that predicts it, and within order 0 that of its count.
+carries the CRC-32 of its ids. Orders 0, 1 and 2 each predict an id by its share among the ids seen so far in the block: of
+all, of those after the id before, and of those after the two ids before (hashed to 16 bits); a fourth prediction is that all
+ids are alike. Every id updates them at once. The distributions are mixed by weights, kept for each class of how often the
+two contexts have been seen, and of the place; an id's range is the sum of its parts in the four, in whole numbers of
+2**-22, below it lie those of all smaller ids. After each id the weights of its class move by what each prediction had in it.
 
-The encoder knows all ids, so it finds predictions and weights of many blocks at once by stable sorts; then the range
-coder advances all blocks in step, in 56 bits, 16 bits out at a time, with carries added at the end. The decoder is
-sequential and updates the same numbers.
+The encoder knows all ids, so it counts smaller and equal ids before each place in each context for many blocks at once, by
+sorting; then weights and the range coder advance all blocks in step, in 56 bits, 16 bits out at a time, with carries added
+at the end. The decoder is sequential and finds an id by bisection.
 
 Defined cases: a null or empty text has no ids and appears in a block with count 0; a null doc_id stays null; rows that
 repeat are stored each; a document may span blocks (``first`` is its first id's place in the document); an empty table
-gives no blocks; other columns are ignored.
+gives no blocks; other columns are ignored; doc_id is cast to bigint. Ids beyond the vocabulary and vocabularies beyond 2**16 are
+errors.
 """
 
 from __future__ import annotations
 
 import base64
 import zlib
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,8 +35,10 @@ from . import textkit as K
 DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-_REFRESH = (0, 64, 256, 1024, 4096)
-_GAIN = 32
+_C = 64  # places that are compared with each other directly
+_BITS = 22  # an id's range is a whole number of 2**-22
+_START = (0.3, 0.3, 0.4, 0.3)  # weights of orders 0, 1, 2 and of none before anything is seen
+_DECAY = 0.98
 _TOP, _SHIFT, _DIGIT, _REST = np.uint64(1 << 40), np.uint64(40), np.uint64(16), np.uint64((1 << 40) - 1)
 
 
@@ -46,85 +50,90 @@ class Params:
     vocabulary: int = 50257
 
 
-def refreshes(n: int) -> list[int]:
-    out = [r for r in _REFRESH if r < n]
-    while out and out[-1] * 4 < n and out[-1] >= 4096:
-        out.append(out[-1] * 4)
-    return out
-
-
-def _last_seen(x: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Prediction (-1: none) and confidence (0: no prediction, else 1 + right ones in a row, to 4) at each id."""
-    o = np.argsort(context, axis=1, kind="stable")
-    s, xs = np.take_along_axis(context, o, 1), np.take_along_axis(x, o, 1).astype(np.int32)
-    first = np.ones(s.shape, bool)
-    first[:, 1:] = s[:, 1:] != s[:, :-1]
-    pred = np.full(s.shape, -1, np.int32)
-    pred[:, 1:] = np.where(first[:, 1:], -1, xs[:, :-1])
-    place = np.arange(s.shape[1], dtype=np.int32)
-    wrong = np.maximum.accumulate(np.where(pred == xs, -1, place), axis=1)
-    conf = np.zeros(s.shape, np.uint8)
-    conf[:, 1:] = np.where(first[:, 1:], 0, 1 + np.minimum(place[:-1] - wrong[:, :-1], 3))
-    p, c = np.empty_like(pred), np.empty_like(conf)
-    np.put_along_axis(p, o, pred, 1)
-    np.put_along_axis(c, o, conf, 1)
-    return p, c
-
-
 def contexts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The id before, and the two before hashed to 16 bits; 0 before the first."""
     one, two = np.zeros_like(x), np.zeros_like(x)
     one[:, 1:] = x[:, :-1]
     two[:, 2:] = x[:, :-2]
     return one, (two.astype(np.uint32) * np.uint32(0x9E3B) + one * np.uint32(0x6A0B) + (two >> 5)).astype(np.uint16)
 
 
-def events(x: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(low, share, total) of the part of the range that each id takes, (lanes, n).
+def _smaller_before(perm: np.ndarray, inv: np.ndarray) -> np.ndarray:
+    """For each place of permutations (lanes, n): how many of the values before it are smaller. n is a multiple of _C.
 
-    The range is first divided among the orders, in parts of w2 + w1 + w0, then that of order 0 by counts; all totals
-    are products of both, so that one division codes an id.
+    Values in the same _C places and then those with the same upper bits are compared with each other, all pairs at a
+    time; all others are counted by a table of sums.
     """
+    lanes, n = perm.shape
+    m = n // _C
+
+    def inside(a: np.ndarray) -> np.ndarray:
+        a = np.ascontiguousarray(a.reshape(lanes * m, _C).T)
+        out, less = np.zeros(a.shape, np.uint8), np.empty(a.shape, bool)
+        for j in range(1, _C):
+            np.less(a[:j], a[j], out=less[:j])
+            np.add.reduce(less[:j].view(np.uint8), axis=0, dtype=np.uint8, out=out[j])
+        return np.ascontiguousarray(out.T).ravel()
+
+    row = np.arange(lanes)[:, None]
+    chunk, bucket = np.arange(n) >> 6, perm >> 6
+    out = inside(perm).astype(np.int32).reshape(lanes, n)
+    out += inside(inv >> 6)[row * n + perm]
+    h = np.bincount(((row * m + chunk) * m + bucket).ravel(), minlength=lanes * m * m).astype(np.int16).reshape(lanes, m, m)
+    acc = np.zeros((lanes, m + 1, m + 1), np.int16)
+    np.cumsum(np.cumsum(h, axis=1, dtype=np.int16), axis=2, dtype=np.int16, out=acc[:, 1:, 1:])
+    out += acc.ravel()[(row * (m + 1) + chunk) * (m + 1) + bucket]
+    return out
+
+
+def seen(x: np.ndarray, context: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the ids before each place of x (lanes, n) in the same context: how many are less than its own, equal to it, and all."""
     lanes, n = x.shape
-    one, two = contexts(x)
-    p1, c1 = _last_seen(x, one)
-    p2, c2 = _last_seen(x, two)
-    agree = (p1 == p2) & (c1 > 0)
-    kind = c2 * 10 + c1 * 2 + agree
-    by = np.where((c2 > 0) & (p2 == x), 2, np.where((c1 > 0) & ~agree & (p1 == x), 1, 0)).astype(np.uint8)
-    o = np.argsort(kind, axis=1, kind="stable")
-    ks, bs = np.take_along_axis(kind, o, 1), np.take_along_axis(by, o, 1)
-    first = np.ones(ks.shape, bool)
-    first[:, 1:] = ks[:, 1:] != ks[:, :-1]
-    place = np.arange(n, dtype=np.int32)
-    start = np.maximum.accumulate(np.where(first, place, 0), axis=1)
-    weight = []
-    for order in (0, 1, 2):
-        acc = np.zeros((lanes, n + 1), np.int32)
-        np.cumsum(bs == order, axis=1, out=acc[:, 1:])
-        w = np.empty((lanes, n), np.int32)
-        np.put_along_axis(w, o, acc[:, :-1] - np.take_along_axis(acc, start, 1), 1)
-        weight.append(2 * w + 1)
-    w0, w1, w2 = weight
-    w2 = np.where(c2 > 0, w2, 0)
-    w1 = np.where((c1 > 0) & ~agree, w1, 0)
-    base, share, total = np.zeros((lanes, n), np.int64), np.empty((lanes, n), np.int64), np.empty(n, np.int64)
-    ends = [*refreshes(n), n]
-    v = np.arange(vocabulary + 1, dtype=np.int32)
-    edge = np.empty(vocabulary + 1, np.int32)
-    for a, b in zip(ends, ends[1:]):
-        total[a:b] = vocabulary + _GAIN * a
-        for i in range(lanes):
-            if a:
-                edge[0] = 0
-                np.cumsum(np.bincount(x[i, :a], minlength=vocabulary), out=edge[1:])
-                edge *= _GAIN
-                edge += v
-            part = x[i, a:b]
-            base[i, a:b] = edge[part] if a else part
-            share[i, a:b] = edge[part.astype(np.int32) + 1] - edge[part] if a else 1
-    last = by == 0
-    low = np.where(by == 2, 0, np.where(by == 1, w2, w2 + w1)) * total + np.where(last, base * w0, 0)
-    return low, np.where(last, share * w0, np.where(by == 2, w2, w1) * total), (w0 + w1 + w2) * total
+    row, at = np.arange(lanes)[:, None] * n, np.arange(n)
+    key = (x.astype(np.uint64) << np.uint64(16)) | at.astype(np.uint64)
+    if context is not None:
+        key |= context.astype(np.uint64) << np.uint64(32)
+    key.sort(axis=1)
+    by_id = (key & np.uint64(0xFFFF)).astype(np.int64)
+    rank = np.empty(lanes * n, np.int64)
+    rank[row + by_id] = at
+    new, first = np.ones((lanes, n), bool), np.ones((lanes, n), bool)
+    new[:, 1:] = (key[:, 1:] ^ key[:, :-1]) >> np.uint64(16) != 0
+    same = at - np.maximum.accumulate(np.where(new, at, 0), axis=1)  # by rank
+    if context is None:
+        perm, inv, start = rank.reshape(lanes, n), by_id, 0
+    else:
+        first[:, 1:] = (key[:, 1:] ^ key[:, :-1]) >> np.uint64(32) != 0
+        start = np.maximum.accumulate(np.where(first, at, 0), axis=1)  # by rank and in the order of contexts alike
+        by_context = (context.astype(np.uint32) << np.uint32(16)) | at.astype(np.uint32)
+        by_context.sort(axis=1)
+        seq = row + (by_context & np.uint32(0xFFFF)).astype(np.int64)
+        perm = rank[seq]
+        inv = np.empty(lanes * n, np.int64)
+        inv[row + perm] = at
+        inv = inv.reshape(lanes, n)
+    perm16, inv16 = perm.astype(np.uint16), inv.astype(np.uint16)
+    if pad := -n % _C:
+        more = np.broadcast_to(np.arange(n, n + pad, dtype=np.uint16), (lanes, pad))
+        perm16, inv16 = np.concatenate([perm16, more], 1), np.concatenate([inv16, more], 1)
+    same = same.ravel()[row + perm].astype(np.int16)
+    less = (_smaller_before(perm16, inv16)[:, :n] - start - same).astype(np.int16)
+    count = (at - start).astype(np.int16)
+    if context is None:
+        return less, same, np.broadcast_to(count, x.shape)
+    out = np.empty((3, lanes * n), np.int16)
+    for to, v in zip(out, (less, same, count)):
+        to[seq] = v
+    return tuple(out.reshape(3, lanes, n))
+
+
+def _class(n2, n1, at):
+    """Which weights an id takes: by how often its contexts stood before (0, 1, 2, 3 to 4, more), and by its place."""
+    return (_STEP[np.minimum(n2, 5)] * 5 + _STEP[np.minimum(n1, 5)]) * 3 + (at >= 128) + (at >= 1024)
+
+
+_STEP = np.array([0, 1, 2, 3, 3, 4])
+_CLASSES = 75
 
 
 def _carried(digits: np.ndarray) -> bytes:
@@ -138,39 +147,30 @@ def _carried(digits: np.ndarray) -> bytes:
 
 def encode_blocks(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
     """Payloads of blocks of ids; blocks of equal length advance in step."""
+    if not 0 < vocabulary <= 1 << 16:
+        raise ValueError("ids must fit 16 bits")
     out: list[bytes] = [b""] * len(blocks)
     by_length: dict[int, list[int]] = {}
     for i, b in enumerate(blocks):
+        if len(b) >= 1 << 15:
+            raise ValueError("a block must have less than 32768 ids")
+        if len(b) and int(b.max()) >= vocabulary:
+            raise ValueError("an id is beyond the vocabulary")
         if len(b):
             by_length.setdefault(len(b), []).append(i)
     for n, members in by_length.items():
         lanes = len(members)
-        if (2 * n + 3) * (vocabulary + _GAIN * refreshes(n)[-1]) >= 1 << 36:
-            raise ValueError("the block is too long for the range")
-        low, share, total = (np.empty((n, lanes), np.uint64) for _ in range(3))
+        less, same, count = (np.empty((n, 4, lanes), np.int16) for _ in range(3))
+        ids, kind = np.empty((n, lanes), np.int64), np.empty((n, lanes), np.int64)
         for at in range(0, lanes, 32):
-            for to, value in zip((low, share, total), events(np.stack([blocks[i] for i in members[at : at + 32]]).astype(np.uint16), vocabulary)):
-                to[:, at : at + 32] = value.T
-        base, width = np.zeros(lanes, np.uint64), np.full(lanes, 1 << 56, np.uint64)
-        digits = np.zeros((2 * n + 8, lanes), np.uint64)
-        filled = np.zeros(lanes, np.int64)
-        step = np.empty(lanes, np.uint64)
-        small = np.empty(lanes, bool)
-        for t in range(n):
-            np.floor_divide(width, total[t], out=width)
-            np.multiply(width, low[t], out=step)
-            base += step
-            width *= share[t]
-            np.less(width, _TOP, out=small)
-            k = small.nonzero()[0]
-            while len(k):
-                b, f = base[k], filled[k]
-                digits[f, k] = b >> _SHIFT
-                filled[k] = f + 1
-                base[k] = (b & _REST) << _DIGIT
-                w = width[k] << _DIGIT
-                width[k] = w
-                k = k[w < _TOP]
+            x = np.stack([blocks[i] for i in members[at : at + 32]]).astype(np.uint16)
+            lane = slice(at, at + x.shape[0])
+            for k, context in enumerate((None, *contexts(x))):
+                for to, v in zip((less, same, count), seen(x, context)):
+                    to[:, k, lane] = v.T
+            ids[:, lane] = x.T
+            kind[:, lane] = _class(count[:, 2, lane], count[:, 1, lane], np.arange(n)[:, None])
+        digits, filled, base = _coded(ids, less, same, count, kind, vocabulary)
         for lane, i in enumerate(members):
             b = int(base[lane])
             tail = np.array([b >> 40, (b >> 24) & 0xFFFF, (b >> 8) & 0xFFFF, (b & 0xFF) << 8], np.uint64)
@@ -178,46 +178,111 @@ def encode_blocks(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
     return out
 
 
+def _coded(ids: np.ndarray, less: np.ndarray, same: np.ndarray, count: np.ndarray, kind: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """16-bit digits (place, lane), how many each lane has, and what is left to write.
+
+    The last of the four predictions, after orders 0, 1 and 2, is that of all ids alike. Divisions are of whole numbers
+    below 2**53 in floating point: rounded down they are exact.
+    """
+    n, lanes = ids.shape
+    weights = np.repeat(np.array(_START), _CLASSES * lanes)
+    offset = np.arange(4)[:, None] * (_CLASSES * lanes) + np.arange(lanes)
+    base, width = np.zeros(lanes, np.uint64), np.full(lanes, 1 << 56, np.uint64)
+    digits = np.zeros((n + 8, lanes), np.uint64)
+    filled = np.zeros(lanes, np.int64)
+    room = float((1 << _BITS) - vocabulary)
+    whole = float(1 << _BITS)
+    q, r, low, high = (np.empty((4, lanes)) for _ in range(4))
+    for t in range(n):
+        if t % 64 == 0:
+            part = slice(t, t + 64)
+            c = count[part].astype(np.float64)
+            c[:, 3] = vocabulary
+            some = (c > 0).astype(np.float64)
+            np.maximum(c, 1, out=c)
+            a, s = less[part].astype(np.float64), same[part].astype(np.float64)
+            a[:, 3], s[:, 3] = ids[part], 1
+            p, z = s / c, a + s
+            place = offset + kind[part, None, :] * lanes
+        i = t % 64
+        w = weights[place[i]]
+        np.multiply(w, some[i], out=q)
+        q *= room / np.add.reduce(q, axis=0)
+        np.floor(q, out=q)
+        np.subtract(whole, q[0] + q[1] + q[2], out=q[3])
+        np.floor(np.divide(np.multiply(q, a[i], out=low), c[i], out=low), out=low)
+        np.floor(np.divide(np.multiply(q, z[i], out=high), c[i], out=high), out=high)
+        np.multiply(q, p[i], out=r)
+        r /= np.add.reduce(r, axis=0)
+        w *= _DECAY
+        w += r
+        weights[place[i]] = w
+        begin = np.add.reduce(low, axis=0)
+        width >>= _SCALE
+        base += width * begin.astype(np.uint64)
+        width *= (np.add.reduce(high, axis=0) - begin).astype(np.uint64)
+        k = (width < _TOP).nonzero()[0]
+        while len(k):
+            b, f = base[k], filled[k]
+            digits[f, k] = b >> _SHIFT
+            filled[k] = f + 1
+            base[k] = (b & _REST) << _DIGIT
+            v = width[k] << _DIGIT
+            width[k] = v
+            k = k[v < _TOP]
+    return digits, filled, base
+
+
+_SCALE = np.uint64(_BITS)
+
+
 def decode_block(payload: bytes, n: int, vocabulary: int) -> np.ndarray:
-    """The n ids of a block."""
+    """The n ids of a block. Of each context the ids seen are kept sorted, so that a count is a search."""
     x = np.zeros(n, np.uint16)
     if not n:
         return x
     data = payload + bytes(16)
     code, at, width = int.from_bytes(data[:7], "big"), 7, 1 << 56
-    last: list[dict[int, list[int]]] = [{}, {}]  # context -> [id, right ones in a row]
-    weights: dict[int, list[int]] = {}
-    ends = refreshes(n)
-    edge = np.arange(vocabulary + 1, dtype=np.int64)
+    every: list[int] = []
+    last: list[dict[int, list[int]]] = [{}, {}]
+    weights: dict[int, list[float]] = {}
+    room, whole, none = float((1 << _BITS) - vocabulary), float(1 << _BITS), []
     a = b = 0
     for i in range(n):
-        if i in ends and i:
-            edge = np.arange(vocabulary + 1, dtype=np.int64)
-            edge[1:] += np.cumsum(np.bincount(x[:i], minlength=vocabulary)) * _GAIN
         ctx = (b, ((a * 0x9E3B + b * 0x6A0B + (a >> 5)) & 0xFFFFFFFF) & 0xFFFF)
-        (s1, s2) = (last[k].get(ctx[k]) for k in (0, 1))
-        c1, c2 = (1 + min(s[1], 3) if s else 0 for s in (s1, s2))
-        agree = bool(s1 and s2 and s1[0] == s2[0])
-        w = weights.setdefault(c2 * 10 + c1 * 2 + agree, [1, 1, 1])
-        w2, w1, w0 = (w[2] if s2 else 0), (w[1] if s1 and not agree else 0), w[0]
-        total = int(edge[-1])
-        width //= (w0 + w1 + w2) * total
-        q = code // width
-        if q < w2 * total:
-            by, v, low, share = 2, s2[0] if s2 else 0, 0, w2 * total
-        elif q < (w2 + w1) * total:
-            by, v, low, share = 1, s1[0], w2 * total, w1 * total
-        else:
-            k = min((q - (w2 + w1) * total) // w0, total - 1)
-            by, v = 0, int(np.searchsorted(edge, k, side="right")) - 1
-            low, share = (w2 + w1) * total + int(edge[v]) * w0, int(edge[v + 1] - edge[v]) * w0
-        code -= low * width
-        width *= share
+        lists = [every, last[0].get(ctx[0], none), last[1].get(ctx[1], none)]
+        count = [len(s) for s in lists]
+        kind = int(_class(count[2], count[1], i))
+        w = weights.setdefault(kind, list(_START))
+        q = [v if c else 0.0 for v, c in zip(w, count)] + [w[3]]
+        scale = room / (((q[0] + q[1]) + q[2]) + q[3])
+        part = [int(v * scale) for v in q[:3]]
+        part.append((1 << _BITS) - part[0] - part[1] - part[2])
+        width >>= _BITS
+        goal = code // width
+        used = [(s, c, k) for s, c, k in zip(lists, count, part) if c]
+
+        def start(v: int) -> int:
+            return sum([bisect_left(s, v) * k // c for s, c, k in used], part[3] * v // vocabulary)
+
+        low, high = 0, vocabulary  # start(low) <= goal < start(high)
+        while high - low > 1:
+            mid = (low + high) >> 1
+            if start(mid) <= goal:
+                low = mid
+            else:
+                high = mid
+        v, begin, end = low, start(low), start(low + 1)
+        code -= begin * width
+        width *= end - begin
         while width < 1 << 40:
             code, at, width = (code << 16) | int.from_bytes(data[at : at + 2].ljust(2, b"\0"), "big"), at + 2, width << 16
-        w[by] += 2
-        for k, s in ((0, s1), (1, s2)):
-            last[k][ctx[k]] = [v, s[1] + 1 if s and s[0] == v else 0]
+        r = [k * ((bisect_right(s, v) - bisect_left(s, v)) / c) if c else 0.0 for s, c, k in zip(lists, count, part)] + [part[3] * (1 / vocabulary)]
+        total = ((r[0] + r[1]) + r[2]) + r[3]
+        weights[kind] = [u * _DECAY + e / total for u, e in zip(w, r)]
+        insort(every, v)
+        for k in (0, 1):
+            insort(last[k].setdefault(ctx[k], []), v)
         x[i] = v
         a, b = b, v
     return x

@@ -17,6 +17,34 @@ def test_blocks_round_trip(lists):
         assert (T.decode_block(p, len(b), 301) == b).all()
 
 
+def test_counts_before_each_place():
+    r = np.random.default_rng(0)
+    x = (r.zipf(1.3, (3, 200)) % 40).astype(np.uint16)
+    for c in (None, *T.contexts(x)):
+        less, same, count = T.seen(x, c)
+        for i in range(3):
+            for t in range(200):
+                before = [x[i, q] for q in range(t) if c is None or c[i, q] == c[i, t]]
+                assert (less[i, t], same[i, t], count[i, t]) == (sum(b < x[i, t] for b in before), sum(b == x[i, t] for b in before), len(before))
+
+
+def test_ids_beyond_the_vocabulary_are_refused():
+    for ids, vocabulary in (([70000, 1], 100000), ([300], 300)):
+        with pytest.raises(ValueError):
+            T.encode_blocks([np.array(ids)], vocabulary)
+
+
+def test_smaller_than_general_compressors(documents):
+    import lzma
+
+    import tiktoken
+
+    e = tiktoken.Encoding("x", pat_str=T.PATTERN, mergeable_ranks=T.load_ranks(T.DEFAULT_RANKS), special_tokens={})
+    ids = np.array(e.encode_ordinary("\n".join(r.text for r in documents.collect())), np.uint16)
+    blocks = [ids[i : i + 8192] for i in range(0, len(ids) - 8192, 8192)]
+    assert sum(map(len, T.encode_blocks(blocks, 50257))) < 0.95 * sum(len(lzma.compress(b.tobytes(), preset=9)) for b in blocks)
+
+
 @pytest.mark.parametrize("n", [1, 64, 65, 5000])
 def test_extreme_blocks(n):
     r = np.random.default_rng(n)
