@@ -174,15 +174,25 @@ def strict(chunks: list[str], limit: int, overlap: int) -> list[str]:
 
 
 def greedy_distinct(prints: list[str], threshold: float = 0.7) -> list[bool]:
-    """Whether each chunk stays: no chunk that stayed before shares so many of the characters of its fingerprint."""
-    kept: list[frozenset] = []
+    """Whether each chunk stays: no chunk that stayed before shares so many of the characters of its fingerprint.
+
+    Sets of characters are bits of whole numbers; one that is equal to an earlier set needs no comparison.
+    """
+    bit: dict[str, int] = {}
+    kept: list[tuple[int, int]] = []
+    known: dict[int, bool] = {0: False}
     out = []
     for p in prints:
-        s = frozenset(p.lower())
-        dup = bool(s) and any(len(s & k) >= threshold * len(s | k) for k in kept)
+        s = 0
+        for c in set(p.lower()):
+            s |= bit.setdefault(c, 1 << len(bit))
+        if (dup := known.get(s)) is None:
+            n = s.bit_count()
+            dup = any((both := (s & k).bit_count()) >= threshold * (n + m - both) for k, m in kept)
+            if not dup:
+                kept.append((s, n))
+            known[s] = True
         out.append(not dup)
-        if not dup and s:
-            kept.append(s)
     return out
 
 
@@ -243,20 +253,22 @@ def articles_by_chapter(text: str) -> list[str]:
     return out
 
 
-def hierarchy(headings: list[bool], levels: list[int]) -> tuple[list[int], list[int]]:
-    """For each element: the section it is in (index of its heading, -1: before any), and each heading's parent (-1: root)."""
+def tree(headings: list[bool], levels: list[int]) -> list[dict]:
+    """The sections of a document's elements in order: the heading's place (-1: before any), its parent's (-1: root), the
+    elements [first, stop), the places of the headings from the root down, and whether no section is below it."""
+    n = len(headings)
+    at = [i for i, h in enumerate(headings) if h]
+    out: list[dict] = []
+    if n and not (at and at[0] == 0):
+        out.append({"element": -1, "parent": -1, "first": 0, "stop": at[0] if at else n, "path": [-1], "is_leaf": True})
     stack: list[int] = []
-    section, parent = [], []
-    for i, (h, level) in enumerate(zip(headings, levels)):
-        if h:
-            while stack and level <= levels[stack[-1]]:
-                stack.pop()
-            parent.append(stack[-1] if stack else -1)
-            stack.append(i)
-        else:
-            parent.append(-1)
-        section.append(stack[-1] if stack else -1)
-    return section, parent
+    for k, i in enumerate(at):
+        while stack and levels[i] <= levels[stack[-1]]:
+            stack.pop()
+        deeper = k + 1 < len(at) and levels[at[k + 1]] > levels[i]
+        out.append({"element": i, "parent": stack[-1] if stack else -1, "first": i, "stop": at[k + 1] if k + 1 < len(at) else n, "path": [*stack, i], "is_leaf": not deeper})
+        stack.append(i)
+    return [{"seq": k} | s for k, s in enumerate(out, 1)]
 
 
 def pack_lines(lines: list[str], limit: int) -> list[str]:

@@ -34,13 +34,13 @@ def file_type_name(fmt: Column) -> Column:
     return F.when(fmt.isin("xlsx", "xls", "xlsm", "xltx", "xltm"), "excel").otherwise(fmt)
 
 
-def count_tokens(c: Column, counter: str = "character") -> Column:
-    """Length in code points, or tokens by an offline tokenizer given as a Python function column -> counts."""
+def count_tokens(c: Column, counter="character") -> Column:
+    """Length in code points, or tokens by a function of columns, such as ``tokens.counter(path of a vocabulary)``."""
+    if callable(counter):
+        return counter(c)
     if counter == "character":
         return F.length(c)
-    if counter == "tiktoken":
-        raise ValueError("tiktoken fetches its vocabulary from a network; pass tokens.counter(ranks_path) instead")
-    raise ValueError(f"token counter {counter}")
+    raise ValueError(f"token counter {counter}: give 'character' or tokens.counter(path)")
 
 
 def clean_text(c: Column) -> Column:

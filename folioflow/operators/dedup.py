@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from ..functions import text as X
-from .chunking import fold
+from .splitting import fold
 
 
 def distinct_chunks(chunks: DataFrame, head: int = 200, threshold: float = 0.7) -> DataFrame:

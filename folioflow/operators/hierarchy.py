@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from ..functions import text as X
-from .chunking import fold
+from .splitting import fold
 
 STRATEGIES = ("finest_granularity", "all_levels", "parent_only")
-_TREE = "array<struct<section:int,parent:int>>"
+_TREE = "array<struct<seq:int,element:int,parent:int,first:int,stop:int,path:array<int>,is_leaf:boolean>>"
 
 
 def enhance(elements: DataFrame, legal: bool = True, custom: tuple[str, ...] = ()) -> DataFrame:
@@ -23,45 +22,22 @@ def enhance(elements: DataFrame, legal: bool = True, custom: tuple[str, ...] = (
 def build(elements: DataFrame, with_heading: bool = True, joiner: str = "\n\n") -> DataFrame:
     """(doc_id, seq, text, is_heading, level) -> sections (doc_id, seq, parent_seq, depth, level, heading, content, path, is_leaf).
 
-    A heading closes the open sections of its level or deeper. Text before any heading goes to "Document Content".
-    Array expressions do it inside one row a document, so only the gathering of elements moves data.
+    A heading closes the open sections of its level or deeper. Text before any heading goes to "Document Content". A section
+    is a run of elements, from its heading to the next one, so that one gathering of a document's elements does it all: a
+    kernel sees flags and levels alone and answers with places. Elements with ``error`` give a section with it and no content.
     """
-    e = elements.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "text", "is_heading", "level"))).alias("e"))
-    kernel = lambda h, lv: [{"section": a, "parent": b} for a, b in zip(*K.hierarchy(h, lv))]
-    t = e.withColumn("t", fold(kernel, _TREE)(F.col("e.is_heading"), F.col("e.level")))
-    rows = t.select("doc_id", F.posexplode(F.arrays_zip("e", "t")).alias("i", "z"))
-    flat = rows.select("doc_id", "i", F.col("z.e.seq").alias("eseq"), F.col("z.e.text").alias("text"), F.col("z.e.is_heading").alias("h"), F.col("z.e.level").alias("level"), F.col("z.t.section").alias("section"), F.col("z.t.parent").alias("parent"))
-    own = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("h") | F.lit(with_heading), F.struct("i", "text")))), lambda x: x["text"]), joiner)
-    sections = flat.groupBy("doc_id", "section").agg(
-        own.alias("content"),
-        F.coalesce(F.max(F.when(F.col("h"), F.col("text"))), F.lit("Document Content")).alias("heading"),
-        F.coalesce(F.max(F.when(F.col("h"), F.col("level"))), F.lit(1)).alias("level"),
-        F.coalesce(F.max(F.when(F.col("h"), F.col("parent"))), F.lit(-1)).alias("parent"),
-    )
-    root = F.lit(-2)  # no section has this number: parts before any heading are no parents
-    s = sections.withColumn("parent", F.when(F.col("section") < 0, root).otherwise(F.when(F.col("parent") < 0, root).otherwise(F.col("parent"))))
-    doc = s.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("section", "parent", "level", "heading", "content"))).alias("s"))
-
-    def chain(sec, par, head):
-        at = {a: i for i, a in enumerate(sec)}
-        out = []
-        for i in range(len(sec)):
-            path, k = [], i
-            while k is not None:
-                path.insert(0, head[k])
-                k = at.get(par[k])
-            out.append(path)
-        return out
-
-    @F.pandas_udf("array<array<string>>")
-    def paths(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
-        return pd.Series([chain(*(list(x) for x in r)) for r in zip(a, b, c)], dtype=object)
-
-    p = doc.withColumn("path", paths(F.col("s.section"), F.col("s.parent"), F.col("s.heading")))
-    z = p.select("doc_id", F.col("s.parent").alias("parents"), F.posexplode(F.arrays_zip("s", "path")).alias("i", "z"))
-    return z.select(
-        "doc_id", (F.col("i") + 1).alias("seq"), F.when(F.col("z.s.parent") >= 0, F.col("z.s.parent")).alias("parent_seq"), F.col("z.s.section").alias("element"), F.size("z.path").alias("depth"),
-        F.col("z.s.level").alias("level"), F.col("z.s.heading").alias("heading"), F.col("z.s.content").alias("content"), F.col("z.path").alias("path"), (~F.array_contains("parents", F.col("z.s.section"))).alias("is_leaf"),
+    bad = ["error"] if "error" in elements.columns else []
+    e = elements.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "text", "is_heading", "level"))).alias("e"), *(F.max(c).alias(c) for c in bad))
+    rows = e.withColumn("t", F.explode(fold(K.tree, _TREE)(F.col("e.is_heading"), F.col("e.level"))))
+    own, first, stop = F.col("t.element"), F.col("t.first"), F.col("t.stop")
+    text = F.col("e.text")
+    named = own >= 0
+    skip = F.when(named & F.lit(not with_heading), 1).otherwise(0)
+    return rows.select(
+        "doc_id", F.col("t.seq").alias("seq"), F.when(F.col("t.parent") >= 0, F.col("t.parent")).alias("parent_seq"), own.alias("element"), F.size("t.path").alias("depth"),
+        F.when(named, F.get(F.col("e.level"), own)).otherwise(1).alias("level"), F.when(named, F.get(text, own)).otherwise("Document Content").alias("heading"),
+        F.array_join(F.slice(text, first + skip + 1, stop - first - skip), joiner).alias("content"),
+        F.transform("t.path", lambda i: F.when(i >= 0, F.get(text, i)).otherwise("Document Content")).alias("path"), F.col("t.is_leaf").alias("is_leaf"), *bad,
     )
 
 
@@ -77,18 +53,23 @@ def flatten(sections: DataFrame, strategy: str = "finest_granularity") -> DataFr
         text, keep = F.when(body != "", body).otherwise(X.strip(F.col("heading"))), (body != "") | F.col("is_leaf")
     else:
         text, keep = F.when(body != "", body).otherwise(F.array_join("path", " > ")), F.col("is_leaf")
-    rows = sections.where(keep).select("doc_id", "seq", "level", text.alias("content")).where("content != ''")
-    return _numbered(rows)
+    if "error" not in sections.columns:
+        return _numbered(sections.where(keep).select("doc_id", "seq", "level", text.alias("content")).where("content != ''"))
+    good = F.col("error").isNull()
+    rows = sections.where(keep | ~good).select("doc_id", "seq", "level", F.when(good, text).alias("content"), "error").where("content != '' or error is not null")
+    return _numbered(rows).withColumn("chunk_id", F.when(good, F.col("chunk_id")))
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
-    return rows.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("seq")).alias("chunk_id"), "level", "content")
+    """With chunk_id from 1 in the order of seq; rows with ``error`` go through."""
+    more = ["error"] if "error" in rows.columns else []
+    return rows.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("seq")).alias("chunk_id"), "level", "content", *more)
 
 
 def flatten_with_paths(sections: DataFrame, strategy: str = "finest_granularity", limit: int | None = None, overlap: int = 0) -> DataFrame:
     """Chunks "path, empty line, content", cleaned, near-duplicates of the document removed, and strictly sized if asked."""
     from . import dedup
-    from .chunking import strict_sizes
+    from .splitting import strict_sizes
 
     body = X.strip(F.coalesce(F.col("content"), F.lit("")))
     keep = (body != "") & (F.lit(strategy == "all_levels") | F.col("is_leaf"))
@@ -127,19 +108,15 @@ def single_section(docs: DataFrame) -> DataFrame:
     return docs.where(X.strip(F.col("text")) != "").select("doc_id", F.lit(1).alias("seq"), F.lit("Document Content").alias("heading"), X.clean_text(F.col("text")).alias("content"), F.lit(1).alias("level"))
 
 
-def first_found(*attempts: DataFrame) -> DataFrame:
-    """For each document the sections of the first attempt that has any; attempts have the same columns."""
-    out, *rest = attempts
-    for more in rest:
-        out = out.unionByName(more.join(out.select("doc_id").distinct(), "doc_id", "left_anti"))
-    return out
-
-
 def pdf_sections(docs: DataFrame) -> DataFrame:
-    """The cascade for page text: line patterns if a document has headings, else paragraphs, else one section."""
-    named = pattern_sections(docs)
-    with_headings = named.join(named.where("heading != ''").select("doc_id").distinct(), "doc_id", "left_semi")
-    return first_found(with_headings, pattern_sections(docs, "paragraph"), single_section(docs))
+    """The cascade for page text: line patterns if a document has headings, else paragraphs, else one section.
+
+    Which attempt a document takes is decided in its row, so that no attempt is computed for nothing or joined away.
+    """
+    some = lambda mark, test: F.coalesce(F.exists(F.split("text", mark), lambda x: test(X.strip(x))), F.lit(False))
+    marked = docs.withColumn("kind", F.when(some("\n", X.legal_heading), "line").when(some("\n\n", lambda t: t != ""), "paragraph").otherwise("single"))
+    parts = [pattern_sections(marked.where(F.col("kind") == k), k) for k in ("line", "paragraph")]
+    return parts[0].unionByName(parts[1]).unionByName(single_section(marked.where("kind = 'single'")))
 
 
 def preorder(sections: DataFrame) -> DataFrame:
@@ -162,13 +139,12 @@ def lines(docs: DataFrame) -> DataFrame:
 def font_headings(spans: DataFrame, ratio: float = 1.2) -> DataFrame:
     """Spans (doc_id, page, seq, text, font_size) with is_heading and level: sizes above ratio x the mean, weighted by
     characters, are heading sizes, the largest level 1; the text must look like a heading too."""
-    n = F.length("text")
-    mean = spans.groupBy("doc_id").agg((F.sum(F.col("font_size") * n) / F.sum(n)).alias("mean"))
-    sizes = spans.join(mean, "doc_id").where(F.col("font_size") > ratio * F.col("mean")).select("doc_id", "font_size").distinct()
-    ranked = sizes.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("font_size"))))
-    joined = spans.join(ranked, ["doc_id", "font_size"], "left")
-    h = F.col("rank").isNotNull() & X.legal_heading(F.col("text"), legal=False)
-    return joined.select("doc_id", "page", "seq", "text", "font_size", h.alias("is_heading"), F.when(h, F.col("rank")).otherwise(0).alias("level"))
+    n, doc = F.length("text"), Window.partitionBy("doc_id")
+    mean = F.sum(F.col("font_size") * n).over(doc) / F.sum(n).over(doc)
+    big = spans.withColumn("big", F.coalesce(F.col("font_size") > ratio * mean, F.lit(False)))
+    rank = F.dense_rank().over(doc.orderBy(F.desc_nulls_last("font_size")))  # heading sizes are the largest
+    h = F.col("big") & X.legal_heading(F.col("text"), legal=False)
+    return big.withColumn("rank", rank).select("doc_id", "page", "seq", "text", "font_size", h.alias("is_heading"), F.when(h, F.col("rank")).otherwise(0).alias("level"))
 
 
 def outline_sections(pages: DataFrame, outline: DataFrame) -> DataFrame:
@@ -179,3 +155,11 @@ def outline_sections(pages: DataFrame, outline: DataFrame) -> DataFrame:
     joined = o.join(pages.alias("p"), (F.col("o.doc_id") == F.col("p.doc_id")) & F.col("p.page").between(F.col("o.page"), F.col("o.stop")), "left")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("p.page").alias("page"), F.col("p.text").alias("text")))), lambda x: x["text"]), "\n")
     return joined.groupBy("o.doc_id", "o.seq", "o.level", "o.title").agg(text.alias("content")).withColumnRenamed("title", "heading")
+
+
+def outline_tree(pages: DataFrame, outline: DataFrame) -> DataFrame:
+    """The sections of ``outline_sections`` as a tree: with parent_seq, depth, path and is_leaf by the outline's levels."""
+    flat = outline_sections(pages, outline)
+    tree = build(outline.select("doc_id", "seq", F.col("title").alias("text"), F.lit(True).alias("is_heading"), "level"))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("seq")) - 1
+    return flat.withColumn("element", place).join(tree.select("doc_id", "element", "parent_seq", "depth", "path", "is_leaf"), ["doc_id", "element"]).drop("element")

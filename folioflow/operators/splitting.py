@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -50,32 +51,6 @@ def pack_sentences(docs: DataFrame, limit: int = 500, overlap: int = 50) -> Data
     return exploded(docs, fold(K.pack_sentences, "array<string>", limit, overlap)(F.col("text")))
 
 
-def pack_natively(docs: DataFrame, limit: int = 500) -> DataFrame:
-    """The same packing without overlap as a Catalyst fold over sentence lengths; for plans that must not leave the JVM."""
-    _positive(limit)
-    sents = docs.select("doc_id", X.sentences(F.col("text")).alias("s"))
-    state = F.struct(F.array().cast("array<struct<a:int,b:int>>").alias("out"), F.lit(1).alias("first"), F.lit(0).alias("size"))
-
-    def step(acc: Column, i: Column) -> Column:
-        n = F.length(F.element_at("s", i))
-        full = (acc["first"] < i) & (acc["size"] + n > limit)
-        out = F.when(full, F.array_append(acc["out"], F.struct(acc["first"].alias("a"), (i - 1).alias("b")))).otherwise(acc["out"])
-        first, size = F.when(full, i).otherwise(acc["first"]), F.when(full, n).otherwise(acc["size"] + n)
-        alone = (first == i) & (2 * size > 3 * limit)
-        return F.struct(
-            F.when(alone, F.array_append(out, F.struct(i.alias("a"), i.alias("b")))).otherwise(out).alias("out"),
-            F.when(alone, i + 1).otherwise(first).alias("first"),
-            F.when(alone, 0).otherwise(size).alias("size"),
-        )
-
-    n = F.size("s")
-    places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    folded = sents.withColumn("st", F.aggregate(places, state, step))
-    last = F.struct(F.col("st.first").alias("a"), n.alias("b"))
-    bounds = F.when(F.col("st.first") <= n, F.array_append("st.out", last)).otherwise(F.col("st.out"))
-    return exploded(folded, F.transform(bounds, lambda b: F.array_join(F.slice("s", b["a"], b["b"] - b["a"] + 1), " ")))
-
-
 def natural_breaks(docs: DataFrame, limit: int = 2000) -> DataFrame:
     _positive(limit)
     return exploded(docs, fold(K.natural_breaks, "array<string>", limit)(F.col("text")))
@@ -116,17 +91,19 @@ def simple_chunks(docs: DataFrame, limit: int = 800, ratio: float = 0.1, drop_co
     """Sentence-complete cursor chunks: (doc_id, chunk_id, total_chunks, start_pos, end_pos, length, content)."""
     _positive(limit)
     kernel = lambda t: [{"start_pos": a, "end_pos": b, "content": c} for a, b, c in K.cursor(t, limit, ratio, drop_contained)]
-    chunks = docs.select("doc_id", fold(kernel, _CURSOR)(F.col("text")).alias("c"))
-    rows = chunks.select("doc_id", F.size("c").alias("total_chunks"), F.posexplode("c").alias("p", "x"))
-    return rows.select("doc_id", (F.col("p") + 1).alias("chunk_id"), "total_chunks", "x.start_pos", "x.end_pos", F.length("x.content").alias("length"), "x.content")
+    more = ["error"] if "error" in docs.columns else []  # rows of files that can't be read go through
+    chunks = docs.select("doc_id", *more, fold(kernel, _CURSOR)(F.col("text")).alias("c"))
+    rows = chunks.select("doc_id", *more, F.size("c").alias("total_chunks"), F.posexplode_outer("c").alias("p", "x")).where("x is not null" + " or error is not null" * len(more))
+    return rows.select("doc_id", (F.col("p") + 1).alias("chunk_id"), "total_chunks", "x.start_pos", "x.end_pos", F.length("x.content").alias("length"), "x.content", *more)
 
 
 def strict_sizes(chunks: DataFrame, limit: int, overlap: int = 0) -> DataFrame:
     """Chunks over the limit are split by sentences; a longer single sentence stays. Order and numbering follow."""
     _positive(limit, overlap)
-    parts = F.when(F.length("content") <= limit, F.array("content")).otherwise(fold(K.split_oversized, "array<string>", limit, overlap)(F.col("content")))
+    more = ["error"] if "error" in chunks.columns else []  # rows of files that can't be read go through
+    parts = F.when(F.col("content").isNull() | (F.length("content") <= limit), F.array("content")).otherwise(fold(K.split_oversized, "array<string>", limit, overlap)(F.col("content")))
     w = F.row_number().over(_by_doc("chunk_id", "p"))
-    return chunks.select("doc_id", "chunk_id", F.posexplode(parts).alias("p", "content")).select("doc_id", w.alias("chunk_id"), "content")
+    return chunks.select("doc_id", "chunk_id", *more, F.posexplode(parts).alias("p", "content")).select("doc_id", F.when(F.col("chunk_id").isNotNull(), w).alias("chunk_id"), "content", *more)
 
 
 def _by_doc(*order: str):
@@ -163,9 +140,10 @@ def section_parts(sections: DataFrame, limit: int, overlap: int, style: str) ->
 def legal_sections(docs: DataFrame) -> DataFrame:
     """(doc_id, seq, heading, type, level, content, start_pos, end_pos): from every structure mark to the next."""
     pattern = P.any_legal()
-    rows = docs.select("doc_id", F.posexplode(X.mark_split(F.col("text"), pattern)).alias("seq", "piece"))
-    end = F.sum(F.length("piece")).over(_by_doc("seq").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
-    placed = rows.withColumn("end_pos", end).where("seq > 0").withColumn("heading", F.regexp_extract("piece", f"^(?:{pattern})", 0))
+    pieces = docs.select("doc_id", X.mark_split(F.col("text"), pattern).alias("p"))
+    ends = fold(lambda n: list(accumulate(n)), "array<int>")(F.transform("p", lambda x: F.length(x)))
+    rows = pieces.select("doc_id", F.posexplode(F.arrays_zip(F.col("p").alias("piece"), ends.alias("end_pos"))).alias("seq", "x")).select("doc_id", "seq", "x.piece", "x.end_pos")
+    placed = rows.where("seq > 0").withColumn("heading", F.regexp_extract("piece", f"^(?:{pattern})", 0))
     level = X._plain_level(F.col("heading"))
     return placed.select("doc_id", "seq", "heading", X.legal_type(F.col("heading")).alias("type"), level.alias("level"), X.strip(F.col("piece")).alias("content"), (F.col("end_pos") - F.length("piece")).alias("start_pos"), "end_pos")
 

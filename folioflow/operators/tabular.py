@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import kernels as K
 from ..functions import patterns as P
 from ..functions import text as X
-from .chunking import fold
+from .splitting import fold
 
 SHEET = ("doc_id", "sheet_idx", "sheet_name")
 
@@ -130,7 +130,7 @@ def by_length(texts: DataFrame, limit: int = 2000) -> DataFrame:
 
 def legal_split(texts: DataFrame) -> DataFrame:
     """Sheets by structure marks; sheets without any by importance."""
-    from .chunking import legal_sections
+    from .splitting import legal_sections
 
     ids = texts.select(*SHEET, F.struct(*SHEET).alias("doc_id2"), "text")
     s = legal_sections(ids.select(F.col("doc_id2").alias("doc_id"), "text"))

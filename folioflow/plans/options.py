@@ -1,4 +1,4 @@
-"""Options: defaults, then a JSON file, then CHUNKING_* variables, then what the caller gives. Never changed in place."""
+"""Options: defaults, then a JSON file, then FOLIOFLOW_* variables, then what the caller gives. Never changed in place."""
 
 from __future__ import annotations
 
@@ -14,7 +14,6 @@ class Options:
     max_tokens: int = 2000
     overlap: int = 200
     split_by_sentence: bool = True
-    token_counter: str = "character"
     strategy: str = "finest_granularity"
     strict_max_tokens: bool = False
     legal: bool = False
@@ -42,8 +41,8 @@ DOMAINS: dict[str, dict[str, tuple[int, int, str]]] = {
     "regulation": {"": (1800, 150, "finest_granularity"), "hr": (1600, 120, "finest_granularity"), "finance": (2000, 180, "finest_granularity"), "operation": (2200, 200, "all_levels"), "safety": (1500, 100, "finest_granularity"), "general": (1800, 150, "finest_granularity")},
 }
 
-_ENV = {"CHUNKING_MAX_TOKENS": "max_tokens", "CHUNKING_OVERLAP": "overlap", "CHUNKING_STRICT_MAX_TOKENS": "strict_max_tokens"}
-_MODEL_ENV = {"CHUNKING_LLM_ENABLED": "enabled", "CHUNKING_LLM_PROVIDER": "provider", "CHUNKING_LLM_BATCH_SIZE": "max_texts", "CHUNKING_LLM_RETRY_TIMES": "attempts"}
+_ENV = {"FOLIOFLOW_MAX_TOKENS": "max_tokens", "FOLIOFLOW_OVERLAP": "overlap", "FOLIOFLOW_STRICT_MAX_TOKENS": "strict_max_tokens", "FOLIOFLOW_SPLIT_BY_SENTENCE": "split_by_sentence", "FOLIOFLOW_STRATEGY": "strategy", "FOLIOFLOW_LEGAL": "legal"}
+_MODEL_ENV = {"FOLIOFLOW_LLM_ENABLED": "enabled", "FOLIOFLOW_LLM_PROVIDER": "provider", "FOLIOFLOW_LLM_BATCH_SIZE": "max_texts", "FOLIOFLOW_LLM_RETRY_TIMES": "attempts", "FOLIOFLOW_LLM_BATCH_TOKENS": "max_batch_tokens"}
 
 
 def _typed(value: str, like):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as X
-from ..operators import chunking as C
+from ..operators import splitting as C
 from ..operators import dedup as D
 from ..operators import hierarchy as H
 from ..operators import stats as S
@@ -49,12 +50,12 @@ def hashed(df: DataFrame, *keep: str) -> DataFrame:
 
 def legal_docs(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders").selectExpr("o_custkey doc_id", "o_orderkey k", "o_orderstatus s", "cast(round(o_totalprice) as bigint) v", "o_orderpriority p")
-    o.createOrReplaceTempView("legal_orders")
     return spark.sql(
         """select doc_id, concat('关于客户', doc_id, '的管理办法\n', array_join(transform(array_sort(collect_list(struct(rn, line))), x -> x.line), '\n')) text from (
              select doc_id, rn, concat(case when rn % 3 = 1 then concat('第', cast((rn + 2) / 3 as int), '章 客户订单总则及附则\n') else '' end,
                '第', rn, '条 订单', k, '应当在', s, '状态下执行。\n（一）金额为', v, '元；\n（二）优先级为', p, '。') line
-             from (select *, cast(row_number() over (partition by doc_id order by k) as int) rn from legal_orders)) group by doc_id"""
+             from (select *, cast(row_number() over (partition by doc_id order by k) as int) rn from {orders})) group by doc_id""",
+        orders=o,
     )
 
 
@@ -73,14 +74,14 @@ LINES = "lines as (select doc_id, unnest(string_split(text, chr(10))) as text, g
 def cells(spark: SparkSession, sf: str) -> DataFrame:
     """A sheet a nation of its suppliers: header, then name, account and number."""
     s = table(spark, sf, "supplier").selectExpr("s_nationkey", "s_name", "s_suppkey", "cast(round(s_acctbal) as bigint) v").join(table(spark, sf, "nation").selectExpr("n_nationkey s_nationkey", "n_name", "n_regionkey"), "s_nationkey")
-    s.createOrReplaceTempView("cell_rows")
     return spark.sql(
-        """with r as (select n_regionkey doc_id, s_nationkey sheet_idx, n_name sheet_name, cast(row_number() over (partition by s_nationkey order by s_suppkey) as int) + 1 row_idx, s_suppkey, s_name, v from cell_rows)
+        """with r as (select n_regionkey doc_id, s_nationkey sheet_idx, n_name sheet_name, cast(row_number() over (partition by s_nationkey order by s_suppkey) as int) + 1 row_idx, s_suppkey, s_name, v from {suppliers})
            select doc_id, sheet_idx, sheet_name, row_idx, c.* from r lateral view explode(array(
              named_struct('col_idx', 1, 'value', case when s_suppkey % 4 = 0 then '供应商管理办法' else s_name end),
              named_struct('col_idx', 2, 'value', case when s_suppkey % 3 = 0 then concat('第', row_idx, '条 账户', v) else concat('账户', v) end),
              named_struct('col_idx', 3, 'value', case when v < 0 then null else cast(v as string) end))) t as c
-           union all select distinct doc_id, sheet_idx, sheet_name, 1, h.* from r lateral view explode(array(named_struct('col_idx', 1, 'value', '法规名称'), named_struct('col_idx', 2, 'value', '条文'), named_struct('col_idx', 3, 'value', '金额'))) t as h"""
+           union all select distinct doc_id, sheet_idx, sheet_name, 1, h.* from r lateral view explode(array(named_struct('col_idx', 1, 'value', '法规名称'), named_struct('col_idx', 2, 'value', '条文'), named_struct('col_idx', 3, 'value', '金额'))) t as h""",
+        suppliers=s,
     )
 
 
@@ -133,11 +134,6 @@ def c6_pack_sentences(spark, sf):
     return hashed(C.pack_sentences(documents(spark, sf), 500, 50))
 
 
-@query(_pack_sql(500, 0, "select doc_id, chunk_id, cast(length(content) as int) as len, md5(content) as hash from chunks where doc_id in (select doc_id from sent)"))
-def c6_pack_native(spark, sf):
-    return hashed(C.pack_natively(documents(spark, sf), 500))
-
-
 _STATS = "count(*) as chunks, round(avg(length(content)), 2) as avg_len, cast(max(length(content)) as int) as max_len, cast(min(length(content)) as int) as min_len, count(*) filter (length(content) <= 500) as within_limit"
 
 
@@ -511,44 +507,55 @@ def t5_preorder(spark, sf):
     return p.groupBy("doc_id").agg(F.count("*").alias("sections"), F.sum(F.length("content")).alias("chars"))
 
 
-@query()
+_REFLOWED = r"""select doc_id, '关于客户' || doc_id || '的管理办法' || string_agg(case when rn % 3 = 1 then '||第' || ((rn + 2) // 3) || '章 客户订单总则及附则' else '' end || '||第' || rn || '条 订单' || k || '应当在' || s || '状态下执行。||（一）金额为' || v || '元；||（二）优先级为' || p || '。', '' order by rn) as text from o group by doc_id"""
+
+
+@query(f"with {LEGAL} select doc_id, md5(replace(text, '||', chr(10) || chr(10))) as hash from ({_REFLOWED})")
 def x7_reflow(spark, sf):
     return C.reflow(legal_docs(spark, sf)).select("doc_id", F.md5("text").alias("hash"))
 
 
-@query()
+_TITLED = f"with {LEGAL}, parts as (select doc_id, 0 as seq, '关于客户' || doc_id || '的管理办法' as heading, '关于客户' || doc_id || '的管理办法' as content from o group by doc_id union all select doc_id, rn, '第' || rn || '条', '第' || rn || '条' || chr(10) || '第' || rn || '条 订单' || k || '应当在' || s || '状态下执行。' from o) select doc_id, cast(seq as int) as seq, heading, md5(content) as content from parts"
+
+
+_ONE = "|".join(("'第1章 客户订单总则及附则'", "'第1条 订单' || k || '应当在' || s || '状态下执行。'", "'（一）金额为' || v || '元；'", "'（二）优先级为' || p || '。'"))
+
+
+@query(
+    f"with many as ({_TITLED}), few as (with {LEGAL} select doc_id, any_value({_ONE.replace('|' + chr(39), ' || chr(10) || chr(10) || ' + chr(39))}) as rest from o group by doc_id having count(*) = 1) "
+    + "select * from many where doc_id not in (select doc_id from few) or seq = 0 union all select doc_id, 1, '', md5(rest) from few"
+)
 def c23_rtf_sections(spark, sf):
     from ..sources import files as FS
 
     return FS.rtf_sections(legal_docs(spark, sf)).withColumn("content", F.md5("content"))
 
 
-@query()
+_KW = "|".join(P.SHEET_KEYWORDS)
+_SHEETS = f"with {CELLS}, l as (select doc_id, sheet_idx, sheet_name, row_idx, string_agg(value, ' | ' order by col_idx) as line from cells where coalesce(value, '') <> '' group by all), starred as (select *, regexp_matches(line, '{_KW}') as star from l)"
+
+
+@query(
+    f"{_SHEETS}, texts as (select doc_id, sheet_idx, sheet_name, string_agg(case when star then '★ ' || line else line end, chr(10) order by row_idx) as text from starred group by all), "
+    + f"pieces as (select doc_id, sheet_idx, sheet_name, unnest(range(0, len(p))) as section, unnest(p) as piece from (select *, string_split(regexp_replace(text, '({_ALL})', chr(1) || '\\1', 'g'), chr(1)) as p from texts)), "
+    + f"found as (select doc_id, sheet_idx, sheet_name, cast(section as int) as section, regexp_extract(piece, '^(?:{_ALL})') as heading, md5({_TRIM}) as content, 'legal_article' as section_type from pieces where section > 0) "
+    + "select * from found union all select doc_id, sheet_idx, sheet_name, 0, case when star then '重要内容' else '一般内容' end, md5(string_agg(line, chr(10) order by row_idx)), case when star then 'important_content' else 'normal_content' end from starred where sheet_idx not in (select sheet_idx from found) group by doc_id, sheet_idx, sheet_name, star"
+)
 def c25_legal_split(spark, sf):
     return T.legal_split(_sheet_texts(spark, sf)).withColumn("content", F.md5("content"))
 
 
-@query()
+@query(
+    f"with {CELLS}, l as (select doc_id, sheet_idx, sheet_name, row_idx, string_agg(coalesce(value, ''), ' | ' order by col_idx) as line from cells group by all), "
+    + "p as (select doc_id, sheet_idx, sheet_name, row_idx, 0 as part, case when row_idx = 1 then '表头: ' || line else line end as line from l where row_idx < 1000 union all select doc_id, sheet_idx, sheet_name, 1, 1, repeat('-', 50) from l where row_idx = 1) "
+    + "select doc_id, sheet_idx, sheet_name, cast(1 as bigint) as section, '表格1' as heading, md5(string_agg(regexp_replace(line, '^\\s+|\\s+$', '', 'g'), chr(10) order by row_idx, part)) as content, 'table' as section_type from p group by doc_id, sheet_idx, sheet_name"
+)
 def c27_by_table(spark, sf):
     lines = T.table_structure(cells(spark, sf))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_idx", "part", "line"))), lambda x: x["line"]), "\n")
     return T.by_table(lines.groupBy(*T.SHEET).agg(body.alias("text"))).withColumn("content", F.md5("content"))
 
 
-_L5 = r"""with lines as (select i, k.t || repeat('x', i % 25) || case when i % 7 = 0 then '，' else '' end as text from range(0, 400) r(i), (values ('一、'), ('（二）'), ('3、'), ('(4)'), ('条')) k(t))
-select cast(i as int) as i, text, h as is_heading, cast(case when h then lv else 0 end as int) as level, case when h then good else bad end as confidence from (
- select i, text, case lv when 1 then length(text) <= 100 when 2 then length(text) <= 20 and not regexp_matches(text, '[：:，。]') when 0 then false else length(text) <= 15 and not regexp_matches(text, '[：:，]') end as h, lv,
-  case lv when 1 then 0.9 when 2 then 0.7 when 3 then 0.6 when 4 then 0.5 else 0.0 end::double as good, case lv when 1 then 0.8 when 2 then 0.8 when 3 then 0.7 when 4 then 0.6 else 0.9 end::double as bad
- from (select i, text, case when text like '一、%' then 1 when text like '（二）%' then 2 when text like '3、%' then 3 when text like '(4)%' then 4 else 0 end as lv from lines))"""
-
-
-@query(_L5)
-def l5_rule_headings(spark, sf):
-    rows = spark.range(400).select(F.col("id").cast("int").alias("i"), F.explode(F.array(*map(F.lit, ("一、", "（二）", "3、", "(4)", "条")))).alias("t"))
-    lines = rows.select("i", F.concat("t", F.expr("repeat('x', i % 25)"), F.when(F.col("i") % 7 == 0, "，").otherwise("")).alias("text"))
-    return lines.select("i", "text", X.rule_heading(F.col("text")).alias("v")).select("i", "text", "v.*")
-
-
 _L5_LINES = rf"""with {LEGAL}, {LINES}, m as (select c_custkey as doc_id, '一、' || c_name || chr(10) || '二、' || c_mktsegment || chr(10) || '三、' || cast(round(c_acctbal) as bigint) as text from customer),
 every as (select 'legal' as corpus, doc_id, seq, text from lines
  union all select 'markers', doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1, unnest(string_split(text, chr(10))) from m
@@ -577,7 +584,19 @@ def c8_marker_sections(spark, sf):
     return p.select("doc_id", "structured", F.size("p").alias("sections"), F.md5(F.array_join("p", "|")).alias("hash"))
 
 
-@query()
+def _tail(x: str, limit: int) -> str:
+    """What the next chunk takes over from chunk ``x``: its longest run of last sentences within the limit."""
+    t = f"list_filter(list_transform(regexp_extract_all({x}, '[^。！？；.!?;]*[。！？；.!?;][\"）)】\\]》>]*|[^。！？；.!?;]+'), lambda y: trim(y)), lambda y: length(y) > 2)"
+    start = f"list_filter(range(1, len({t}) + 2), lambda j: coalesce(list_sum(list_transform(({t})[j:], lambda y: length(y))), 0) + greatest(len({t}) - j, 0) <= {limit})[1]"
+    return f"case when length({x}) <= {limit} then {x} else array_to_string(({t})[{start}:], ' ') end"
+
+
+@query(
+    "with m as (select c_custkey as doc_id, '一、' || repeat(c_name || '。', 3) as a, '二、' || c_mktsegment || '。' as b, '三、' || cast(round(c_acctbal) as bigint) as c from customer), "
+    + f"one as (select doc_id, c, case when length(a) + length(b) > 60 then [a] else [] end as out, case when length(a) + length(b) > 60 then case when {_tail('a', 20)} <> '' then {_tail('a', 20)} || ' ' || b else b end else a || ' ' || b end as now from m), "
+    + f"two as (select doc_id, case when length(now) + length(c) > 60 then list_concat(out, [now, case when {_tail('now', 20)} <> '' then {_tail('now', 20)} || ' ' || c else c end]) else list_append(out, now || ' ' || c) end as out from one) "
+    + "select doc_id, cast(k as int) as chunk_id, cast(length(trim(out[k])) as int) as len, md5(trim(out[k])) as hash from (select doc_id, out, unnest(range(1, len(out) + 1)) as k from two)"
+)
 def c7_pack_structure(spark, sf):
     m = table(spark, sf, "customer").selectExpr("c_custkey doc_id", "concat('一、', repeat(concat(c_name, '。'), 3), '二、', c_mktsegment, '。三、', cast(round(c_acctbal) as bigint)) text")
     return hashed(C.pack_structure(m, 60, 20))
@@ -593,12 +612,18 @@ def e5_legal_pipeline(spark, sf):
     return hashed(api.split_legal_text(legal_docs(spark, sf), Options(max_tokens=400, overlap=0)))
 
 
-@query()
+_WORDY = rf"(regexp_matches(text, '^(?i:(第[{P.HAN}0-9]+[章节]|[{P.HAN}0-9]+[、．.]|（[{P.HAN}0-9]+）|(chapter|section)\s+[0-9]+|[0-9]+\.?\s+|[0-9]+\.[0-9]+\.?\s+))') or (length(text) < 100 and not regexp_matches(text, '[。.！!？?]$')))"
+_LOOSE = f"(length(text) between 2 and 200 and (({_P1}) or regexp_matches(text, '^(?:{'|'.join(p for ps in P.GENERAL.values() for p in ps)})') or (length(text) < 30 and not regexp_matches(text, '[。.！!？?；;：:]$') and not regexp_matches(text, '[，,、]') and not regexp_matches(text, '{'|'.join(P.CONTENT_WORDS)}'))))"
+_LOOSE_TREE = re.sub(r"e as \(select doc_id, seq, text, .*? as level from lines\)", lambda _: f"e as (select doc_id, seq, text, {_WORDY} or {_LOOSE} as h, case when {_WORDY} then {_X3} when {_LOOSE} then {_X4} else {_X3} end as level from (select doc_id, seq, regexp_replace(text, '^\\s+|\\s+$', '', 'g') as text from lines) where text <> '')", _TREE_SQL, count=1, flags=re.S)
+_FLAGGED = "select doc_id, cast(row_number() over (partition by doc_id order by seq) as int) as chunk_id, cast(length(content) as int) as len, md5(content) as hash, regexp_matches(lower(content), '{words}') as {flag} from tree where {w}"
+
+
+@query(_LOOSE_TREE + _FLAGGED.format(words="|".join(P.CLAUSE_WORDS), flag="is_important", w="is_leaf"))
 def e6_contract_pipeline(spark, sf):
     return hashed(api.split_domain_text(legal_docs(spark, sf), "contract", "service"), "is_important")
 
 
-@query()
+@query(_LOOSE_TREE + _FLAGGED.format(words="|".join(P.PROCESS_WORDS), flag="is_process", w="true"))
 def e7_regulation_pipeline(spark, sf):
     return hashed(api.split_domain_text(legal_docs(spark, sf), "regulation", "operation"), "is_process")
 
@@ -611,9 +636,6 @@ def a13_batch_counters(spark, sf):
 
 # --- spreadsheets, fonts, outlines, files --------------------------------------------------------------------------------
 
-_KW = "|".join(P.SHEET_KEYWORDS)
-
-
 @query(f"with {CELLS} select doc_id, sheet_idx, sheet_name, cast(row_idx as int) as row_idx, case when regexp_matches(line, '{_KW}') then '★ ' || line else line end as line from (select doc_id, sheet_idx, sheet_name, row_idx, string_agg(value, ' | ' order by col_idx) as line from cells where coalesce(value, '') <> '' group by all)")
 def s26_legal_content(spark, sf):
     return T.legal_content(cells(spark, sf))

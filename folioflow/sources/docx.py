@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import html
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree as ET
@@ -24,7 +26,11 @@ def _text(node: ET.Element) -> str:
 
 def _parts(data: bytes) -> tuple[ET.Element, dict[str, str]]:
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        body = ET.fromstring(z.read("word/document.xml")).find(_W + "body")
+        xml = z.read("word/document.xml")
+        try:
+            body = ET.fromstring(xml).find(_W + "body")
+        except ET.ParseError:
+            body = _mended(xml)
         names = {}
         if "word/styles.xml" in z.namelist():
             for s in ET.fromstring(z.read("word/styles.xml")).iter(_W + "style"):
@@ -34,6 +40,18 @@ def _parts(data: bytes) -> tuple[ET.Element, dict[str, str]]:
     return body, names
 
 
+def _mended(xml: bytes) -> ET.Element:
+    """A body of what can be read of a document that is no whole XML: the texts between paragraph ends, without styles."""
+    body = ET.Element(_W + "body")
+    for part in re.split(r"</w:p>", xml.decode("utf-8", "replace")):
+        text = "".join(html.unescape(t) for t in re.findall(r"<w:t(?:\s[^>]*)?>([^<]*)", part))
+        if text:
+            ET.SubElement(ET.SubElement(ET.SubElement(body, _W + "p"), _W + "r"), _W + "t").text = text
+    if not len(body):
+        raise ValueError("no text in word/document.xml")
+    return body
+
+
 def _rows(table: ET.Element) -> Iterator[tuple[int, list[tuple[int, str, bool]]]]:
     """(row, [(cell, text, merged)]); what continues a vertical merge is left out."""
     for i, row in enumerate(table.findall(_W + "tr")):

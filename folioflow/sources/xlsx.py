@@ -59,8 +59,8 @@ def cells(data: bytes) -> list[tuple[int, str, int, int, str]]:
     return out
 
 
-def plain_text(data: bytes) -> str:
-    """Rows as lines, sheets under their names."""
+def plain_text(data: bytes, cells=cells) -> str:
+    """Rows as lines, sheets under their names; ``cells`` reads the workbook."""
     sheets: dict[tuple[int, str], dict[int, list[str]]] = {}
     for k, name, r, _, v in cells(data):
         if v.strip():

@@ -1,11 +1,11 @@
-"""The same chunking over a stream. All plans keep a document in one row, so they run in append mode without state."""
+"""The same splitting over a stream. All plans keep a document in one row, so they run in append mode without state."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import chunking as C
+from ..operators import splitting as C
 
 
 def read_documents(spark: SparkSession, path: str, schema, files_per_trigger: int = 100) -> DataFrame:

@@ -84,12 +84,27 @@ def test_articles():
 @settings(max_examples=200, deadline=None)
 def test_parents_are_earlier_and_higher(elements):
     h, lv = [a for a, _ in elements], [b for _, b in elements]
-    section, parent = K.hierarchy(h, lv)
-    for i, p in enumerate(parent):
-        if p >= 0:
-            assert p < i and h[p] and lv[p] < lv[i]
-            assert all(lv[k] >= lv[i] for k in range(p + 1, i) if h[k])
-    assert all(s < 0 or h[s] for s in section)
+    sections = K.tree(h, lv)
+    for x in sections:
+        i, q = x["element"], x["parent"]
+        if q >= 0:
+            assert q < i and h[q] and lv[q] < lv[i]
+            assert all(lv[k] >= lv[i] for k in range(q + 1, i) if h[k])
+        assert x["path"][-1] == i and (x["path"][-2:-1] or [-1]) == [q]
+        assert x["is_leaf"] == all(y["parent"] != i for y in sections if y["element"] >= 0) or i < 0
+    assert [k for x in sections for k in range(x["first"], x["stop"])] == list(range(len(h)))
+
+
+@given(st.lists(st.text("abcde", max_size=6), max_size=30))
+@settings(max_examples=200, deadline=None)
+def test_distinct_chunks_by_sets(prints):
+    kept, want = [], []
+    for p in prints:
+        s = frozenset(p)
+        want.append(not (s and any(len(s & k) >= 0.7 * len(s | k) for k in kept)))
+        if want[-1] and s:
+            kept.append(s)
+    assert K.greedy_distinct(prints) == want
 
 
 def test_batches():

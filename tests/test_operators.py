@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioflow.functions import kernels as K
-from folioflow.operators import chunking as C
+from folioflow.operators import splitting as C
 from folioflow.operators import heading_model as M
 from folioflow.operators import hierarchy as H
 from folioflow.operators import stats as S
@@ -22,15 +22,6 @@ def contents(df):
     return out
 
 
-def test_native_packing_is_the_kernel(docs):
-    got = contents(C.pack_natively(docs, 60))
-    for i in (1, 4):
-        text = [r.text for r in docs.where(f"doc_id = {i}").collect()][0]
-        s = K.sentences(text)
-        assert got[i] == [" ".join(s[a:b]) for a, b in K.pack(s, 60, 0)]
-    assert set(got) == {1, 4}
-
-
 def test_packing_of_odd_texts(docs):
     got = contents(C.pack_sentences(docs, 60, 20))
     assert got[2] == [""] and got[4] == ["x" * 900] and got[5] == ["。。。"] and 3 not in got
