@@ -446,6 +446,7 @@ def find(docs: DataFrame, p: Params = Params()) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(train(p))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.keep_pages()
         for b in batches:
             texts = K.column(b, "text")
             found = _found(texts, shared.value, p)
@@ -463,6 +464,7 @@ def redact(docs: DataFrame, p: Params = Params()) -> DataFrame:
     i = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.keep_pages()
         for b in batches:
             texts = b.column(i).to_pylist()
             found = _found(texts, shared.value, p)
