@@ -13,6 +13,9 @@ final order, so the queues are a monotone priority queue by (code, arrival); bey
 shared folder. Runs of suffixes with common prefixes of at least min_words codes that are windows of one owner, at one distance from it
 and with one 16-bit check of the words' full hashes, are equal. (The reduced problem of the S* suffixes is solved by one bounded sort, since no tile is longer than 2 min_words.)
 
+Hot owners. An owner of more than about ``hot`` tiles, such as that of a passage in a third of all documents, is not sorted in one
+task: its windows are grouped by 128 bits of hashes, counted in each task before they move.
+
 Of equal windows, that with the smallest (doc_id, word) stays; the words of all others are covered by the spans returned.
 
 Defined cases: null and short texts have no windows; rows with a null doc_id are not compared; rows that repeat a doc_id
@@ -34,16 +37,22 @@ from pyspark.sql import functions as F
 
 from . import textkit as K
 
-_DEPTH = 56
-_CAP = 63
-
-
 @dataclass(frozen=True)
 class Params:
     min_words: int = 50
     gram: int = 19
     shard: int = 1 << 23
     memory: int = 1 << 27
+    hot: int = 1 << 16  # tiles of one owner in a shard, about
+
+    def __post_init__(self):
+        if not 0 < self.gram < self.min_words < 60_000:
+            raise ValueError("min_words must be above gram and below 60000")
+
+    @property
+    def depth(self) -> int:
+        """Codes by which suffixes are ordered at least, and to which common prefixes are counted."""
+        return self.min_words + 6
 
 
 # --- queues ---------------------------------------------------------------------------------------------------------
@@ -55,6 +64,7 @@ class Queues:
     def __init__(self, memory: int, folder: str | None):
         self.parts: dict[int, list] = {}
         self.memory, self.held, self.folder, self.fs, self.files = memory, 0, folder, None, 0
+        self.kind = np.dtype(np.uint8)
 
     def push(self, code: int, position: np.ndarray, prefix: np.ndarray) -> None:
         self.parts.setdefault(code, []).append((position, prefix))
@@ -76,6 +86,7 @@ class Queues:
             with self.fs.open_output_stream(name) as f:
                 f.write(position.astype("<i8").tobytes())
                 f.write(prefix.tobytes())
+            self.kind = prefix.dtype
             self.parts[code] = [p for p in parts if isinstance(p, str)] + [name]
         self.held = 0
 
@@ -86,14 +97,14 @@ class Queues:
             if isinstance(p, str):
                 with self.fs.open_input_stream(p) as f:
                     data = f.read()
-                n = len(data) // 9
-                out.append((np.frombuffer(data, "<i8", n), np.frombuffer(data, np.uint8, n, 8 * n)))
+                n = len(data) // (8 + self.kind.itemsize)
+                out.append((np.frombuffer(data, "<i8", n), np.frombuffer(data, self.kind, n, 8 * n)))
                 self.fs.delete_file(p)
             else:
                 self.held -= p[0].nbytes + p[1].nbytes
                 out.append(p)
         if not out:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint8)
+            return np.zeros(0, np.int64), np.zeros(0, self.kind)
         return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
 
     def close(self) -> None:
@@ -119,8 +130,9 @@ def _range_min(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class _Least:
     """Least common prefix of what was popped since the last push to each code."""
 
-    def __init__(self):
-        self.since = np.zeros(256, np.uint8)
+    def __init__(self, cap: int, kind: type):
+        self.cap, self.kind = cap, kind
+        self.since = np.zeros(256, kind)
 
     def pushes(self, prefix: np.ndarray, place: np.ndarray, code: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
         """(code, order, prefix) of a batch whose tuples at ``place`` push to ``code``; ``prefix`` is that of all tuples."""
@@ -135,11 +147,11 @@ class _Least:
         a = np.where(head, 0, np.concatenate([[0], place[:-1] + 1]))
         least = _range_min(prefix, a, place + 1)
         least[head] = np.minimum(least[head], before[code[head]])
-        value = np.minimum(least.astype(np.int64) + 1, _CAP).astype(np.uint8)
+        value = np.minimum(least.astype(np.int64) + 1, self.cap).astype(self.kind)
         cuts = np.flatnonzero(head)
         last = np.append(cuts[1:], len(code)) - 1
         after = place[last] + 1
-        tail = np.full(len(cuts), 255, np.uint8)
+        tail = np.full(len(cuts), np.iinfo(self.kind).max, self.kind)
         some = after < len(prefix)
         if some.any():
             tail[some] = np.minimum.accumulate(prefix[::-1])[::-1][after[some]]
@@ -149,19 +161,21 @@ class _Least:
         return out
 
 
-def _common(t: np.ndarray, i: int, j: int) -> int:
-    a, b = t[i : i + _CAP], t[j : j + _CAP]
+def _common(t: np.ndarray, i: int, j: int, cap: int) -> int:
+    a, b = t[i : i + cap], t[j : j + cap]
     n = min(len(a), len(b))
     stop = np.flatnonzero((a[:n] != b[:n]) | (a[:n] == 0))
     return int(stop[0]) if len(stop) else n
 
 
-def induced(t: np.ndarray, memory: int = 1 << 27, folder: str | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def induced(t: np.ndarray, memory: int = 1 << 27, folder: str | None = None, depth: int = 56) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Batches of (positions, common prefix with the suffix before) of the suffixes of ``t``, in descending order.
 
     ``t`` holds codes, ends with 0 and has no two 0 together; suffixes that start with 0 are left out and comparison stops
-    at 0. Order is by the first 56 codes, common prefixes are counted to 56 at least.
+    at 0. Order is by the first ``depth`` codes, common prefixes are counted to ``depth`` at least.
     """
+    cap = depth + 7
+    kind = np.uint8 if cap < 255 else np.uint16
     n = len(t)
     differs = np.flatnonzero(t[1:] != t[:-1])
     nxt = differs[np.minimum(np.searchsorted(differs, np.arange(n - 1)), len(differs) - 1)] if len(differs) else np.zeros(0, np.int64)
@@ -169,20 +183,20 @@ def induced(t: np.ndarray, memory: int = 1 << 27, folder: str | None = None) ->
     if len(differs):
         small[:-1] = t[nxt] < t[nxt + 1]
     star = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    text = np.concatenate([t, np.zeros(_DEPTH, np.uint8)])
-    rows = np.lib.stride_tricks.sliding_window_view(text, _DEPTH)[star].copy()
+    text = np.concatenate([t, np.zeros(depth, np.uint8)])
+    rows = np.lib.stride_tricks.sliding_window_view(text, depth)[star].copy()
     rows[np.maximum.accumulate(rows == 0, axis=1)] = 0
-    o = np.argsort(rows.view(f"S{_DEPTH}").ravel(), kind="stable")
+    o = np.argsort(rows.view(f"S{depth}").ravel(), kind="stable")
     star, rows = star[o], rows[o]
-    prefix = np.zeros(len(star), np.uint8)
+    prefix = np.zeros(len(star), kind)
     if len(star) > 1:
         same = (rows[1:] == rows[:-1]) & (rows[1:] != 0)
-        prefix[1:] = np.where(same.all(1), _DEPTH, same.argmin(1))
+        prefix[1:] = np.where(same.all(1), depth, same.argmin(1))
     first = t[star]
     edges = np.searchsorted(first, np.arange(257))
 
     # L suffixes, ascending
-    queues, least = Queues(memory, folder and f"{folder}/l"), _Least()
+    queues, least = Queues(memory, folder and f"{folder}/l"), _Least(cap, kind)
     ready: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(256)]
 
     def up(position: np.ndarray, lcp: np.ndarray, code: int) -> None:
@@ -206,12 +220,12 @@ def induced(t: np.ndarray, memory: int = 1 << 27, folder: str | None = None) ->
         a, b = edges[code], edges[code + 1]
         if b > a:
             lcp = prefix[a:b].copy()
-            lcp[0] = _common(t, last, int(star[a])) if last >= 0 else 0
+            lcp[0] = _common(t, last, int(star[a]), cap) if last >= 0 else 0
             up(star[a:b], lcp, code)
     queues.close()
 
     # S suffixes, descending; the common prefix of a tuple is that with the one popped before it, which is greater
-    queues, least = Queues(memory, folder and f"{folder}/s"), _Least()
+    queues, least = Queues(memory, folder and f"{folder}/s"), _Least(cap, kind)
 
     def down(position: np.ndarray, lcp: np.ndarray, code: int) -> None:
         before = t[np.maximum(position - 1, 0)]
@@ -234,9 +248,9 @@ def induced(t: np.ndarray, memory: int = 1 << 27, folder: str | None = None) ->
         link = None  # common prefix of the last popped L suffix with the next smaller one
         for position, lcp in reversed(ready[code]):
             position = position[::-1]
-            between = np.empty(len(lcp), np.uint8)
+            between = np.empty(len(lcp), kind)
             between[1:] = lcp[:0:-1]
-            between[0] = link if link is not None else _common(t, last, int(position[0])) if last >= 0 else 0
+            between[0] = link if link is not None else _common(t, last, int(position[0]), cap) if last >= 0 else 0
             link, last = int(lcp[0]), int(position[-1])
             down(position, between, code)
             yield position, between
@@ -264,7 +278,7 @@ def tiles(texts: list[str | None], p: Params) -> dict[str, np.ndarray]:
     q = np.flatnonzero(ok)
     if not len(q):
         e = np.zeros(0, np.int64)
-        return {k: e for k in ("text", "owner", "at", "owned", "off", "start", "length", "place")} | {"codes": codes, "check": e.astype("<u2")}
+        return {k: e for k in ("text", "owner", "at", "owned", "off", "start", "length", "place", "window")} | {"codes": codes, "check": e.astype("<u2")}
     power, inverse = K._powers(1 << max(12, int(len(h)).bit_length()))
     acc = np.concatenate([[np.uint64(0)], np.cumsum(h * inverse[: len(h)])])
     g = K.mix(K.mix((acc[p.gram :] - acc[: -p.gram]) * power[: len(h) - p.gram + 1]))
@@ -280,8 +294,9 @@ def tiles(texts: list[str | None], p: Params) -> dict[str, np.ndarray]:
     first = np.flatnonzero(new)
     owned = np.diff(np.append(first, len(q)))
     text = np.searchsorted(bounds, q[first], side="right") - 1
-    check = (K.mix((acc[q + p.min_words] - acc[q]) * power[q]) >> np.uint64(48)).astype("<u2")
-    return {"check": check, "place": first, "text": text, "owner": g[own[first]].view(np.int64), "at": q[first] - bounds[text], "owned": owned, "off": own[first] - q[first], "start": q[first], "length": owned + p.min_words - 1, "codes": codes}
+    window = K.mix((acc[q + p.min_words] - acc[q]) * power[q])
+    check = (window >> np.uint64(48)).astype("<u2")
+    return {"check": check, "place": first, "text": text, "owner": g[own[first]].view(np.int64), "window": window.view(np.int64), "at": q[first] - bounds[text], "owned": owned, "off": own[first] - q[first], "start": q[first], "length": owned + p.min_words - 1, "codes": codes}
 
 
 def repeats(owner: np.ndarray, doc: np.ndarray, at: np.ndarray, owned: np.ndarray, off: np.ndarray, check: np.ndarray, t: np.ndarray, start: np.ndarray, p: Params, folder: str | None) -> tuple[np.ndarray, ...]:
@@ -289,7 +304,7 @@ def repeats(owner: np.ndarray, doc: np.ndarray, at: np.ndarray, owned: np.ndarra
     run = 0
     positions, runs = [], []
     tile_at = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(t))))
-    for position, lcp in induced(t, p.memory, folder):
+    for position, lcp in induced(t, p.memory, folder, p.depth):
         r = run + np.cumsum(lcp < p.min_words)
         run = int(r[-1])
         k = tile_at[position]
@@ -323,15 +338,55 @@ def repeats(owner: np.ndarray, doc: np.ndarray, at: np.ndarray, owned: np.ndarra
     return d[a], word[a], word[b] + p.min_words, fd[a]
 
 
+def _hot_owners(texts: DataFrame, p: Params) -> np.ndarray:
+    """Owners of more than about ``hot`` tiles, by a sixteenth of the documents. Which way a window takes changes no result."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in K.slices(batches):
+            owner, n = np.unique(tiles(K.column(b, "text"), p)["owner"], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(owner.astype(np.int64)), pa.array(n.astype(np.int64))], ["owner", "n"])
+
+    some = texts.where("pmod(xxhash64(doc_id), 16) = 0").mapInArrow(run, "owner bigint, n bigint")
+    many = some.groupBy("owner").agg(F.sum("n").alias("n")).where(F.col("n") * 16 > p.hot)
+    return np.sort(many.select("owner").toArrow()["owner"].to_numpy())
+
+
+def _hot_windows(texts: DataFrame, hot, p: Params) -> DataFrame:
+    """(doc_id, start, stop, first_doc_id) of the windows of hot owners that are not the first of their kind.
+
+    Their windows are grouped by 128 bits of their hash and the owner's instead of being sorted in one task: each task counts
+    its own first, and what is joined to the many equal windows is one row.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in K.slices(batches):
+            x = tiles(K.column(b, "text"), p)
+            k = np.flatnonzero(np.isin(x["owner"], hot.value))
+            n = x["owned"][k]
+            i, inner = np.repeat(k, n), _ranges(np.zeros(len(k), np.int64), n)
+            yield pa.RecordBatch.from_arrays([pa.array(x["window"][x["place"][i] + inner]), pa.array(x["owner"][i]), b.column(0).take(pa.array(x["text"][i])), pa.array((x["at"][i] + inner).astype(np.int32))], ["a", "b", "doc_id", "start"])
+
+    windows = texts.mapInArrow(run, "a bigint, b bigint, doc_id bigint, start int")
+    place = F.struct("doc_id", "start")
+    first = windows.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("a", "b", "first")
+    gone = windows.join(first, ["a", "b"]).where(place != F.col("first"))
+    return gone.select("doc_id", "start", (F.col("start") + p.min_words).alias("stop"), F.col("first.doc_id").alias("first_doc_id"))
+
+
 def spans(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """(doc_id, start_word, stop_word, first_doc_id): merged spans to remove, and where the first of their words stay."""
     spark = docs.sparkSession
-    K.checkpoint_dir(spark)
-    base = spark.sparkContext.getCheckpointDir() + f"/suffix-{uuid.uuid4().hex}"
+    base = K.checkpoint_dir(spark)
+    texts = K.narrow(docs).where("doc_id is not null and text is not null")
+    owners = _hot_owners(texts, p)
+    hot = spark.sparkContext.broadcast(owners)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in K.slices(batches):
             x = tiles(K.column(b, "text"), p)
+            if len(hot.value):
+                k = np.flatnonzero(~np.isin(x["owner"], hot.value))
+                x |= {c: x[c][k] for c in ("text", "owner", "at", "owned", "off", "start", "length", "place")}
             for i in range(0, len(x["text"]), 50_000):
                 s = slice(i, i + 50_000)
                 length, owned = x["length"][s], x["owned"][s]
@@ -344,7 +399,16 @@ def spans(docs: DataFrame, p: Params = Params()) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x["owner"][s]), b.column(0).take(pa.array(x["text"][s])), *(pa.array(x[c][s].astype(np.int32)) for c in ("at", "owned", "off")), tile], ["owner", "doc_id", "at", "owned", "off", "tile"])
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        folder = f"{base}/{uuid.uuid4().hex}"
+        K.keep_pages()
+        folder = f"{base}/suffix-{uuid.uuid4().hex}"
+        try:
+            yield from sorted_shards(batches, folder)
+        finally:  # nothing stays behind, whether the task ends or fails
+            fs, path = pa.fs.FileSystem.from_uri(folder)
+            if fs.get_file_info(path).type != pa.fs.FileType.NotFound:
+                fs.delete_dir(path)
+
+    def sorted_shards(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
         codes = 0
 
@@ -382,13 +446,13 @@ def spans(docs: DataFrame, p: Params = Params()) -> DataFrame:
             yield shard()
 
     found = (
-        K.narrow(docs)
-        .where("doc_id is not null and text is not null")
-        .mapInArrow(cut, "owner bigint, doc_id bigint, at int, owned int, off int, tile binary")
+        texts.mapInArrow(cut, "owner bigint, doc_id bigint, at int, owned int, off int, tile binary")
         .repartition("owner")
         .sortWithinPartitions("owner")
         .mapInArrow(sort, "doc_id bigint, start int, stop int, first_doc_id bigint")
     )
+    if len(owners):
+        found = found.unionByName(_hot_windows(texts, hot, p))
     w = Window.partitionBy("doc_id").orderBy("start", "stop")
     reach = F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1))
     new = F.when(reach.isNull() | (F.col("start") > reach), 1).otherwise(0)

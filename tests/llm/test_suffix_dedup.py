@@ -2,6 +2,7 @@ import dataclasses
 import re
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -70,6 +71,43 @@ def test_small_shards_change_nothing(spark, documents):
     assert key(S.spans(documents, p)) == key(S.spans(documents))
 
 
+def test_other_lengths_of_passages(spark):
+    """Passages of any length, also beyond those of the query."""
+    r = np.random.default_rng(1)
+    passage = " ".join(f"p{i}" for i in range(330))
+    rows = [(i, " ".join(f"w{x}" for x in r.integers(0, 9999, 40)) + " " + " ".join(passage.split()[: (330 if i < 3 else 120)]) + " " + " ".join(f"w{x}" for x in r.integers(0, 9999, 40))) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    for n in (30, 64, 80, 300):
+        assert words_of(S.spans(docs, S.Params(min_words=n)).collect()) == brute(rows, n), n
+
+
+def test_parameters_are_checked():
+    for bad in (dict(min_words=19), dict(gram=0), dict(min_words=70_000)):
+        with pytest.raises(ValueError):
+            S.Params(**bad)
+
+
+def test_hot_owners_are_split(spark, documents, monkeypatch):
+    """Windows of owners of many tiles take the other way, and nothing changes."""
+    passage = " ".join(f"p{i}" for i in range(70))
+    rows = [(i, f"start{i} of it {passage} end{i} of it {'' if i % 2 else 'more'} {passage}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    p = S.Params(hot=200)
+    assert len(S._hot_owners(S.K.narrow(docs), p)) > 0
+    assert words_of(S.spans(docs, p).collect()) == brute(rows, 50)
+    few = dataclasses.replace(p, hot=3)
+    assert words_of(S.spans(documents, few).collect()) == brute([(r.doc_id, r.text) for r in documents.collect()], 50)
+
+
+def test_no_files_stay(spark, documents):
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    folder = Path(urlparse(S.K.checkpoint_dir(spark)).path)
+    S.spans(documents, dataclasses.replace(S.Params(), shard=3000, memory=2000)).collect()
+    assert not list(folder.glob("suffix-*"))
+
+
 def test_odd_rows(odd_docs, no_docs):
     rows = S.spans(odd_docs).collect()
     got = {(r.doc_id, r.start_word, r.stop_word, r.first_doc_id) for r in rows}
