@@ -116,9 +116,9 @@ def _blocks(docs: DataFrame, p: Params) -> DataFrame:
     same = same.withColumn("step", F.expr(f"greatest(1L, {_BLOCK} div (q + 1))"))
     few = same.withColumn("i", F.explode(F.expr("sequence(0L, c - 1, step)")))
     few = few.select("doc_id", "q", "r", (F.col("copy") + F.col("i")).alias("copy"), F.least("step", F.col("c") - F.col("i")).alias("c"))
-    full = few.where("q > 0").select(F.lit(p.capacity).cast("bigint").alias("x"), "doc_id", "copy", F.lit(0).cast("bigint").alias("piece"), (F.col("c") * F.col("q")).alias("n"), F.col("q").alias("per"))
-    rest = few.where("r > 0").select(F.col("r").alias("x"), "doc_id", "copy", F.col("q").alias("piece"), F.col("c").alias("n"), F.lit(1).cast("bigint").alias("per"))
-    return full.unionByName(rest)
+    one = lambda x, piece, n, per: F.struct(x.cast("bigint").alias("x"), F.col("copy"), piece.cast("bigint").alias("piece"), n.cast("bigint").alias("n"), per.cast("bigint").alias("per"))
+    both = F.array(one(F.lit(p.capacity), F.lit(0), F.col("c") * F.col("q"), F.col("q")), one(F.col("r"), F.col("q"), F.col("c"), F.lit(1)))
+    return few.select("doc_id", F.explode(F.filter(both, lambda k: (k["n"] > 0) & (k["x"] > 0))).alias("k")).select("k.x", "doc_id", "k.copy", "k.piece", "k.n", "k.per")
 
 
 _OUT = "doc_id bigint, copy bigint, piece bigint, n_tokens bigint, bin bigint, bin_offset bigint"
