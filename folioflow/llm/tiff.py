@@ -239,6 +239,8 @@ def _page(data: bytes, tags: dict[int, list], order: str) -> Page:
     planes, per = (samples, 1) if planar == 2 else (1, samples)
     if not offsets or not sizes or min(len(offsets), len(sizes)) < across * down * planes:
         raise ValueError("strips or tiles are missing")
+    if max(h * w, th * tw) * samples * bits // 8 > 4096 * len(data):  # no codec packs more densely
+        raise ValueError("the size is more than the data can hold")
     out = np.zeros((h, w, samples), dtype)
     for k in range(across * down * planes):
         plane, place = divmod(k, across * down)

@@ -63,3 +63,9 @@ def test_vectors(spark):
     assert got[2] is got[3] is got[4] is None
     assert [p.compression for p in T.decode(bytes(got[1]))] == [32773, 5, 8]
     assert zlib.crc32(next(T.decode(bytes(got[1]))).pixels.tobytes())
+
+
+def test_sizes_beyond_the_data_are_refused():
+    for tags in ({256: 1 << 30, 257: 1 << 30}, {256: 8, 257: 1 << 31}):
+        with pytest.raises(ValueError, match="than the data can hold|missing"):
+            next(T.decode(_tiny({258: 8, 259: 1, 273: 8, 278: 1 << 31, 279: 2} | tags)))
