@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 
@@ -40,6 +42,44 @@ def test_bound_skips_only_windows_without_labels(model):
     assert (every[:, some] == got).all()
 
 
+def plain_labels(text, w):
+    """The best path by single steps over one text, in double precision."""
+    ids = P.char_ids(text)
+    n = w["uf"].shape[0]
+    sides = []
+    for d, order in (("f", range(len(ids))), ("b", range(len(ids) - 1, -1, -1))):
+        h, c = [0.0] * n, [0.0] * n
+        out = {}
+        u, x = w["u" + d].astype(float), w["x" + d].astype(float)
+        for t in order:
+            z = [x[ids[t], k] + sum(h[j] * u[j, k] for j in range(n)) for k in range(4 * n)]
+            gate = [1 / (1 + math.exp(-v)) for v in z[: 3 * n]] + [math.tanh(v) for v in z[3 * n :]]
+            c = [gate[n + k] * c[k] + gate[k] * gate[3 * n + k] for k in range(n)]
+            h = [gate[2 * n + k] * math.tanh(c[k]) for k in range(n)]
+            out[t] = h
+        sides.append(out)
+    kinds = range(len(P.KINDS))
+    score, back = None, []
+    for t in range(len(ids)):
+        e = [w["bias"][k] + sum(sides[0][t][j] * w["ef"][j, k] + sides[1][t][j] * w["eb"][j, k] for j in range(n)) for k in kinds]
+        if score is None:
+            score = e
+            continue
+        best = [max(kinds, key=lambda a: score[a] + w["tr"][a, b]) for b in kinds]
+        back.append(best)
+        score = [score[best[b]] + w["tr"][best[b], b] + e[b] for b in kinds]
+    path = [max(kinds, key=lambda k: score[k])]
+    for best in reversed(back):
+        path.append(best[path[-1]])
+    return path[::-1]
+
+
+def test_labels_against_single_steps(model):
+    texts = ["Write to ann.lee@mail4.example.com or call (212) 555-0184 today.", "Nothing of it here, but 12 of them in 2021.", 'token = "0123456789abcdef0123456789abcdef" and 10.20.30.40 there', "x", "password: q8Zk3LmP0aa1 end, card 4111 1111 1111 1111."]
+    labels, bounds = P.label_texts(texts, model)
+    assert [labels[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [plain_labels(t, model) for t in texts]
+
+
 def test_gradients():
     p = P.Params(hidden=3)
     r = np.random.default_rng(0)
