@@ -221,24 +221,26 @@ def _legal_lists(spark, sf):
     return Q.legal_docs(spark, sf).select("doc_id", F.split("text", "\n").alias("lines"))
 
 
+def word_files(spark, sf):
+    """Word files of a paragraph a line, every fifth in a heading style."""
+    styles = F.transform("lines", lambda _, i: F.when(i % 5 == 0, "heading 2"))
+    return _files(_legal_lists(spark, sf).withColumn("styles", styles), "docx", renderers.docx(F.col("lines"), F.col("styles")))
+
+
 _WORD = rf"regexp_matches(text, '^(?i:(第[{P.HAN}0-9]+[章节]|[{P.HAN}0-9]+[、．.]|（[{P.HAN}0-9]+）|(chapter|section)\s+[0-9]+|[0-9]+\.?\s+|[0-9]+\.[0-9]+\.?\s+))') or (length(text) < 100 and not regexp_matches(text, '[。.！!？?]$'))"
 
 
 @query(_LINES + f", c as (select doc_id, seq, {Q._CLEAN} as text from lines) select doc_id, cast(seq as int) as seq, md5(text) as hash, seq % 5 = 0 or {_WORD} as is_heading, case when seq % 5 = 0 then 2 when {_WORD} then {Q._X3} else 0 end as level from c")
 def s8_word_files(spark, sf):
-    """Word files of a paragraph a line, every fifth in a heading style, read as elements."""
-    d = _legal_lists(spark, sf)
-    styles = F.transform("lines", lambda _, i: F.when(i % 5 == 0, "heading 2"))
-    e = FS.docx_elements(_files(d.withColumn("styles", styles), "docx", renderers.docx(F.col("lines"), F.col("styles"))))
+    """Word files read as elements."""
+    e = FS.docx_elements(word_files(spark, sf))
     return e.select(_id(), "seq", F.md5("text").alias("hash"), "is_heading", "level")
 
 
 @query(f"with {Q.CELLS} select doc_id, cast(dense_rank() over (partition by doc_id order by sheet_idx) as int) as sheet_idx, sheet_name, cast(row_idx as int) as row_idx, cast(col_idx as int) as col_idx, value from cells where value is not null")
 def s30_workbook_files(spark, sf):
-    """Workbooks of the cells of all nations of a region, read as cells."""
-    c = Q.cells(spark, sf).where("value is not null")
-    d = c.groupBy("doc_id").agg(F.collect_list(F.struct(*(F.col(k) for k in ("sheet_idx", "sheet_name", "row_idx", "col_idx", "value")))).alias("cells"))
-    got = FS.xlsx_cells(_files(d, "xlsx", renderers.xlsx(F.col("cells"))))
+    """Workbooks read as cells."""
+    got = FS.xlsx_cells(workbook_files(spark, sf))
     return got.withColumn("doc_id", _id("doc_id")).drop("error")
 
 
@@ -263,6 +265,13 @@ def _rtf_text():
     return text
 
 
+def workbook_files(spark, sf):
+    """Workbooks of the cells of all nations of a region."""
+    c = Q.cells(spark, sf).where("value is not null")
+    d = c.groupBy("doc_id").agg(F.collect_list(F.struct(*(F.col(k) for k in ("sheet_idx", "sheet_name", "row_idx", "col_idx", "value")))).alias("cells"))
+    return _files(d, "xlsx", renderers.xlsx(F.col("cells")))
+
+
 _SPANS = "s as (select p_partkey % 50 as doc_id, cast(1 + p_partkey // 50 // 20 as int) as page, p_partkey // 50 as k, p_name as text, cast(10 + p_size % 5 as double) as font_size from part)"
 
 
@@ -270,7 +279,7 @@ def _spans(spark, sf):
     return table(spark, sf, "part").selectExpr("p_partkey % 50 doc_id", "cast(1 + p_partkey div 50 div 20 as int) page", "p_partkey div 50 seq", "p_name text", "cast(10 + p_size % 5 as double) font_size")
 
 
-def _pdf_files(spark, sf):
+def pdf_files(spark, sf):
     d = _spans(spark, sf).groupBy("doc_id").agg(F.collect_list(F.struct("page", "seq", "text", "font_size")).alias("spans"))
     return _files(d, "pdf", renderers.pdf(F.col("spans")))
 
@@ -278,7 +287,7 @@ def _pdf_files(spark, sf):
 @query(f"with {_SPANS} select doc_id, page, cast(row_number() over (partition by doc_id order by page, k) - 1 as int) as seq, text, font_size from s")
 def s22_pdf_files(spark, sf):
     """PDF files of the names of parts, read as lines with pages and font sizes."""
-    return FS.pdf_spans(_pdf_files(spark, sf)).select(_id(), "page", "seq", "text", "font_size")
+    return FS.pdf_spans(pdf_files(spark, sf)).select(_id(), "page", "seq", "text", "font_size")
 
 
 _READ = f"read as (select doc_id, seq, {Q._CLEAN} as text from lines)"
