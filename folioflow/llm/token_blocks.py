@@ -8,7 +8,7 @@ two contexts have been seen, and of the place; an id's range is the sum of its p
 2**-22, below it lie those of all smaller ids. After each id the weights of its class move by what each prediction had in it.
 
 The encoder knows all ids, so it counts smaller and equal ids before each place in each context for many blocks at once, by
-sorting; then weights and the range coder advance all blocks in step, in 56 bits, 16 bits out at a time, with carries added
+sorting; then weights and the range coder advance all blocks in step, in 63 bits, 32 bits out at a time, with carries added
 at the end. The decoder is sequential and finds an id by bisection.
 
 Defined cases: a null or empty text has no ids and appears in a block with count 0; a null doc_id stays null; rows that
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import zlib
+from array import array
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,10 +37,12 @@ DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 _C = 64  # places that are compared with each other directly
+_FEW = 32  # blocks that are counted together
 _BITS = 22  # an id's range is a whole number of 2**-22
 _START = (0.3, 0.3, 0.4, 0.3)  # weights of orders 0, 1, 2 and of none before anything is seen
 _DECAY = 0.98
-_TOP, _SHIFT, _DIGIT, _REST = np.uint64(1 << 40), np.uint64(40), np.uint64(16), np.uint64((1 << 40) - 1)
+_WIDE, _LOW = 63, 31  # bits of the range, and of it what stays when 32 are written
+_TOP, _SHIFT, _DIGIT, _REST = np.uint64(1 << _LOW), np.uint64(_LOW), np.uint64(32), np.uint64((1 << _LOW) - 1)
 
 
 @dataclass(frozen=True)
@@ -58,11 +61,11 @@ def contexts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return one, (two.astype(np.uint32) * np.uint32(0x9E3B) + one * np.uint32(0x6A0B) + (two >> 5)).astype(np.uint16)
 
 
-def _smaller_before(perm: np.ndarray, inv: np.ndarray) -> np.ndarray:
+def _smaller_before(perm: np.ndarray, inv: np.ndarray, flat: np.ndarray) -> np.ndarray:
     """For each place of permutations (lanes, n): how many of the values before it are smaller. n is a multiple of _C.
 
     Values in the same _C places and then those with the same upper bits are compared with each other, all pairs at a
-    time; all others are counted by a table of sums.
+    time; all others are counted by a table of sums. ``inv`` holds the places by value, ``flat`` the values as indices.
     """
     lanes, n = perm.shape
     m = n // _C
@@ -75,56 +78,73 @@ def _smaller_before(perm: np.ndarray, inv: np.ndarray) -> np.ndarray:
             np.add.reduce(less[:j].view(np.uint8), axis=0, dtype=np.uint8, out=out[j])
         return np.ascontiguousarray(out.T).ravel()
 
-    row = np.arange(lanes)[:, None]
-    chunk, bucket = np.arange(n) >> 6, perm >> 6
-    out = inside(perm).astype(np.int32).reshape(lanes, n)
-    out += inside(inv >> 6)[row * n + perm]
-    h = np.bincount(((row * m + chunk) * m + bucket).ravel(), minlength=lanes * m * m).astype(np.int16).reshape(lanes, m, m)
-    acc = np.zeros((lanes, m + 1, m + 1), np.int16)
-    np.cumsum(np.cumsum(h, axis=1, dtype=np.int16), axis=2, dtype=np.int16, out=acc[:, 1:, 1:])
-    out += acc.ravel()[(row * (m + 1) + chunk) * (m + 1) + bucket]
+    cell = (perm >> 6).astype(np.int64)
+    cell += (np.arange(lanes)[:, None] * m + (np.arange(n) >> 6)) * m
+    h = np.bincount(cell.ravel(), minlength=lanes * m * m).astype(np.int16).reshape(lanes, m, m)
+    acc = np.zeros((lanes, m, m), np.int16)  # of lower chunks and lower buckets
+    np.cumsum(h[:, :-1], axis=1, dtype=np.int16, out=h[:, :-1])
+    np.cumsum(h[:, :-1, :-1], axis=2, dtype=np.int16, out=acc[:, 1:, 1:])
+    out = acc.ravel()[cell]
+    out += inside(perm).reshape(lanes, n)
+    out += inside((inv >> 6).astype(np.uint8 if m <= 256 else np.uint16))[flat]
     return out
 
 
-def seen(x: np.ndarray, context: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the ids before each place of x (lanes, n) in the same context: how many are less than its own, equal to it, and all."""
+def _starts(change: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each column the last one at which there was a change, the first counting as one."""
+    out = np.zeros((change.shape[0], len(at)), np.int64)
+    np.multiply(change, at[1:], out=out[:, 1:])
+    return np.maximum.accumulate(out, axis=1, out=out)
+
+
+def seen(x: np.ndarray, context: np.ndarray | None) -> np.ndarray:
+    """Of the ids before each place of x (lanes, n) in the same context: how many are less than its own, equal to it, and
+    all, as 16-bit numbers from the lowest on of one whole number."""
     lanes, n = x.shape
     row, at = np.arange(lanes)[:, None] * n, np.arange(n)
-    key = (x.astype(np.uint64) << np.uint64(16)) | at.astype(np.uint64)
-    if context is not None:
-        key |= context.astype(np.uint64) << np.uint64(32)
+    key = x.astype(np.int64) if context is None else (context.astype(np.int64) << 16) | x
+    key <<= 16
+    key |= at
     key.sort(axis=1)
-    by_id = (key & np.uint64(0xFFFF)).astype(np.int64)
-    rank = np.empty(lanes * n, np.int64)
-    rank[row + by_id] = at
-    new, first = np.ones((lanes, n), bool), np.ones((lanes, n), bool)
-    new[:, 1:] = (key[:, 1:] ^ key[:, :-1]) >> np.uint64(16) != 0
-    same = at - np.maximum.accumulate(np.where(new, at, 0), axis=1)  # by rank
+    change = key[:, 1:] ^ key[:, :-1]
+    key &= 0xFFFF
+    equal = at - _starts(change > 0xFFFF, at)
+    equal <<= 16
+    equal |= at
+    ranked = np.empty(lanes * n, np.int64)  # by place: rank, and how many equal ones before
+    ranked[row + key] = equal
     if context is None:
-        perm, inv, start = rank.reshape(lanes, n), by_id, 0
+        seq, g, start = None, ranked.reshape(lanes, n), 0
+        inv = key.astype(np.uint16)
     else:
-        first[:, 1:] = (key[:, 1:] ^ key[:, :-1]) >> np.uint64(32) != 0
-        start = np.maximum.accumulate(np.where(first, at, 0), axis=1)  # by rank and in the order of contexts alike
+        start = _starts(change > 0xFFFFFFFF, at)  # by rank and in the order of contexts alike
         by_context = (context.astype(np.uint32) << np.uint32(16)) | at.astype(np.uint32)
         by_context.sort(axis=1)
-        seq = row + (by_context & np.uint32(0xFFFF)).astype(np.int64)
-        perm = rank[seq]
-        inv = np.empty(lanes * n, np.int64)
-        inv[row + perm] = at
+        by_context &= np.uint32(0xFFFF)
+        seq = row + by_context
+        g = ranked[seq]
+        inv = None
+    perm = g & 0xFFFF
+    flat = row + perm
+    if inv is None:
+        inv = np.empty(lanes * n, np.uint16)
+        inv[flat] = at
         inv = inv.reshape(lanes, n)
-    perm16, inv16 = perm.astype(np.uint16), inv.astype(np.uint16)
+    perm = perm.astype(np.uint16)
     if pad := -n % _C:
         more = np.broadcast_to(np.arange(n, n + pad, dtype=np.uint16), (lanes, pad))
-        perm16, inv16 = np.concatenate([perm16, more], 1), np.concatenate([inv16, more], 1)
-    same = same.ravel()[row + perm].astype(np.int16)
-    less = (_smaller_before(perm16, inv16)[:, :n] - start - same).astype(np.int16)
-    count = (at - start).astype(np.int16)
-    if context is None:
-        return less, same, np.broadcast_to(count, x.shape)
-    out = np.empty((3, lanes * n), np.int16)
-    for to, v in zip(out, (less, same, count)):
-        to[seq] = v
-    return tuple(out.reshape(3, lanes, n))
+        perm, inv = np.concatenate([perm, more], 1), np.concatenate([inv, more], 1)
+        flat = np.arange(lanes)[:, None] * (n + pad) + perm
+    less = _smaller_before(perm, inv, flat)[:, :n]
+    same = g >> 16
+    out = less - start - same
+    out |= same << 16
+    out |= (at - start).astype(np.int64) << 32
+    if seq is None:
+        return out
+    by_place = np.empty(lanes * n, np.int64)
+    by_place[seq] = out
+    return by_place.reshape(lanes, n)
 
 
 def _class(n2, n1, at):
@@ -137,12 +157,12 @@ _CLASSES = 75
 
 
 def _carried(digits: np.ndarray) -> bytes:
-    """Digits of 16 bits, highest first, that may carry into the one before."""
+    """Digits of 32 bits, highest first, that may carry into the one before."""
     if not len(digits):
         return b""
-    whole = (digits & np.uint64(0xFFFF)).astype(">u2").tobytes()
-    carry = np.append((digits >> np.uint64(16))[1:], np.uint64(0)).astype(">u2").tobytes()
-    return ((int.from_bytes(whole, "big") + int.from_bytes(carry, "big")) & ((1 << (16 * len(digits))) - 1)).to_bytes(2 * len(digits), "big")
+    whole = (digits & np.uint64(0xFFFFFFFF)).astype(">u4").tobytes()
+    carry = np.append((digits >> np.uint64(32))[1:], np.uint64(0)).astype(">u4").tobytes()
+    return ((int.from_bytes(whole, "big") + int.from_bytes(carry, "big")) & ((1 << (32 * len(digits))) - 1)).to_bytes(4 * len(digits), "big")
 
 
 def encode_blocks(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
@@ -160,67 +180,65 @@ def encode_blocks(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
             by_length.setdefault(len(b), []).append(i)
     for n, members in by_length.items():
         lanes = len(members)
-        less, same, count = (np.empty((n, 4, lanes), np.int16) for _ in range(3))
-        ids, kind = np.empty((n, lanes), np.int64), np.empty((n, lanes), np.int64)
-        for at in range(0, lanes, 32):
-            x = np.stack([blocks[i] for i in members[at : at + 32]]).astype(np.uint16)
+        ids, counts = np.empty((n, lanes), np.uint16), np.empty((n, 3, lanes), np.int64)
+        for at in range(0, lanes, _FEW):
+            x = np.stack([blocks[i] for i in members[at : at + _FEW]]).astype(np.uint16)
             lane = slice(at, at + x.shape[0])
             for k, context in enumerate((None, *contexts(x))):
-                for to, v in zip((less, same, count), seen(x, context)):
-                    to[:, k, lane] = v.T
+                counts[:, k, lane] = seen(x, context).T
             ids[:, lane] = x.T
-            kind[:, lane] = _class(count[:, 2, lane], count[:, 1, lane], np.arange(n)[:, None])
-        digits, filled, base = _coded(ids, less, same, count, kind, vocabulary)
+        digits, filled, base = _coded(ids, counts, vocabulary)
         for lane, i in enumerate(members):
             b = int(base[lane])
-            tail = np.array([b >> 40, (b >> 24) & 0xFFFF, (b >> 8) & 0xFFFF, (b & 0xFF) << 8], np.uint64)
-            out[i] = _carried(np.concatenate([digits[: filled[lane], lane], tail]))
+            tail = np.array([b >> _LOW, (b << 1) & 0xFFFFFFFF], np.uint64)
+            out[i] = _carried(np.concatenate([digits[: filled[lane], lane], tail])).rstrip(b"\0")
     return out
 
 
-def _coded(ids: np.ndarray, less: np.ndarray, same: np.ndarray, count: np.ndarray, kind: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _coded(ids: np.ndarray, counts: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """16-bit digits (place, lane), how many each lane has, and what is left to write.
 
     The last of the four predictions, after orders 0, 1 and 2, is that of all ids alike. Divisions are of whole numbers
     below 2**53 in floating point: rounded down they are exact.
     """
     n, lanes = ids.shape
-    weights = np.repeat(np.array(_START), _CLASSES * lanes)
+    weights = np.append(np.repeat(np.array(_START), _CLASSES * lanes), 0.0)  # the last is that of a context not seen yet
     offset = np.arange(4)[:, None] * (_CLASSES * lanes) + np.arange(lanes)
-    base, width = np.zeros(lanes, np.uint64), np.full(lanes, 1 << 56, np.uint64)
-    digits = np.zeros((n + 8, lanes), np.uint64)
+    base, width = np.zeros(lanes, np.uint64), np.full(lanes, 1 << _WIDE, np.uint64)
+    digits = np.zeros((n + 2, lanes), np.uint64)
     filled = np.zeros(lanes, np.int64)
     room = float((1 << _BITS) - vocabulary)
     whole = float(1 << _BITS)
-    q, r, low, high = (np.empty((4, lanes)) for _ in range(4))
+    q, r, both = np.empty((4, lanes)), np.empty((4, lanes)), np.empty((2, 4, lanes))
     for t in range(n):
         if t % 64 == 0:
-            part = slice(t, t + 64)
-            c = count[part].astype(np.float64)
-            c[:, 3] = vocabulary
-            some = (c > 0).astype(np.float64)
+            k = min(64, n - t)
+            part = counts[t : t + k].view(np.int16).reshape(k, 3, lanes, 4)
+            c = np.empty((k, 4, lanes))
+            c[:, :3], c[:, 3] = part[..., 2], vocabulary
+            kind = _class(part[:, 2, :, 2], part[:, 1, :, 2], np.arange(t, t + k)[:, None])
+            s, edge = np.empty((k, 4, lanes)), np.empty((k, 2, 4, lanes))
+            s[:, :3], s[:, 3] = part[..., 1], 1
+            edge[:, 0, :3], edge[:, 0, 3] = part[..., 0], ids[t : t + k]
+            np.add(edge[:, 0], s, out=edge[:, 1])
+            place = np.where(c > 0, offset + kind[:, None, :] * lanes, len(weights) - 1)
             np.maximum(c, 1, out=c)
-            a, s = less[part].astype(np.float64), same[part].astype(np.float64)
-            a[:, 3], s[:, 3] = ids[part], 1
-            p, z = s / c, a + s
-            place = offset + kind[part, None, :] * lanes
+            p = s / c
         i = t % 64
-        w = weights[place[i]]
-        np.multiply(w, some[i], out=q)
-        q *= room / np.add.reduce(q, axis=0)
-        np.floor(q, out=q)
+        at = place[i]
+        w = weights[at]
+        np.floor(np.multiply(w, room / np.add.reduce(w, axis=0), out=q), out=q)
         np.subtract(whole, q[0] + q[1] + q[2], out=q[3])
-        np.floor(np.divide(np.multiply(q, a[i], out=low), c[i], out=low), out=low)
-        np.floor(np.divide(np.multiply(q, z[i], out=high), c[i], out=high), out=high)
-        np.multiply(q, p[i], out=r)
-        r /= np.add.reduce(r, axis=0)
+        np.floor(np.divide(np.multiply(q, edge[i], out=both), c[i], out=both), out=both)
+        begin, end = np.add.reduce(both, axis=1)
+        end -= begin
+        np.divide(np.multiply(q, p[i], out=r), end, out=r)
         w *= _DECAY
         w += r
-        weights[place[i]] = w
-        begin = np.add.reduce(low, axis=0)
+        weights[at] = w
         width >>= _SCALE
         base += width * begin.astype(np.uint64)
-        width *= (np.add.reduce(high, axis=0) - begin).astype(np.uint64)
+        width *= end.astype(np.uint64)
         k = (width < _TOP).nonzero()[0]
         while len(k):
             b, f = base[k], filled[k]
@@ -242,7 +260,8 @@ def decode_block(payload: bytes, n: int, vocabulary: int) -> np.ndarray:
     if not n:
         return x
     data = payload + bytes(16)
-    code, at, width = int.from_bytes(data[:7], "big"), 7, 1 << 56
+    code, at, width = int.from_bytes(data[:8], "big") >> 1, 8, 1 << _WIDE
+    odd = data[7] & 1  # a bit that is read but does not belong to the range yet
     every: list[int] = []
     last: list[dict[int, list[int]]] = [{}, {}]
     weights: dict[int, list[float]] = {}
@@ -275,11 +294,11 @@ def decode_block(payload: bytes, n: int, vocabulary: int) -> np.ndarray:
         v, begin, end = low, start(low), start(low + 1)
         code -= begin * width
         width *= end - begin
-        while width < 1 << 40:
-            code, at, width = (code << 16) | int.from_bytes(data[at : at + 2].ljust(2, b"\0"), "big"), at + 2, width << 16
+        while width < 1 << _LOW:
+            more = odd << 32 | int.from_bytes(data[at : at + 4].ljust(4, b"\0"), "big")
+            code, odd, at, width = code << 32 | more >> 1, more & 1, at + 4, width << 32
         r = [k * ((bisect_right(s, v) - bisect_left(s, v)) / c) if c else 0.0 for s, c, k in zip(lists, count, part)] + [part[3] * (1 / vocabulary)]
-        total = ((r[0] + r[1]) + r[2]) + r[3]
-        weights[kind] = [u * _DECAY + e / total for u, e in zip(w, r)]
+        weights[kind] = [u * _DECAY + e / (end - begin) if c else u for u, e, c in zip(w, r, [*count, 1])]
         insort(every, v)
         for k in (0, 1):
             insort(last[k].setdefault(ctx[k], []), v)
@@ -344,7 +363,7 @@ def to_blocks(docs: DataFrame, p: Params = Params()) -> DataFrame:
 
         for b in K.slices(batches):
             for doc_id, text in zip(K.column(b, "doc_id"), K.column(b, "text")):
-                ids = np.array(encoding.encode_ordinary(text) if text else [], np.uint16)
+                ids = np.frombuffer(array("H", encoding.encode_ordinary(text) if text else []), np.uint16)
                 held.append((doc_id, ids, 0))
                 size += len(ids)
                 if size >= p.block * p.lanes:

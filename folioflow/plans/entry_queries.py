@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import text as X
 from ..operators import dedup as D
+from ..operators import heading_model as HM
 from ..operators import hierarchy as H
 from ..operators import splitting as C
 from ..operators import stats as S
@@ -251,6 +253,29 @@ def s13_rtf_files(spark, sf):
     return d.select("doc_id", F.md5(parse(renderers.rtf(F.col("lines")))).alias("hash"))
 
 
+@query(f"with {Q.LEGAL} select doc_id, md5(replace(text, '||', chr(10) || chr(10))) as hash from ({Q._REFLOWED})")
+def o5_best_rtf_text(spark, sf):
+    """The best of the candidates for a file's text, with its lines set again."""
+
+    @F.pandas_udf("string")
+    def best(data: pd.Series) -> pd.Series:
+        return data.map(rtf.extract)
+
+    return _legal_lists(spark, sf).select("doc_id", F.md5(best(renderers.rtf(F.col("lines")))).alias("hash"))
+
+
+def _starts_with_a_mark(asked: str) -> str:
+    """Stands for a model: answers by the first character of each line it is asked about."""
+    lines = [line.split(". ", 1)[1] for line in asked.split("\n")[1:]]
+    return json.dumps([{"is_heading": t.startswith("第"), "level": 2 if t.startswith("第") else 0, "confidence": 0.75} for t in lines])
+
+
+@query(_LINES + " select doc_id, cast(seq as int) as seq, starts_with(text, '第') as is_heading, cast(case when starts_with(text, '第') then 2 else 0 end as int) as level, 0.75::double as confidence from lines")
+def l4_model_headings(spark, sf):
+    """Lines asked in batches of a function that stands for a model."""
+    return HM.detect(Q.legal_lines(spark, sf), _starts_with_a_mark).drop("text")
+
+
 @query(Q._TITLED)
 def c24_rtf_articles(spark, sf):
     parts = C.fold(lambda t: rtf.articles(C.K.reflow_lines(t)), "array<struct<heading:string,content:string>>")(F.col("text"))
@@ -272,6 +297,18 @@ def workbook_files(spark, sf):
     return _files(d, "xlsx", renderers.xlsx(F.col("cells")))
 
 
+@query(
+    Q._LAW
+    + """, m as (select doc_id, sheet_idx, sheet_name, row_idx - 1 + special::int as section, case when special then case when number <> '' then number else '条文' end else trim(law_name || ' ' || number) end as heading, content from s),
+    n as (select doc_id, count(distinct sheet_idx) as sheets from m group by doc_id)
+    select doc_id, cast(row_number() over (partition by doc_id order by sheet_idx, section) as int) as chunk_id, md5(case when sheets > 1 then sheet_name || ' - ' else '' end || heading || chr(10) || content) as hash from m join n using (doc_id)"""
+)
+def e5_laws_of_workbooks(spark, sf):
+    """Workbooks of law and article columns go past the text: each article row is a chunk."""
+    c = api.split_legal_files(workbook_files(spark, sf))
+    return c.where("error is null").select(_id("doc_id"), "chunk_id", F.md5("content").alias("hash"))
+
+
 _SPANS = "s as (select p_partkey % 50 as doc_id, cast(1 + p_partkey // 50 // 20 as int) as page, p_partkey // 50 as k, p_name as text, cast(10 + p_size % 5 as double) as font_size from part)"
 
 

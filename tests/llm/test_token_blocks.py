@@ -21,7 +21,7 @@ def test_counts_before_each_place():
     r = np.random.default_rng(0)
     x = (r.zipf(1.3, (3, 200)) % 40).astype(np.uint16)
     for c in (None, *T.contexts(x)):
-        less, same, count = T.seen(x, c)
+        less, same, count = (T.seen(x, c).view(np.int16).reshape(3, 200, 4)[..., k] for k in range(3))
         for i in range(3):
             for t in range(200):
                 before = [x[i, q] for q in range(t) if c is None or c[i, q] == c[i, t]]
