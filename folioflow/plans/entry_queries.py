@@ -300,8 +300,8 @@ def workbook_files(spark, sf):
 @query(
     Q._LAW
     + """, m as (select doc_id, sheet_idx, sheet_name, row_idx - 1 + special::int as section, case when special then case when number <> '' then number else '条文' end else trim(law_name || ' ' || number) end as heading, content from s),
-    n as (select doc_id, count(distinct sheet_idx) as sheets from m group by doc_id)
-    select doc_id, cast(row_number() over (partition by doc_id order by sheet_idx, section) as int) as chunk_id, md5(case when sheets > 1 then sheet_name || ' - ' else '' end || heading || chr(10) || content) as hash from m join n using (doc_id)"""
+    books as (select doc_id, count(distinct sheet_idx) as sheets from m group by doc_id)
+    select doc_id, cast(row_number() over (partition by doc_id order by sheet_idx, section) as int) as chunk_id, md5(case when sheets > 1 then sheet_name || ' - ' else '' end || heading || chr(10) || content) as hash from m join books using (doc_id)"""
 )
 def e5_laws_of_workbooks(spark, sf):
     """Workbooks of law and article columns go past the text: each article row is a chunk."""
