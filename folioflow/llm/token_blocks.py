@@ -149,7 +149,7 @@ def seen(x: np.ndarray, context: np.ndarray | None) -> np.ndarray:
 
 def _class(n2, n1, at):
     """Which weights an id takes: by how often its contexts stood before (0, 1, 2, 3 to 4, more), and by its place."""
-    return (_STEP[np.minimum(n2, 5)] * 5 + _STEP[np.minimum(n1, 5)]) * 3 + (at >= 128) + (at >= 1024)
+    return _STEP[np.minimum(n2, 5)] * 15 + _STEP[np.minimum(n1, 5)] * 3 + ((at >= 128) + (at >= 1024) * 1)
 
 
 _STEP = np.array([0, 1, 2, 3, 3, 4])
@@ -187,16 +187,16 @@ def encode_blocks(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
             for k, context in enumerate((None, *contexts(x))):
                 counts[:, k, lane] = seen(x, context).T
             ids[:, lane] = x.T
-        digits, filled, base = _coded(ids, counts, vocabulary)
+        digits, base = _coded(ids, counts, vocabulary)
         for lane, i in enumerate(members):
             b = int(base[lane])
             tail = np.array([b >> _LOW, (b << 1) & 0xFFFFFFFF], np.uint64)
-            out[i] = _carried(np.concatenate([digits[: filled[lane], lane], tail])).rstrip(b"\0")
+            out[i] = _carried(np.concatenate([digits[lane], tail])).rstrip(b"\0")
     return out
 
 
-def _coded(ids: np.ndarray, counts: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """16-bit digits (place, lane), how many each lane has, and what is left to write.
+def _coded(ids: np.ndarray, counts: np.ndarray, vocabulary: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The 32-bit digits of each lane, and what is left to write.
 
     The last of the four predictions, after orders 0, 1 and 2, is that of all ids alike. Divisions are of whole numbers
     below 2**53 in floating point: rounded down they are exact.
@@ -205,34 +205,35 @@ def _coded(ids: np.ndarray, counts: np.ndarray, vocabulary: int) -> tuple[np.nda
     weights = np.append(np.repeat(np.array(_START), _CLASSES * lanes), 0.0)  # the last is that of a context not seen yet
     offset = np.arange(4)[:, None] * (_CLASSES * lanes) + np.arange(lanes)
     base, width = np.zeros(lanes, np.uint64), np.full(lanes, 1 << _WIDE, np.uint64)
-    digits = np.zeros((n + 2, lanes), np.uint64)
-    filled = np.zeros(lanes, np.int64)
+    narrow = np.uint16 if lanes <= 1 << 16 else np.int64  # sorted faster
+    digits, lane_of = [np.zeros(0, np.uint64)], [np.zeros(0, narrow)]
     room = float((1 << _BITS) - vocabulary)
     whole = float(1 << _BITS)
-    q, r, both = np.empty((4, lanes)), np.empty((4, lanes)), np.empty((2, 4, lanes))
+    q, r, w, both = np.empty((4, lanes)), np.empty((4, lanes)), np.empty((4, lanes)), np.empty((2, 4, lanes))
+    c, s, edge, place = np.ones((64, 4, lanes)), np.ones((64, 4, lanes)), np.empty((64, 2, 4, lanes)), np.empty((64, 4, lanes), np.int64)
     for t in range(n):
         if t % 64 == 0:
             k = min(64, n - t)
             part = counts[t : t + k].view(np.int16).reshape(k, 3, lanes, 4)
-            c = np.empty((k, 4, lanes))
-            c[:, :3], c[:, 3] = part[..., 2], vocabulary
+            c[:k, :3], c[:k, 3] = part[..., 2], vocabulary
             kind = _class(part[:, 2, :, 2], part[:, 1, :, 2], np.arange(t, t + k)[:, None])
-            s, edge = np.empty((k, 4, lanes)), np.empty((k, 2, 4, lanes))
-            s[:, :3], s[:, 3] = part[..., 1], 1
-            edge[:, 0, :3], edge[:, 0, 3] = part[..., 0], ids[t : t + k]
-            np.add(edge[:, 0], s, out=edge[:, 1])
-            place = np.where(c > 0, offset + kind[:, None, :] * lanes, len(weights) - 1)
+            kind *= lanes
+            s[:k, :3], s[:k, 3] = part[..., 1], 1
+            edge[:k, 0, :3], edge[:k, 0, 3] = part[..., 0], ids[t : t + k]
+            np.add(edge[:k, 0], s[:k], out=edge[:k, 1])
+            np.add(offset, kind[:, None, :], out=place[:k])
+            np.copyto(place[:k], len(weights) - 1, where=c[:k] == 0)
             np.maximum(c, 1, out=c)
-            p = s / c
+            np.divide(s, c, out=s)
         i = t % 64
         at = place[i]
-        w = weights[at]
+        weights.take(at, out=w, mode="clip")
         np.floor(np.multiply(w, room / np.add.reduce(w, axis=0), out=q), out=q)
         np.subtract(whole, q[0] + q[1] + q[2], out=q[3])
         np.floor(np.divide(np.multiply(q, edge[i], out=both), c[i], out=both), out=both)
         begin, end = np.add.reduce(both, axis=1)
         end -= begin
-        np.divide(np.multiply(q, p[i], out=r), end, out=r)
+        np.divide(np.multiply(q, s[i], out=r), end, out=r)
         w *= _DECAY
         w += r
         weights[at] = w
@@ -241,14 +242,16 @@ def _coded(ids: np.ndarray, counts: np.ndarray, vocabulary: int) -> tuple[np.nda
         width *= end.astype(np.uint64)
         k = (width < _TOP).nonzero()[0]
         while len(k):
-            b, f = base[k], filled[k]
-            digits[f, k] = b >> _SHIFT
-            filled[k] = f + 1
+            b = base[k]
+            lane_of.append(k.astype(narrow))
+            digits.append(b >> _SHIFT)
             base[k] = (b & _REST) << _DIGIT
             v = width[k] << _DIGIT
             width[k] = v
             k = k[v < _TOP]
-    return digits, filled, base
+    by = np.concatenate(lane_of)
+    ends = np.cumsum(np.bincount(by, minlength=lanes))
+    return np.split(np.concatenate(digits)[np.argsort(by, kind="stable")], ends[:-1]), base
 
 
 _SCALE = np.uint64(_BITS)
