@@ -1,20 +1,17 @@
-"""SimHash near-dedup: 256-bit fingerprints, a segment-popcount grid, and exact verification.
+"""SimHash near-dedup: 256-bit fingerprints and an exact join of all that differ in at most ``radius`` bits.
 
-A fingerprint sums, over the distinct lower-cased words of a text, the signs of a 256-bit hash. Its embedding is the
-vector of bit counts of its segments; the Manhattan distance of two such vectors never exceeds the Hamming distance. The
-grid has several tables; the cell of a fingerprint in a table is the vector of bit counts of small segments (2 bits each)
-that the table draws. Fingerprints that share a cell, so that their counts in its segments have Manhattan distance 0, are
-compared by their Hamming distance in half of the bits, which is a bound, and then by the whole of it, at most
-``radius``. (At this radius the Manhattan distance over segments of 8 bits and more lets through nearly all pairs, and over
-smaller ones it costs what the exact distance costs.) Equal fingerprints are one node of all this. Every fingerprint is
-a query; the grid is approximate, with a recall of over 0.9 at every distance up to ``radius`` (tests). ``shape`` chooses segments and tables for
-the number of fingerprints, always for that recall: larger tables have more segments, so that a cell holds few of them.
+A fingerprint sums, over the distinct lower-cased words of a text, the signs of a 256-bit hash. Equal fingerprints are one
+node of all this, and every node is compared with every other: the nodes lie in blocks, and a task joins two of them (or one
+with itself), so that no task holds more than two blocks and nothing depends on how alike the texts are.
 
-A cell of more than ``block`` rows is joined in pairs of blocks, each a group of its own, so that no task holds it whole.
+The join leaves out only pairs that a bound rules out. Two fingerprints within ``radius`` differ in few bits of some word:
+the ``radius`` + 1 are dealt out to the four words, and were each word's bits at least its share, their sum would be over
+``radius``. So some word differs in less than its share, and, by the same bound, some 16 bits of it in less than theirs (3 or
+4 at the radius of 48). All values of 16 bits that are that close are looked up, the rows found are compared by the word, and
+what is left by all bits. A pair counts in the first place where it is found, so that each is counted once.
 
 Groups are the connected components of these pairs; the smallest doc_id of a group is its group_id and stays. ``links``
-counts the pairs found of a document's text with different texts (more exactly: fingerprints); a pair counts in the first
-table in which it shares a cell, so that counting moves no pairs.
+counts the different texts (more exactly: fingerprints) within ``radius`` of a document's.
 
 Defined cases: a text without words (null, empty, only signs) is in no group and stays; rows with a null doc_id are not
 compared and stay; rows that repeat a doc_id with different texts are documents of their own, and those with one
@@ -24,9 +21,8 @@ an empty table gives no rows; other columns are kept or ignored; doc_id is cast
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -42,29 +38,13 @@ WORDS = ("w0", "w1", "w2", "w3")
 @dataclass(frozen=True)
 class Params:
     radius: int = 48
-    segments: int = 0  # 0: as ``shape`` finds best
-    tables: int = 0
-    miss: float = 0.06  # share of pairs at the radius itself that no table brings together
-    row_ns: int = 20000  # of a row that is sent to a cell, its disk included (about 3000 without), and of comparing two rows in it
-    pair_ns: int = 15
-    block: int = 1 << 15
-    seed: int = 11
+    block: int = 1 << 18  # most rows of a block, on average
+    least: int = 4096  # rows of a block, if there are fewer than ``blocks`` of them
+    blocks: int = 8
 
 
-def shape(n: int, p: Params = Params()) -> Params:
-    """With segments and tables for n fingerprints: the cheapest that miss at most ``miss`` at the radius."""
-    if p.segments and p.tables:
-        return p
-    far = 0.4  # two bits have equal counts by chance, in texts of one language
-
-    def tables(k: int) -> int:
-        """All k segments have equal counts at the radius where each has no bit flipped, or both of two different ones."""
-        ways = math.comb(256, p.radius)
-        near = sum(math.comb(k, j) * 0.5**j * (math.comb(256 - 2 * k, p.radius - 2 * j) / ways) for j in range(min(k, p.radius // 2) + 1))
-        return math.ceil(math.log(p.miss) / math.log(1 - near))
-
-    best = min(range(4, 33), key=lambda k: tables(k) * (p.row_ns + p.pair_ns * n * far**k / 2))
-    return replace(p, segments=best, tables=tables(best))
+def block_count(n: int, p: Params) -> int:
+    return max(1, -(-n // p.block), min(p.blocks, -(-n // p.least)))
 
 
 def _lanes() -> np.ndarray:
@@ -111,26 +91,6 @@ def fingerprints(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return out, distinct
 
 
-def _tables(p: Params) -> np.ndarray:
-    """(tables, segments, 2) bit numbers."""
-    rng = np.random.default_rng(p.seed)
-    rows = []
-    while len(rows) < p.tables:
-        rows += list(rng.permutation(256)[: 256 // (2 * p.segments) * 2 * p.segments].reshape(-1, p.segments, 2))
-    return np.array(rows[: p.tables])
-
-
-def cells(fp: np.ndarray, p: Params) -> np.ndarray:
-    """(tables, n) numbers of the cells."""
-    bits = np.ascontiguousarray(np.unpackbits(np.ascontiguousarray(fp).view(np.uint8).reshape(len(fp), 32), axis=1, bitorder="little").T)
-    out = np.zeros((p.tables, len(fp)), np.int64)
-    for t, segments in enumerate(_tables(p)):
-        for i, j in segments:
-            out[t] *= 3
-            out[t] += bits[i] + bits[j]
-    return out
-
-
 def _components(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """Smallest member of the component of each of n nodes."""
     label = np.arange(n)
@@ -146,74 +106,88 @@ def _components(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
             return label
 
 
-def join_cells(group: np.ndarray, table: np.ndarray, side: np.ndarray, fp: np.ndarray, node: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, node, links): pairs that span the components of all near pairs in a group, and new links of each node.
-
-    ``side``: 0 and 1 of rows that are compared with the other side only, 2 of rows compared with all.
+def _shares(total: int, parts: int) -> list[int]:
+    return [total // parts + (i < total % parts) for i in range(parts)]
+
+
+def near(a: np.ndarray, b: np.ndarray, radius: int, most: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All (x, y) with rows x of a and y of b at most ``radius`` bits apart, each once; with x < y where b is a."""
+    of_word = np.array(_shares(radius + 1, 4))
+    of_part = np.array([u for v in of_word.tolist() for u in _shares(v, 4)])
+    close = lambda z: (np.bitwise_count(z.view(np.uint16)) < of_part) & (np.bitwise_count(z) < of_word).repeat(4, axis=1)
+    masks = np.arange(1 << 16)
+    for part in range(16):
+        mine, theirs, word = a.view(np.uint16)[:, part], b.view(np.uint16)[:, part], part // 4
+        from_a, from_b = np.argsort(mine, kind="stable"), np.argsort(theirs, kind="stable")
+        all_values, words_b = mine[from_a].astype(np.int64), b[from_b, word]
+        size = np.bincount(theirs, minlength=1 << 16)
+        start = np.cumsum(size) - size
+        used = masks[np.bitwise_count(masks) < of_part[part]].tolist()
+        for top in range(17):
+            these = [m for m in used if m.bit_length() == top]
+            # in one block both ways would be found: keep that from the value without the mask's highest bit
+            rows = np.flatnonzero(all_values >> top - 1 & 1 == 0) if a is b and top else np.arange(len(a))
+            order, values = from_a[rows], all_values[rows]
+            words_a = a[order, word]
+            for m in these:
+                to = values ^ m
+                count = size[to]
+                ends = np.cumsum(count)
+                shift = start[to] - ends + count
+                done = 0
+                while done < len(rows):
+                    base = int(ends[done - 1]) if done else 0
+                    end = max(done + 1, int(np.searchsorted(ends, base + most, side="right")))
+                    k = count[done:end]
+                    at = np.repeat(shift[done:end], k)
+                    at += np.arange(base, base + len(at))
+                    d = np.bitwise_count(np.repeat(words_a[done:end], k) ^ words_b[at])
+                    hit = np.flatnonzero(d < of_word[word])
+                    done = end
+                    if len(hit):
+                        x, y = order[np.searchsorted(ends, hit + base, side="right")], from_b[at[hit]]
+                        z = a[x] ^ b[y]
+                        ok = np.bitwise_count(z).sum(1, dtype=np.int64) <= radius
+                        if a is b and not m:
+                            ok &= x < y
+                        x, y, z = x[ok], y[ok], z[ok]
+                        first = close(z).argmax(1) == part
+                        if first.any():
+                            x, y = x[first], y[first]
+                            yield (np.minimum(x, y), np.maximum(x, y)) if a is b else (x, y)
+
+
+def join_blocks(fp: np.ndarray, second: np.ndarray, node: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, node, links): pairs that span the components of all near pairs, and the links of each node that has some.
+
+    Rows of which ``second`` is true are compared with the others only; where it is true or false of all, all are compared.
     """
-    _, at, size = np.unique(group, return_inverse=True, return_counts=True)
-    order = np.lexsort((group, -size[at]))  # large groups first: at a distance d only those at the front go on
-    group, table, side, fp, node, size = (v[order] for v in (group, table, side, fp, node, size[at]))
-    w = [np.ascontiguousarray(fp[:, k]) for k in range(4)]
-    n = len(group)
-    found, d = [], 1
-    links, waits = np.zeros(n, np.int64), 0
-    both, one, two, few = np.empty(n, np.uint64), np.empty(n, np.uint8), np.empty(n, np.uint8), np.empty(n, bool)
-    star = lambda x, y: (lambda lab: (np.flatnonzero(lab != np.arange(n)), lab[lab != np.arange(n)]))(_components(x, y, n))
-
-    def count(x: np.ndarray, y: np.ndarray) -> None:
-        rows, at = np.unique(np.concatenate([x, y]), return_inverse=True)
-        c = cells(fp[rows], p)
-        same = c[:, at[: len(x)]] == c[:, at[len(x) :]]
-        new = same.argmax(0) == table[x]
-        np.add.at(links, x[new], 1)
-        np.add.at(links, y[new], 1)
-
-    def half(a: np.ndarray, m: int, out: np.ndarray) -> np.ndarray:
-        return np.bitwise_count(np.bitwise_xor(a[: m - d], a[d:m], out=both[: m - d]), out=out[: m - d])
-
-    def verify() -> None:
-        nonlocal maybe, some
-        x = np.concatenate([v for v, _ in maybe])
-        y = x + np.repeat([k for _, k in maybe], [len(v) for v, _ in maybe])
-        maybe, some = [], 0
-        for ok in (lambda: group[x] == group[y], lambda: np.bitwise_count(fp[x] ^ fp[y]).sum(1, dtype=np.int64) <= p.radius, lambda: (side[x] != side[y]) | (side[x] == 2)):
-            k = ok().nonzero()[0]
-            x, y = x[k], y[k]
+    n = len(node)
+    one, two = np.flatnonzero(~second), np.flatnonzero(second)
+    if not len(one) or not len(two):
+        one = two = np.arange(n)
+    a = np.ascontiguousarray(fp[one])
+    links, found, waits = np.zeros(n, np.int64), [], 0
+
+    def spanning() -> tuple[np.ndarray, np.ndarray]:
+        label = _components(*(np.concatenate(v) for v in zip(*found)), n)
+        k = np.flatnonzero(label != np.arange(n))
+        return k, label[k]
+
+    for x, y in near(a, a if one is two else np.ascontiguousarray(fp[two]), p.radius):
+        x, y = one[x], two[y]
+        np.add.at(links, x, 1)
+        np.add.at(links, y, 1)
         found.append((x, y))
-
-    maybe: list[tuple[np.ndarray, int]] = []
-    some = 0
-    rows = np.searchsorted(-size, -np.arange(1, int(size[0]) + 1 if n else 1)).tolist()  # in groups of more than d, from d = 1
-    for d, m in enumerate(rows, 1):
-        if m <= d:
-            break
-        # the distance in half of the bits is a bound of the whole; the whole is that of the few that are left
-        x = np.less_equal(np.add(half(w[0], m, one), half(w[1], m, two), out=one[: m - d]), p.radius, out=few[: m - d]).nonzero()[0]
-        if len(x):
-            maybe.append((x, d))
-            some += len(x)
-        if some > 1 << 17:
-            verify()
-            if sum(len(v) for v, _ in found) > 1 << 18:
-                x, y = (np.concatenate(v) for v in zip(*found))
-                count(x[waits:], y[waits:])
-                found = [star(x, y)]
-                waits = len(found[0][0])
-    if maybe:
-        verify()
+        waits += len(x)
+        if waits > max(n, 1 << 18):
+            found, waits = [spanning()], 0
     if not found:
         e = np.zeros(0, np.int64)
         return e, e, e, e
-    x, y = (np.concatenate(v) for v in zip(*found))
-    if len(x) > waits:
-        count(x[waits:], y[waits:])
-    x, y = star(x, y)
-    x, y = node[x], node[y]
-    pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
+    x, y = (node[v] for v in spanning())
     k = np.flatnonzero(links)
-    who, at = np.unique(node[k], return_inverse=True)
-    return pairs[:, 0], pairs[:, 1], who, np.bincount(at, links[k], len(who)).astype(np.int64)
+    return np.minimum(x, y), np.maximum(x, y), node[k], links[k]
 
 
 def fingerprint_table(docs: DataFrame) -> DataFrame:
@@ -228,85 +202,38 @@ def fingerprint_table(docs: DataFrame) -> DataFrame:
     return K.narrow(docs).where("doc_id is not null and text is not null").mapInArrow(run, "doc_id bigint, w0 bigint, w1 bigint, w2 bigint, w3 bigint")
 
 
-def _hot(reps: DataFrame, p: Params) -> dict[int, int]:
-    """Blocks of each cell that has more than ``block`` rows; every task counts its own before anything is moved."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, int] = {}
-        for x in batches:
-            for c in _keys(_words(x), p):
-                for v, k in zip(*(u.tolist() for u in np.unique(c, return_counts=True))):
-                    seen[v] = seen.get(v, 0) + k
-            if len(seen) > 1_000_000:
-                yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["cell", "n"])
-                seen = {}
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["cell", "n"])
-
-    found = reps.mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") > p.block)
-    return {r.cell: -(-r.n // p.block) for r in found.toLocalIterator()}
-
-
-def _words(x: pa.RecordBatch) -> np.ndarray:
-    return np.stack([x.column(k + 1).to_numpy(zero_copy_only=False) for k in range(4)], 1).view(np.uint64)
-
-
-def _keys(fp: np.ndarray, p: Params) -> np.ndarray:
-    return cells(fp, p) * p.tables + np.arange(p.tables)[:, None]
-
-
-_COLUMNS = ["cell", "blocks", "side", "node", *WORDS]
-
-
 def near_pairs(reps: DataFrame, p: Params, n: int) -> DataFrame:
-    """(a, b, links) of ``n`` rows (node, w0..w3): pairs that span the components of the near pairs (links null), and, with b null, the links of a."""
-    hot = _hot(reps, p) if n > p.block else {}
-    shared = reps.sparkSession.sparkContext.broadcast((np.array(sorted(hot), np.int64), np.array([hot[c] for c in sorted(hot)], np.int64)))
+    """(a, b, links) of ``n`` rows (node, w0..w3): pairs that span the components of the near pairs (links null), and, with b null, links of a to be added up."""
+    blocks = block_count(n, p)
+    pairs = [(low, high) for high in range(blocks) for low in range(high + 1)]
+
+    def block_of(node: np.ndarray) -> np.ndarray:
+        return (K.mix(node.view(np.uint64)) % np.uint64(blocks)).astype(np.int64)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, blocks = shared.value
         for x in batches:
-            if x.num_rows:
-                node = x.column(0).to_numpy()
-                for c in _keys(_words(x), p):
-                    at = np.minimum(np.searchsorted(cell, c), max(0, len(cell) - 1))
-                    m = np.where(cell[at] == c, blocks[at], 1) if len(cell) else np.ones(len(c), np.int64)
-                    own = (K.mix(node.view(np.uint64)) % m.astype(np.uint64)).astype(np.int64)
-                    i = np.repeat(np.arange(len(c)), m)
-                    other = np.arange(len(i)) - (np.cumsum(m) - m)[i]
-                    low, high = np.minimum(own[i], other), np.maximum(own[i], other)
-                    side = np.where(low == high, 2, own[i] > other)
-                    y = x.take(pa.array(i)) if len(i) != len(c) else x
-                    yield pa.RecordBatch.from_arrays([pa.array(c[i]), pa.array(low << 24 | high), pa.array(side.astype(np.int64)), *y.columns], _COLUMNS)
+            own = block_of(x.column(0).to_numpy())
+            for other in range(blocks if x.num_rows else 0):
+                low, high = np.minimum(own, other), np.maximum(own, other)
+                yield pa.RecordBatch.from_arrays([pa.array((high * (high + 1) // 2 + low).astype(np.int32)), *x.columns], ["pair", "node", *WORDS])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         K.keep_pages()
-        rest: list[np.ndarray] = []
-        for part, last in _chunks(batches):
-            rows = np.concatenate([*rest, part]) if rest else part
-            new = np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(1)]) if len(rows) else np.zeros(0, bool)
-            end = len(rows) if last or not len(rows) else int(np.flatnonzero(new)[-1])
-            if end:
-                a, b, who, k = join_cells(np.cumsum(new[:end]), rows[:end, 0] % p.tables, rows[:end, 2], rows[:end, 4:].view(np.uint64), rows[:end, 3], p)
-                none = np.zeros(len(a), bool)
-                yield pa.RecordBatch.from_arrays([pa.array(np.append(a, who)), pa.array(np.append(b, who), mask=np.append(none, ~np.zeros(len(who), bool))), pa.array(np.append(a, k), mask=np.append(~none, np.zeros(len(k), bool)))], ["a", "b", "links"])
-            rest = [rows[end:]]
-
-    schema = ", ".join(f"{c} bigint" for c in _COLUMNS)
-    return reps.mapInArrow(spread, schema).repartition("cell", "blocks").sortWithinPartitions("cell", "blocks").mapInArrow(join, "a bigint, b bigint, links bigint")
-
-
-def _chunks(batches: Iterator[pa.RecordBatch], rows: int = 200_000) -> Iterator[tuple[np.ndarray, bool]]:
-    """Rows as arrays of int64 in chunks of about ``rows``, and whether it is the last."""
-    held, n = [], 0
-    for b in batches:
-        if not b.num_rows:
-            continue
-        held.append(np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], 1))
-        n += b.num_rows
-        if n >= rows:
-            yield np.ascontiguousarray(np.concatenate(held)), False
-            held, n = [], 0
-    yield np.ascontiguousarray(np.concatenate(held)) if held else np.zeros((0, len(_COLUMNS)), np.int64), True
+        held = [np.stack([c.to_numpy(zero_copy_only=False) for c in x.columns], 1) for x in batches if x.num_rows]
+        rows = np.concatenate(held) if held else np.zeros((0, 6), np.int64)
+        del held
+        for pair in np.unique(rows[:, 0]).tolist():
+            these = rows[rows[:, 0] == pair]
+            low, high = pairs[pair]
+            second = block_of(np.ascontiguousarray(these[:, 1])) == high
+            if low != high and second.all() | ~second.any():
+                continue  # the other block is empty
+            a, b, who, k = join_blocks(np.ascontiguousarray(these[:, 2:]).view(np.uint64), second, these[:, 1], p)
+            none = np.zeros(len(a), bool)
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(a, who)), pa.array(np.append(b, who), mask=np.append(none, ~np.zeros(len(who), bool))), pa.array(np.append(a, k), mask=np.append(~none, np.zeros(len(k), bool)))], ["a", "b", "links"])
+
+    schema = "pair int, node bigint, w0 bigint, w1 bigint, w2 bigint, w3 bigint"
+    return reps.mapInArrow(spread, schema).repartitionById(len(pairs), "pair").mapInArrow(join, "a bigint, b bigint, links bigint")
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -337,7 +264,7 @@ def _classes(docs: DataFrame, p: Params) -> DataFrame:
     # nodes are numbered once, by what is written: a doc_id with several texts is several nodes
     reps = K.checkpoint(fps.groupBy(*WORDS).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).withColumn("node", F.monotonically_increasing_id()))
     n = reps.count()
-    found = K.checkpoint(near_pairs(reps.select("node", *WORDS), shape(n, p), n).groupBy("a", "b").agg(F.sum("links").alias("links")))
+    found = K.checkpoint(near_pairs(reps.select("node", *WORDS), p, n).groupBy("a", "b").agg(F.sum("links").alias("links")))
     label = components(found.where("b is not null").select("a", "b"))
     links = found.where("b is null").select(F.col("a").alias("node"), "links")
     member = reps.join(label.withColumnRenamed("id", "node"), "node", "left").where("n > 1 or group_id is not null").join(links, "node", "left")

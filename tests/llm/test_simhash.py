@@ -6,15 +6,6 @@ import numpy as np
 from folioflow.llm import simhash as S
 
 
-def test_segment_counts_never_exceed_the_distance():
-    r = np.random.default_rng(1)
-    a, b = r.integers(0, 2**63, (500, 4)).astype(np.uint64), r.integers(0, 2**63, (500, 4)).astype(np.uint64)
-    d = np.bitwise_count(a ^ b).sum(1, dtype=int)
-    for kind in (np.uint8, np.uint16, np.uint32, np.uint64):
-        x, y = np.bitwise_count(a.view(kind)).astype(int), np.bitwise_count(b.view(kind)).astype(int)
-        assert (np.abs(x - y).sum(1) <= d).all()
-
-
 def test_fingerprint_does_not_depend_on_the_batch():
     texts = [f"alpha beta gamma {i} " * (i + 1) for i in range(30)]
     whole, n = S.fingerprints(texts)
@@ -55,17 +46,19 @@ def test_fingerprints_against_whole_numbers(documents):
         assert want is None or sum(w << 64 * i for i, w in enumerate(row)) == want
 
 
-def test_recall_against_all_pairs(documents):
+def all_near(a, b, radius):
+    return [(i, j) for i in range(len(a)) for j in np.flatnonzero(np.bitwise_count(a[i] ^ b).sum(1, dtype=int) <= radius).tolist()]
+
+
+def joined(a, b, radius, most=1 << 19):
+    return sorted((x, y) for u, v in S.near(a, b, radius, most) for x, y in zip(u.tolist(), v.tolist()))
+
+
+def test_near_is_all_pairs_of_the_table(documents):
     fp, n = S.fingerprints([r.text for r in documents.collect()])
     fp = np.unique(fp[n > 0], axis=0)
-    p = S.shape(len(fp))
-    cell = S.cells(fp, p)
-    hit = total = 0
-    for i in range(len(fp)):
-        for j in i + 1 + np.flatnonzero(np.bitwise_count(fp[i] ^ fp[i + 1 :]).sum(1) <= p.radius):
-            total += 1
-            hit += (cell[:, i] == cell[:, j]).any()
-    assert total > 10 and hit >= 0.9 * total
+    want = [(i, j) for i, j in all_near(fp, fp, 48) if i < j]
+    assert len(want) > 10 and joined(fp, fp, 48) == want
 
 
 def brute(rows, radius):
@@ -121,30 +114,60 @@ def check_groups(spark, rows, p):
 
 
 def test_groups_and_links_against_brute_force(spark):
-    check_groups(spark, many_copies(), S.Params(segments=6, tables=200))  # near-certain recall, so that all links can be compared
+    check_groups(spark, many_copies(), S.Params())
 
 
-def test_cells_in_blocks_lose_nothing(spark):
-    check_groups(spark, many_copies(), S.Params(segments=4, tables=60, block=5))
+def border_copies():
+    """Pairs of texts, most of which differ by some bits less or more than the radius."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(6))
+    bases = [[word() for _ in range(60)] for _ in range(250)]
+    return list(enumerate(" ".join(w if r.random() > share else word() for w in base) for base in bases for share in (0, 0.15)))
 
 
-def test_recall_at_each_distance_up_to_the_radius():
-    r, n = np.random.default_rng(5), 2000
-    for size in (10, 10**5, 10**7):
-        p = S.shape(size)
-        for d in range(1, p.radius + 1, 1 if size == 10**5 else 47):
-            a = r.integers(0, 2, (n, 256), dtype=np.uint8)
-            b = a.copy()
-            np.put_along_axis(b, flip := np.argsort(r.random((n, 256)), 1)[:, :d], 1 - np.take_along_axis(a, flip, 1), 1)
-            x, y = (S.cells(np.packbits(v, axis=1, bitorder="little").view(np.uint64), p) for v in (a, b))
-            assert (x == y).any(0).mean() >= 0.9, (size, d)
+def test_pairs_at_the_radius_are_linked(spark):
+    rows = border_copies()
+    fs = [plain_fingerprint(t) for _, t in rows]
+    assert sum(42 <= (a ^ b).bit_count() <= 48 for a, b in zip(fs[::2], fs[1::2])) > 50
+    check_groups(spark, rows, S.Params())
+
 
+def test_blocks_lose_nothing(spark):
+    check_groups(spark, many_copies(), S.Params(block=9, least=1))
 
-def test_groups_with_production_parameters(documents):
+
+def test_every_pair_at_every_distance_up_to_the_radius_is_found_once():
+    """Also where the bits differ in few words, or as evenly as they can."""
+    r, n = np.random.default_rng(5), 2000
+    bits = r.integers(0, 2, (n, 256), dtype=np.uint8)
+    for d in (0, 1, 24, 47, 48, 49):
+        weight = r.random((n, 256)) + np.where(np.arange(n)[:, None] % 2, np.arange(256) // 64 * (np.arange(n) % 3)[:, None], np.arange(256) % 16 * (np.arange(n) % 5)[:, None])
+        other = bits.copy()
+        np.put_along_axis(other, flip := np.argsort(weight, 1)[:, :d], 1 - np.take_along_axis(bits, flip, 1), 1)
+        a, b = (np.packbits(v, axis=1, bitorder="little").view(np.uint64) for v in (bits, other))
+        assert joined(a, b, 48) == ([(i, i) for i in range(n)] if d <= 48 else [])
+        assert joined(both := np.concatenate([a, b]), both, 48) == ([(i, n + i) for i in range(n)] if d <= 48 else [])
+
+
+def test_near_for_other_radii_and_rows_that_share_their_values():
+    r = np.random.default_rng(6)
+    base = r.integers(0, 2**63, (3, 4)).astype(np.uint64)
+    a = base[r.integers(0, 3, 150)]
+    for _ in range(12):
+        a[np.arange(150), r.integers(0, 4, 150)] ^= np.uint64(1) << r.integers(0, 64, 150).astype(np.uint64)
+    a = np.unique(a, axis=0)
+    for radius in (0, 1, 5, 14, 20, 48):
+        assert joined(a, a, radius, 40) == [(i, j) for i, j in all_near(a, a, radius) if i < j]
+        assert joined(a[:70].copy(), a[50:].copy(), radius, 40) == all_near(a[:70], a[50:], radius)
+
+
+def test_groups_with_production_parameters(spark, documents):
     got = {}
     for r in S.groups(documents).collect():
         got.setdefault(r.group_id, set()).add(r.doc_id)
-    assert {frozenset(x) for x in got.values()} == brute_groups([(r.doc_id, r.text) for r in documents.collect()], S.Params())
+    rows = [(r.doc_id, r.text) for r in documents.collect()]
+    assert {frozenset(x) for x in got.values()} == brute_groups(rows, S.Params())
+    check_groups(spark, rows, S.Params())
 
 
 def test_keep_one_keeps_unrelated_texts_of_one_id(spark):
