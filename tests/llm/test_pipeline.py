@@ -4,7 +4,7 @@ from folioflow.llm.line_dedup import cut_spans
 
 from .test_line_dedup import brute as repeated
 from .test_packing import brute as packed
-from .test_simhash import brute_groups
+from .test_simhash import border_copies, brute_groups
 
 
 def test_run_against_brute_force(spark, sf, documents, labels):
@@ -28,6 +28,13 @@ def test_run_against_brute_force(spark, sf, documents, labels):
     assert got == want
 
 
+def test_near_copies_at_the_radius_go(spark, sf):
+    rows = border_copies()
+    gone = {i for g in brute_groups(rows, simhash.Params()) for i in sorted(g)[1:]}
+    kept = P.near_copies(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), sf)
+    assert len(gone) > 50 and sorted(r.doc_id for r in kept.collect()) == [i for i, _ in rows if i not in gone]
+
+
 def test_stages_keep_columns_and_take_odd_rows(spark, sf, odd_docs, no_docs):
     names = [name for name, _ in P.STAGES]
     assert names == ["quality_classifier", "simhash_near_dedup", "substring_dedup", "pii", "best_fit_packing"]
