@@ -21,9 +21,8 @@ from __future__ import annotations
 
 import base64
 import zlib
-from array import array
 from bisect import bisect_left, bisect_right, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -228,10 +227,10 @@ def _coded(ids: np.ndarray, counts: np.ndarray, vocabulary: int) -> tuple[list[n
         i = t % 64
         at = place[i]
         weights.take(at, out=w, mode="clip")
-        np.floor(np.multiply(w, room / np.add.reduce(w, axis=0), out=q), out=q)
+        np.floor(np.multiply(w, room / (w[0] + w[1] + w[2] + w[3]), out=q), out=q)
         np.subtract(whole, q[0] + q[1] + q[2], out=q[3])
         np.floor(np.divide(np.multiply(q, edge[i], out=both), c[i], out=both), out=both)
-        begin, end = np.add.reduce(both, axis=1)
+        begin, end = both[:, 0] + both[:, 1] + both[:, 2] + both[:, 3]
         end -= begin
         np.divide(np.multiply(q, s[i], out=r), end, out=r)
         w *= _DECAY
@@ -315,6 +314,17 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def tokenizer(ranks: dict[bytes, int]) -> Callable[[str], np.ndarray]:
+    """Ids of a text. They come as a buffer, which is faster than a list; names of special tokens are text like any other."""
+    import tiktoken
+
+    if max(ranks.values()) >= 1 << 16:
+        raise ValueError("ids must fit 16 bits")
+    # the search for special tokens needs one
+    encoding = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": max(ranks.values()) + 1})
+    return lambda text: encoding.encode_to_numpy(text, disallowed_special=()).astype(np.uint16)
+
+
 _DOCS = pa.list_(pa.struct([("doc_id", pa.int64()), ("first", pa.int64()), ("n", pa.int32())]))
 _NAMES = ["part", "block", "n_tokens", "crc32", "docs", "payload"]
 
@@ -324,9 +334,7 @@ def to_blocks(docs: DataFrame, p: Params = Params()) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(load_ranks(p.ranks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import tiktoken
-
-        encoding = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=shared.value, special_tokens={})
+        encode = tokenizer(shared.value)
         part = TaskContext.get().partitionId()
         held: list[tuple[int | None, np.ndarray]] = []
         size = number = 0
@@ -366,7 +374,7 @@ def to_blocks(docs: DataFrame, p: Params = Params()) -> DataFrame:
 
         for b in K.slices(batches):
             for doc_id, text in zip(K.column(b, "doc_id"), K.column(b, "text")):
-                ids = np.frombuffer(array("H", encoding.encode_ordinary(text) if text else []), np.uint16)
+                ids = encode(text) if text else np.zeros(0, np.uint16)
                 held.append((doc_id, ids, 0))
                 size += len(ids)
                 if size >= p.block * p.lanes:

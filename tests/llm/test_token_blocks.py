@@ -34,6 +34,18 @@ def test_ids_beyond_the_vocabulary_are_refused():
             T.encode_blocks([np.array(ids)], vocabulary)
 
 
+def test_ids_are_those_of_ordinary_text(documents):
+    import tiktoken
+
+    ranks = T.load_ranks(T.DEFAULT_RANKS)
+    plain, encode = tiktoken.Encoding("plain", pat_str=T.PATTERN, mergeable_ranks=ranks, special_tokens={}), T.tokenizer(ranks)
+    for text in ["", "<|endoftext|> and <|endoftext|>", "a  b \n\n c\u00a0d 漢字 \U0001f600 it's", *(r.text for r in documents.limit(100).collect() if r.text)]:
+        ids = encode(text)
+        assert ids.dtype == np.uint16 and ids.tolist() == plain.encode_ordinary(text)
+    with pytest.raises(ValueError):
+        T.tokenizer({bytes([i]): i for i in range(255)} | {b"\xff": 1 << 16})
+
+
 def test_smaller_than_general_compressors(documents):
     import lzma
 
