@@ -37,6 +37,7 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 
 _C = 64  # places that are compared with each other directly
 _FEW = 32  # blocks that are counted together
+_STEPS = 16  # ids of a block that are prepared together
 _BITS = 22  # an id's range is a whole number of 2**-22
 _START = (0.3, 0.3, 0.4, 0.3)  # weights of orders 0, 1, 2 and of none before anything is seen
 _DECAY = 0.98
@@ -77,21 +78,25 @@ def _smaller_before(perm: np.ndarray, inv: np.ndarray, flat: np.ndarray) -> np.n
             np.add.reduce(less[:j].view(np.uint8), axis=0, dtype=np.uint8, out=out[j])
         return np.ascontiguousarray(out.T).ravel()
 
-    cell = (perm >> 6).astype(np.int64)
-    cell += (np.arange(lanes)[:, None] * m + (np.arange(n) >> 6)) * m
-    h = np.bincount(cell.ravel(), minlength=lanes * m * m).astype(np.int16).reshape(lanes, m, m)
-    acc = np.zeros((lanes, m, m), np.int16)  # of lower chunks and lower buckets
-    np.cumsum(h[:, :-1], axis=1, dtype=np.int16, out=h[:, :-1])
-    np.cumsum(h[:, :-1, :-1], axis=2, dtype=np.int16, out=acc[:, 1:, 1:])
-    out = acc.ravel()[cell]
+    cell = perm >> 6
+    cell = (cell + np.arange(n) // _C * (m + 1)) * lanes  # a row and a column of zeros come first in the sums
+    cell += np.arange(lanes)[:, None]
+    h = np.bincount(cell.ravel(), minlength=(m + 1) * (m + 1) * lanes).reshape(m + 1, m + 1, lanes)
+    acc = np.zeros(h.shape, np.int16)  # of lower chunks and lower buckets
+    np.copyto(acc[1:, 1:], h[:m, :m], casting="unsafe")
+    for j in range(2, m + 1):
+        acc[j] += acc[j - 1]
+    for j in range(2, m + 1):
+        acc[:, j] += acc[:, j - 1]
+    out = acc.ravel().take(cell)
     out += inside(perm).reshape(lanes, n)
-    out += inside((inv >> 6).astype(np.uint8 if m <= 256 else np.uint16))[flat]
+    out += inside((inv >> 6).astype(np.uint8 if m <= 256 else np.uint16)).take(flat)
     return out
 
 
 def _starts(change: np.ndarray, at: np.ndarray) -> np.ndarray:
     """For each column the last one at which there was a change, the first counting as one."""
-    out = np.zeros((change.shape[0], len(at)), np.int64)
+    out = np.zeros((change.shape[0], len(at)), np.uint16)
     np.multiply(change, at[1:], out=out[:, 1:])
     return np.maximum.accumulate(out, axis=1, out=out)
 
@@ -100,45 +105,48 @@ def seen(x: np.ndarray, context: np.ndarray | None) -> np.ndarray:
     """Of the ids before each place of x (lanes, n) in the same context: how many are less than its own, equal to it, and
     all, as 16-bit numbers from the lowest on of one whole number."""
     lanes, n = x.shape
-    row, at = np.arange(lanes)[:, None] * n, np.arange(n)
-    key = x.astype(np.int64) if context is None else (context.astype(np.int64) << 16) | x
+    row, at = np.arange(lanes)[:, None] * n, np.arange(n, dtype=np.uint16)
+    key = x.astype(np.uint32 if context is None else np.int64)
+    if context is not None:
+        key |= context.astype(np.int64) << 16
     key <<= 16
     key |= at
     key.sort(axis=1)
     change = key[:, 1:] ^ key[:, :-1]
     key &= 0xFFFF
-    equal = at - _starts(change > 0xFFFF, at)
-    equal <<= 16
-    equal |= at
-    ranked = np.empty(lanes * n, np.int64)  # by place: rank, and how many equal ones before
-    ranked[row + key] = equal
+    pair = np.empty((lanes, n, 2), np.uint16)  # rank, and how many equal ones before
+    pair[..., 0] = at
+    np.subtract(at, _starts(change > 0xFFFF, at), out=pair[..., 1])
+    g = np.empty(lanes * n, np.uint32)  # by place
+    g[row + key] = pair.view(np.uint32)[..., 0]
     if context is None:
-        seq, g, start = None, ranked.reshape(lanes, n), 0
+        seq, start = None, np.uint16(0)
         inv = key.astype(np.uint16)
     else:
         start = _starts(change > 0xFFFFFFFF, at)  # by rank and in the order of contexts alike
-        by_context = (context.astype(np.uint32) << np.uint32(16)) | at.astype(np.uint32)
+        by_context = (context.astype(np.uint32) << np.uint32(16)) | at
         by_context.sort(axis=1)
         by_context &= np.uint32(0xFFFF)
         seq = row + by_context
-        g = ranked[seq]
+        g = g.take(seq)
         inv = None
-    perm = g & 0xFFFF
+    pair = g.view(np.uint16).reshape(lanes, n, 2)
+    perm, same = np.ascontiguousarray(pair[..., 0]), np.ascontiguousarray(pair[..., 1])
     flat = row + perm
     if inv is None:
         inv = np.empty(lanes * n, np.uint16)
         inv[flat] = at
         inv = inv.reshape(lanes, n)
-    perm = perm.astype(np.uint16)
     if pad := -n % _C:
         more = np.broadcast_to(np.arange(n, n + pad, dtype=np.uint16), (lanes, pad))
         perm, inv = np.concatenate([perm, more], 1), np.concatenate([inv, more], 1)
         flat = np.arange(lanes)[:, None] * (n + pad) + perm
-    less = _smaller_before(perm, inv, flat)[:, :n]
-    same = g >> 16
-    out = less - start - same
-    out |= same << 16
-    out |= (at - start).astype(np.int64) << 32
+    less = _smaller_before(perm, inv, flat)[:, :n].view(np.uint16)
+    out = np.zeros((lanes, n, 4), np.uint16)
+    np.subtract(less - start, same, out=out[..., 0])
+    out[..., 1] = same
+    np.subtract(at, start, out=out[..., 2])
+    out = out.view(np.int64)[..., 0]
     if seq is None:
         return out
     by_place = np.empty(lanes * n, np.int64)
@@ -146,13 +154,19 @@ def seen(x: np.ndarray, context: np.ndarray | None) -> np.ndarray:
     return by_place.reshape(lanes, n)
 
 
+def _late(at):
+    return (at >= 128) + (at >= 1024) * 1
+
+
 def _class(n2, n1, at):
     """Which weights an id takes: by how often its contexts stood before (0, 1, 2, 3 to 4, more), and by its place."""
-    return _STEP[np.minimum(n2, 5)] * 15 + _STEP[np.minimum(n1, 5)] * 3 + ((at >= 128) + (at >= 1024) * 1)
+    return _STEP[np.minimum(n2, 5)] * 15 + _STEP[np.minimum(n1, 5)] * 3 + _late(at)
 
 
 _STEP = np.array([0, 1, 2, 3, 3, 4])
 _CLASSES = 75
+_KIND1, _KIND2 = _class(0, np.arange(1 << 15), 0), _class(np.arange(1 << 15), 0, 0)  # parts of the class, by count
+_UNSEEN = {1: np.arange(_CLASSES) % 15 < 3, 2: np.arange(_CLASSES) < 15}  # classes of ids whose context was not seen, by order
 
 
 def _carried(digits: np.ndarray) -> bytes:
@@ -201,51 +215,76 @@ def _coded(ids: np.ndarray, counts: np.ndarray, vocabulary: int) -> tuple[list[n
     below 2**53 in floating point: rounded down they are exact.
     """
     n, lanes = ids.shape
-    weights = np.append(np.repeat(np.array(_START), _CLASSES * lanes), 0.0)  # the last is that of a context not seen yet
+    weights = np.empty((4, _CLASSES, lanes))
+    weights[...] = np.array(_START)[:, None, None]
+    weights[1, _UNSEEN[1]] = weights[2, _UNSEEN[2]] = 0.0  # of a context not seen yet, and so they stay
+    weights = np.append(weights.ravel(), 0.0)  # the last is that of order 0 at the first place
     offset = np.arange(4)[:, None] * (_CLASSES * lanes) + np.arange(lanes)
     base, width = np.zeros(lanes, np.uint64), np.full(lanes, 1 << _WIDE, np.uint64)
     narrow = np.uint16 if lanes <= 1 << 16 else np.int64  # sorted faster
     digits, lane_of = [np.zeros(0, np.uint64)], [np.zeros(0, narrow)]
     room = float((1 << _BITS) - vocabulary)
     whole = float(1 << _BITS)
-    q, r, w, both = np.empty((4, lanes)), np.empty((4, lanes)), np.empty((4, lanes)), np.empty((2, 4, lanes))
-    c, s, edge, place = np.ones((64, 4, lanes)), np.ones((64, 4, lanes)), np.empty((64, 2, 4, lanes)), np.empty((64, 4, lanes), np.int64)
+    q, r, w, both = np.empty((4, lanes)), np.empty((4, lanes)), np.empty((4, lanes)), np.empty((4, 2, lanes))
+    total, low, moved, ends, small = np.empty(lanes), np.empty((2, lanes)), np.empty(lanes, np.uint64), np.empty((2, lanes), np.uint64), np.empty(lanes, bool)
+    (w0, w1, w2, w3), (q0, q1, q2, q3), (b0, b1, b2, b3), q_twice = w, q, both, q[:, None]
+    begin, end = low
+    first, range_ = ends
+    c, s, edge, place = np.ones((_STEPS, 4, 1, lanes)), np.ones((_STEPS, 4, lanes)), np.empty((_STEPS, 4, 2, lanes)), np.empty((_STEPS, 4, lanes), np.int64)
+    c[:, 3], s[:, 3] = vocabulary, 1 / vocabulary
     for t in range(n):
-        if t % 64 == 0:
-            k = min(64, n - t)
+        if t % _STEPS == 0:
+            k = min(_STEPS, n - t)
             part = counts[t : t + k].view(np.int16).reshape(k, 3, lanes, 4)
-            c[:k, :3], c[:k, 3] = part[..., 2], vocabulary
-            kind = _class(part[:, 2, :, 2], part[:, 1, :, 2], np.arange(t, t + k)[:, None])
+            np.maximum(part[..., 2], 1, out=c[:k, :3, 0])
+            same = part[..., 1]
+            np.divide(same, c[:k, :3, 0], out=s[:k, :3])
+            kind = _KIND2[part[:, 2, :, 2]]
+            kind += _KIND1[part[:, 1, :, 2]]
+            kind += _late(np.arange(t, t + k))[:, None]
             kind *= lanes
-            s[:k, :3], s[:k, 3] = part[..., 1], 1
-            edge[:k, 0, :3], edge[:k, 0, 3] = part[..., 0], ids[t : t + k]
-            np.add(edge[:k, 0], s[:k], out=edge[:k, 1])
+            edge[:k, :3, 0] = part[..., 0]
+            np.add(edge[:k, :3, 0], same, out=edge[:k, :3, 1])
+            edge[:k, 3, 0] = ids[t : t + k]
+            np.add(edge[:k, 3, 0], 1, out=edge[:k, 3, 1])
             np.add(offset, kind[:, None, :], out=place[:k])
-            np.copyto(place[:k], len(weights) - 1, where=c[:k] == 0)
-            np.maximum(c, 1, out=c)
-            np.divide(s, c, out=s)
-        i = t % 64
+            if not t:
+                place[0, 0] = len(weights) - 1
+        i = t % _STEPS
         at = place[i]
         weights.take(at, out=w, mode="clip")
-        np.floor(np.multiply(w, room / (w[0] + w[1] + w[2] + w[3]), out=q), out=q)
-        np.subtract(whole, q[0] + q[1] + q[2], out=q[3])
-        np.floor(np.divide(np.multiply(q, edge[i], out=both), c[i], out=both), out=both)
-        begin, end = both[:, 0] + both[:, 1] + both[:, 2] + both[:, 3]
-        end -= begin
+        np.add(w0, w1, out=total)
+        np.add(total, w2, out=total)
+        np.add(total, w3, out=total)
+        np.divide(room, total, out=total)
+        np.floor(np.multiply(w, total, out=q), out=q)
+        np.add(q0, q1, out=total)
+        np.add(total, q2, out=total)
+        np.subtract(whole, total, out=q3)
+        np.multiply(q_twice, edge[i], out=both)
+        np.floor(np.divide(both, c[i], out=both), out=both)
+        np.add(b0, b1, out=low)
+        np.add(low, b2, out=low)
+        np.add(low, b3, out=low)
+        np.subtract(end, begin, out=end)
         np.divide(np.multiply(q, s[i], out=r), end, out=r)
         w *= _DECAY
         w += r
         weights[at] = w
+        ends[...] = low
         width >>= _SCALE
-        base += width * begin.astype(np.uint64)
-        width *= end.astype(np.uint64)
-        k = (width < _TOP).nonzero()[0]
+        base += np.multiply(width, first, out=moved)
+        width *= range_
+        k = np.less(width, _TOP, out=small).nonzero()[0]
         while len(k):
             b = base[k]
             lane_of.append(k.astype(narrow))
             digits.append(b >> _SHIFT)
-            base[k] = (b & _REST) << _DIGIT
-            v = width[k] << _DIGIT
+            b &= _REST
+            b <<= _DIGIT
+            base[k] = b
+            v = width[k]
+            v <<= _DIGIT
             width[k] = v
             k = k[v < _TOP]
     by = np.concatenate(lane_of)
@@ -314,15 +353,29 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+_ASCII_WHITE = bytes(32 if i == 32 or 9 <= i <= 13 else 120 for i in range(256))
+_WHITE_BEGINS = [b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a", b"\xe2\x80", b"\xe2\x81", b"\xe3\x80"]  # of white space beyond ASCII
+
+
+def single_spaced(text: str) -> bool:
+    """Whether surely no white space follows another."""
+    data = text.encode()
+    return b"  " not in data.translate(_ASCII_WHITE) and (text.isascii() or not any(x in data for x in _WHITE_BEGINS))
+
+
 def tokenizer(ranks: dict[bytes, int]) -> Callable[[str], np.ndarray]:
-    """Ids of a text. They come as a buffer, which is faster than a list; names of special tokens are text like any other."""
+    """Ids of a text. They come as a buffer, which is faster than a list; names of special tokens are text like any other.
+
+    PATTERN looks ahead only to leave the last of several white spaces to what follows. Where none follows another, it parts
+    the text as it does without that, which the library does faster.
+    """
     import tiktoken
 
     if max(ranks.values()) >= 1 << 16:
         raise ValueError("ids must fit 16 bits")
     # the search for special tokens needs one
-    encoding = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": max(ranks.values()) + 1})
-    return lambda text: encoding.encode_to_numpy(text, disallowed_special=()).astype(np.uint16)
+    whole, single = (tiktoken.Encoding("ranks", pat_str=p, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": max(ranks.values()) + 1}) for p in (PATTERN, PATTERN.replace(r"\s+(?!\S)|", "")))
+    return lambda text: (single if single_spaced(text) else whole).encode_to_numpy(text, disallowed_special=()).astype(np.uint16)
 
 
 _DOCS = pa.list_(pa.struct([("doc_id", pa.int64()), ("first", pa.int64()), ("n", pa.int32())]))

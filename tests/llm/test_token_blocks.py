@@ -46,6 +46,43 @@ def test_ids_are_those_of_ordinary_text(documents):
         T.tokenizer({bytes([i]): i for i in range(255)} | {b"\xff": 1 << 16})
 
 
+_ODD_TEXT = st.text(st.sampled_from("  \n\n\t\r\x0b\x0c\x1c\x85\xa0\u1680\u2003\u2028\u202f\u205f\u3000\u200bab's1.\u2026\u00e9\u0301\u6f22\U0001f600"), max_size=12)
+
+
+@pytest.fixture(scope="module")
+def encoders():
+    import tiktoken
+
+    ranks = T.load_ranks(T.DEFAULT_RANKS)
+    return T.tokenizer(ranks), tiktoken.Encoding("plain", pat_str=T.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+@given(_ODD_TEXT)
+@settings(max_examples=500, deadline=None)
+def test_texts_split_without_looking_ahead_have_the_same_ids(encoders, text):
+    encode, plain = encoders
+    white = [c.isspace() and c != "\x1c" for c in text]
+    if any(a and b for a, b in zip(white, white[1:])):
+        assert not T.single_spaced(text)
+    assert encode(text).tolist() == plain.encode_ordinary(text)
+
+
+def test_which_texts_are_split_without_looking_ahead():
+    assert all(map(T.single_spaced, ["", " ", "a b\nc d", "\u00e9t\u00e9 \u00e0 Z\u00fcrich", "\u6f22 \u5b57 \U0001f600"]))
+    assert not any(map(T.single_spaced, ["a  b", "a \n", "\t\tx", "a \u00a0b", "\u3000\u3000"]))
+
+
+def test_counts_in_the_longest_blocks():
+    r = np.random.default_rng(1)
+    x = np.stack([r.integers(0, 50257, 32767), r.zipf(1.3, 32767) % 50, np.arange(32767), np.zeros(32767)]).astype(np.uint16)
+    for c in (None, x % 2, x // 3):
+        less, same, count = (T.seen(x, c).view(np.int16).reshape(*x.shape, 4)[..., k] for k in range(3))
+        for i in range(4):
+            for t in (0, 1, 63, 64, 8191, 8192, 20000, 32766):
+                before = x[i, :t] if c is None else x[i, :t][c[i, :t] == c[i, t]]
+                assert (less[i, t], same[i, t], count[i, t]) == ((before < x[i, t]).sum(), (before == x[i, t]).sum(), len(before))
+
+
 def test_smaller_than_general_compressors(documents):
     import lzma
 
