@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from ..functions import text as X
+from ..functions.slices import slices, values
 
+#: Answers that a task remembers at most; of these the longest known go first.
+REMEMBERED = 20_000
 _NONE = dict(is_heading=False, level=0, confidence=0.0)
 
 
@@ -44,20 +47,24 @@ def ask(call: Callable[[str], str], texts: list[str], attempts: int = 3, pause:
     return None
 
 
-def detect(lines: DataFrame, call: Callable[[str], str], most: int = 20, tokens: int = 3000, attempts: int = 3, pause: float = 1.0) -> DataFrame:
-    """(doc_id, seq, text, is_heading, level, confidence); equal texts are asked once a task."""
+def detect(lines: DataFrame, call: Callable[[str], str], most: int = 20, tokens: int = 3000, attempts: int = 3, pause: float = 1.0, remembered: int = REMEMBERED) -> DataFrame:
+    """(doc_id, seq, text, is_heading, level, confidence); a text equal to one of the last ``remembered`` of a task isn't asked again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, dict | None] = {}
+        cache: dict[str, tuple | None] = {}
         for b in batches:
-            texts = b.column(2).to_pylist()
-            fresh = [t for t in dict.fromkeys(texts) if t is not None and t not in cache]
-            for group in K.batches(fresh, most, tokens):
-                asked = [fresh[i] for i in group]
-                cache.update(zip(asked, ask(call, asked, attempts, pause) or [None] * len(asked)))
-            got = [cache.get(t) for t in texts]
-            cols = [pa.array([g and g[k] for g in got], t) for k, t in (("is_heading", pa.bool_()), ("level", pa.int32()), ("confidence", pa.float64()))]
-            yield pa.RecordBatch.from_arrays([*b.columns, *cols], ["doc_id", "seq", "text", "h", "l", "c"])
+            for part in slices(tuple(b.columns)):
+                texts = values(part[2])
+                fresh = [t for t in dict.fromkeys(texts) if t is not None and t not in cache]
+                for group in K.batches(fresh, most, tokens):
+                    asked = [fresh[i] for i in group]
+                    got = ask(call, asked, attempts, pause)
+                    cache.update(zip(asked, [None] * len(asked) if got is None else [tuple(g.values()) for g in got]))
+                rated = [cache.get(t) or (None, None, None) for t in texts]
+                for t in list(cache)[: max(0, len(cache) - remembered)]:
+                    del cache[t]
+                cols = [pa.array(c, t) for c, t in zip(zip(*rated), (pa.bool_(), pa.int32(), pa.float64()))]
+                yield pa.RecordBatch.from_arrays([*part, *cols], ["doc_id", "seq", "text", "h", "l", "c"])
 
     out = lines.select("doc_id", "seq", "text").mapInArrow(run, f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in lines.select('doc_id', 'seq', 'text').schema)}, h boolean, l int, c double")
     rule = X.rule_heading(F.col("text"))
