@@ -2,33 +2,37 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import kernels as K
 from ..functions import patterns as P
 from ..functions import text as X
+from ..functions.slices import slices, values
 
 
 def fold(kernel: Callable, result: str, *args) -> Callable[..., Column]:
-    """A kernel over whole columns as an Arrow-batched UDF; nulls stay null."""
+    """A kernel over whole columns as an Arrow-batched UDF, in slices of a batch; nulls stay null."""
 
-    def run(*cols: pd.Series) -> pd.Series:
-        return pd.Series([None if any(v is None for v in row) else kernel(*(v.tolist() if hasattr(v, "tolist") else v for v in row), *args) for row in zip(*cols)], dtype=object)
+    def udf(n: int) -> Callable[..., Column]:
+        kind = to_arrow_type(T.DataType.fromDDL(result))
 
-    def one(a: pd.Series) -> pd.Series:
-        return run(a)
+        def run(batches):
+            for batch in batches:
+                for part in slices(batch if n > 1 else (batch,)):
+                    rows = zip(*map(values, part))
+                    yield pa.array([None if any(v is None for v in row) else kernel(*row, *args) for row in rows], kind)
 
-    def two(a: pd.Series, b: pd.Series) -> pd.Series:
-        return run(a, b)
+        run.__annotations__ = {"batches": Iterator[tuple[pa.Array, ...]] if n > 1 else Iterator[pa.Array], "return": Iterator[pa.Array]}
+        return F.arrow_udf(run, result)
 
-    one.__annotations__ = {"a": pd.Series, "return": pd.Series}
-    two.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.Series}
-    return lambda *cols: F.pandas_udf(one if len(cols) == 1 else two, result)(*cols)
+    return lambda *cols: udf(len(cols))(*cols)
 
 
 def exploded(docs: DataFrame, chunks: Column, id_col: str = "doc_id") -> DataFrame:
