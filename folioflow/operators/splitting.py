@@ -73,10 +73,10 @@ def windows(docs: DataFrame, limit: int, overlap: int = 0) -> DataFrame:
     return exploded(docs, F.transform(starts, lambda s: F.substring(F.col("text"), s + 1, F.lit(limit))))
 
 
-def slide(docs: DataFrame, limit: int = 2000, overlap: int = 200, by_sentence: bool = True) -> DataFrame:
-    """The dispatcher: texts within the limit stay whole, structured ones are cut at list marks, others by sentences or windows."""
+def slide(docs: DataFrame, limit: int = 2000, overlap: int = 200, by_sentence: bool = True, structure: bool = True) -> DataFrame:
+    """The dispatcher: texts within the limit stay whole, structured ones are cut at list marks (``structure``), others by sentences or windows."""
     _positive(limit, overlap)
-    return exploded(docs, fold(K.slide, "array<string>", limit, overlap, by_sentence)(F.col("text")))
+    return exploded(docs, fold(K.slide, "array<string>", limit, overlap, by_sentence, structure)(F.col("text")))
 
 
 def marker_sections(docs: DataFrame) -> DataFrame:
