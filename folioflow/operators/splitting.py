@@ -120,25 +120,28 @@ def repair_articles(chunks: DataFrame) -> DataFrame:
     return exploded(ordered, fold(K.repair, "array<string>")(F.col("c.content")))
 
 
-def section_parts(sections: DataFrame, limit: int, overlap: int, style: str) -> DataFrame:
+def section_parts(sections: DataFrame, limit: int, overlap: int, *styles: str) -> DataFrame:
     """Size control of sections (doc_id, seq, heading, content, level): oversize content becomes parts.
 
-    style: ``sibling`` numbers parts after the first, ``child`` gives an emptied section children one level down.
+    style: ``sibling`` numbers parts after the first, ``child`` gives an emptied section children one level down. Of several
+    styles, in one pass, each row says its own. Only content over the limit goes through the kernel.
     """
     _positive(limit, overlap)
-    big = F.length("content") > limit
-    parts = F.when(big, fold(K.slide, "array<string>", limit, overlap, True)(F.col("content")))
-    rows = sections.withColumn("parts", parts)
-    whole = rows.where(F.col("parts").isNull()).select("doc_id", "seq", F.lit(0).alias("part"), "heading", "content", "level")
-    cut = rows.where(F.col("parts").isNotNull())
-    each = cut.select("doc_id", "seq", "heading", "level", F.posexplode("parts").alias("p", "content"))
-    name = F.concat(F.col("heading"), F.format_string(" (Part %d)", F.col("p") + 1))
-    if style == "sibling":
-        out = each.select("doc_id", "seq", F.col("p").alias("part"), F.when(F.col("p") > 0, name).otherwise(F.col("heading")).alias("heading"), "content", "level")
-        return whole.unionByName(out)
-    named = F.when(F.col("heading") != "", name).otherwise(F.format_string("Part %d", F.col("p") + 1))
-    out = each.select("doc_id", "seq", (F.col("p") + 1).alias("part"), named.alias("heading"), "content", (F.col("level") + 1).alias("level"))
-    return whole.unionByName(out).unionByName(cut.select("doc_id", "seq", F.lit(0).alias("part"), "heading", F.lit("").alias("content"), "level"))
+    rows = sections.select("doc_id", "seq", "heading", "content", "level", fold(K.slide, "array<string>", limit, overlap, True)(F.when(F.length("content") > limit, F.col("content"))).alias("parts"))
+    heading, level = F.col("heading"), F.col("level")
+    row = lambda part, name, text, lv: F.struct(part.alias("part"), name.alias("heading"), text.alias("content"), lv.alias("level"))
+    name = lambda p: F.concat(heading, F.format_string(" (Part %d)", p + 1))
+
+    def cut(style: str) -> Column:
+        if style == "sibling":
+            return F.transform("parts", lambda x, p: row(p, F.when(p > 0, name(p)).otherwise(heading), x, level))
+        named = lambda p: F.when(heading != "", name(p)).otherwise(F.format_string("Part %d", p + 1))
+        return F.concat(F.array(row(F.lit(0), heading, F.lit(""), level)), F.transform("parts", lambda x, p: row(p + 1, named(p), x, level + 1)))
+
+    whole = F.array(row(F.lit(0), heading, F.col("content"), level))
+    tagged = lambda style: F.transform(F.when(F.col("parts").isNull(), whole).otherwise(cut(style)), lambda x: F.struct(x["part"].alias("part"), x["heading"].alias("heading"), x["content"].alias("content"), x["level"].alias("level"), F.lit(style).alias("style")))
+    out = rows.select("doc_id", "seq", F.explode(F.concat(*map(tagged, styles))).alias("x")).select("doc_id", "seq", "x.*")
+    return out if len(styles) > 1 else out.drop("style")
 
 
 def legal_sections(docs: DataFrame) -> DataFrame:
