@@ -9,10 +9,12 @@ BIG = HAN + "百千万"
 NUM = f"[{BIG}0-9]+"
 MARKS = "[、．.]"
 
+#: The units of levels 1 to 8, by place.
+UNITS = "编篇章节条款项目"
 #: Level -> (type, patterns without anchor). 9 (paragraph) has no pattern.
 LEVELS: dict[int, tuple[str, tuple[str, ...]]] = {
     n: (name, (f"第{NUM}{unit}",))
-    for n, name, unit in ((1, "book", "编"), (2, "part", "篇"), (3, "chapter", "章"), (4, "section", "节"), (5, "article", "条"), (6, "clause", "款"), (7, "item", "项"), (8, "subitem", "目"))
+    for n, name, unit in zip(range(1, 9), "book part chapter section article clause item subitem".split(), UNITS)
 }
 LEVELS[10] = ("enumeration", (f"（{NUM}）", rf"\({NUM}\)", f"[{BIG}]+{MARKS}"))
 LEVELS[11] = ("numbering", (f"[0-9]+{MARKS}", rf"[0-9]+\.[0-9]+{MARKS}?", r"[0-9]+\)"))

@@ -62,16 +62,8 @@ def heading_level(c: Column) -> Column:
     """1 chapter, 2 section, 3 number, 4 number in brackets or of two parts; 3 by default."""
     t = strip(c)
     h = f"[{P.HAN}0-9]+"
-    return (
-        F.when(t.rlike(f"^第{h}章"), 1)
-        .when(t.rlike(f"^第{h}节"), 2)
-        .when(t.rlike(f"^[{P.HAN}]+{P.MARKS}") | t.rlike("^[0-9]+[、．]"), 3)
-        .when(t.rlike(f"^（{h}）"), 4)
-        .when(t.rlike(r"^(?i)chapter\s+[0-9]+"), 1)
-        .when(t.rlike(r"^(?i)section\s+[0-9]+"), 2)
-        .when(t.rlike(r"^[0-9]+\.[0-9]+"), 4)
-        .otherwise(3)
-    )
+    unit = F.regexp_extract(t, f"^第{h}([章节])", 1)
+    return F.when(unit != "", F.position(unit, F.lit("章节"))).when(t.rlike(rf"^(?:（{h}）|[0-9]+\.[0-9]+)"), 4).when(t.rlike(r"^(?i)chapter\s+[0-9]+"), 1).when(t.rlike(r"^(?i)section\s+[0-9]+"), 2).otherwise(3)
 
 
 def word_heading_level(style: Column, text: Column) -> Column:
@@ -87,38 +79,35 @@ def word_heading(style: Column, text: Column) -> Column:
     return named | text.rlike(pattern) | ((F.length(text) < 100) & ~text.rlike("[。.！!？?]$"))
 
 
-def _plain_level(t: Column) -> Column:
-    out = F.when(F.lit(False), 0)
-    for n, (_, ps) in P.LEVELS.items():
+def _plain_level(t: Column, article: Column | int = 5) -> Column:
+    """By one pattern for the units and one a level beyond: a pattern a level makes methods that the JVM does not compile."""
+    unit = F.regexp_extract(t, f"^第{P.NUM}([{P.UNITS}])", 1)
+    out = F.when(unit == P.UNITS[4], article).when(unit != "", F.position(unit, F.lit(P.UNITS)))
+    for n, (_, ps) in list(P.LEVELS.items())[len(P.UNITS) :]:
         out = out.when(t.rlike(f"^(?:{'|'.join(ps)})"), n)
     return out
 
 
 def _content_article(t: Column) -> Column:
-    return (F.length(t) > 50) | contains_any(t, P.ARTICLE_WORDS)
+    return (F.length(t) > 50) | t.rlike(P.any_of(P.ARTICLE_WORDS))
 
 
 def legal_level(c: Column) -> Column:
     """Level of the first matching kind; 10 for an article that is body text, and by default."""
     t = strip(c)
-    n = _plain_level(t)
-    return F.coalesce(F.when((n == 5) & _content_article(t), 10).otherwise(n), F.lit(10))
+    return F.coalesce(_plain_level(t, F.when(_content_article(t), 10).otherwise(5)), F.lit(10))
 
 
 def legal_type(c: Column) -> Column:
-    n = _plain_level(strip(c))
-    out = F.when(F.lit(False), "")
-    for k, (name, _) in P.LEVELS.items():
-        out = out.when(n == k, name)
-    return out
+    names = [P.LEVELS.get(k, (None,))[0] for k in range(max(P.LEVELS) + 1)]
+    return F.get(F.array(*map(F.lit, names)), _plain_level(strip(c)))
 
 
 def legal_heading(c: Column, legal: bool = True, fuzzy: bool = True, custom: tuple[str, ...] = ()) -> Column:
     """Whether a line of 2 to 200 characters is a heading. An article must not look like body text."""
     t = strip(c)
     n = F.length(t)
-    others = "|".join(p for k, (_, ps) in P.LEVELS.items() if k != 5 for p in ps)
-    out = t.rlike(f"^(?:{others})") | (t.rlike(f"^{P.ARTICLE}") & ~_content_article(t))
+    out = _plain_level(t, F.when(_content_article(t), 0).otherwise(5)) > 0
     for p in custom:
         out = out | t.rlike(p)
     if not legal:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
@@ -10,7 +10,7 @@ from ..functions import text as X
 from .splitting import fold
 
 STRATEGIES = ("finest_granularity", "all_levels", "parent_only")
-_TREE = "array<struct<seq:int,element:int,parent:int,first:int,stop:int,path:array<int>,is_leaf:boolean>>"
+_TREE = "struct<element:array<int>,parent:array<int>,first:array<int>,stop:array<int>,path:array<array<int>>,is_leaf:array<boolean>>"
 
 
 def enhance(elements: DataFrame, legal: bool = True, custom: tuple[str, ...] = ()) -> DataFrame:
@@ -24,21 +24,27 @@ def build(elements: DataFrame, with_heading: bool = True, joiner: str = "\n\n")
 
     A heading closes the open sections of its level or deeper. Text before any heading goes to "Document Content". A section
     is a run of elements, from its heading to the next one, so that one gathering of a document's elements does it all: a
-    kernel sees flags and levels alone and answers with places. Elements with ``error`` give a section with it and no content.
+    kernel sees flags and levels alone and answers with places. The sections are put together before they become rows, so
+    that no section carries its whole document along. Elements with ``error`` give a section with it and no content.
     """
     bad = ["error"] if "error" in elements.columns else []
-    e = elements.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "text", "is_heading", "level"))).alias("e"), *(F.max(c).alias(c) for c in bad))
-    rows = e.withColumn("t", F.explode(fold(K.tree, _TREE)(F.col("e.is_heading"), F.col("e.level"))))
-    own, first, stop = F.col("t.element"), F.col("t.first"), F.col("t.stop")
-    text = F.col("e.text")
-    named = own >= 0
-    skip = F.when(named & F.lit(not with_heading), 1).otherwise(0)
-    return rows.select(
-        "doc_id", F.col("t.seq").alias("seq"), F.when(F.col("t.parent") >= 0, F.col("t.parent")).alias("parent_seq"), own.alias("element"), F.size("t.path").alias("depth"),
-        F.when(named, F.get(F.col("e.level"), own)).otherwise(1).alias("level"), F.when(named, F.get(text, own)).otherwise("Document Content").alias("heading"),
-        F.array_join(F.slice(text, first + skip + 1, stop - first - skip), joiner).alias("content"),
-        F.transform("t.path", lambda i: F.when(i >= 0, F.get(text, i)).otherwise("Document Content")).alias("path"), F.col("t.is_leaf").alias("is_leaf"), *bad,
-    )
+    e = elements.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("seq", "text", "is_heading", "level"))).alias("e"), *(F.max(c).alias(c) for c in bad))
+    placed = e.withColumn("t", fold(K.tree_columns, _TREE)(F.col("e.is_heading"), F.col("e.level")))
+    at = lambda i: F.get("e", i)
+
+    def section(x: Column, k: Column) -> Column:
+        own, named = x["element"], x["element"] >= 0
+        skip = F.when(named & F.lit(not with_heading), 1).otherwise(0)
+        body = F.when(x["stop"] > x["first"] + skip, F.transform(F.sequence(x["first"] + skip, x["stop"] - 1), lambda i: at(i)["text"])).otherwise(F.array().cast("array<string>"))
+        return F.struct(
+            (k + 1).alias("seq"), F.when(x["parent"] >= 0, x["parent"]).alias("parent_seq"), own.alias("element"), F.size(x["path"]).alias("depth"),
+            F.when(named, at(own)["level"]).otherwise(1).alias("level"), F.when(named, at(own)["text"]).otherwise("Document Content").alias("heading"), F.array_join(body, joiner).alias("content"),
+            F.transform(x["path"], lambda i: F.when(i >= 0, at(i)["text"]).otherwise("Document Content")).alias("path"), x["is_leaf"].alias("is_leaf"),
+        )
+
+    fields = F.arrays_zip(*(F.col(f"t.{k}") for k in ("element", "parent", "first", "stop", "path", "is_leaf")))
+    rows = placed.select("doc_id", F.explode(F.transform(fields, section)).alias("s"), *bad)
+    return rows.select("doc_id", "s.*", *bad)
 
 
 def flatten(sections: DataFrame, strategy: str = "finest_granularity") -> DataFrame:
