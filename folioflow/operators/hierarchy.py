@@ -98,16 +98,27 @@ def pattern_sections(docs: DataFrame, unit: str = "line") -> DataFrame:
     unit ``line``: legal headings among lines; what precedes the first has no heading and level 0. ``paragraph``: the same
     among paragraphs, with general levels and "Document Content" at level 1.
     """
-    mark, joiner = ("\n", "\n") if unit == "line" else ("\n\n", "\n\n")
-    parts = docs.select("doc_id", F.posexplode(F.split("text", mark)).alias("i", "t")).withColumn("t", X.strip(F.col("t"))).where("t != ''")
-    level = X.legal_level(F.col("t")) if unit == "line" else X.heading_level(F.col("t"))
-    head = parts.withColumn("h", X.legal_heading(F.col("t"))).withColumn("level", level)
-    w = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    g = head.withColumn("seq", F.sum(F.col("h").cast("int")).over(w).cast("int"))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("h"), F.struct("i", "t")))), lambda x: x["t"]), joiner)
-    s = g.groupBy("doc_id", "seq").agg(F.max(F.when(F.col("h"), F.col("t"))).alias("heading"), body.alias("content"), F.max(F.when(F.col("h"), F.col("level"))).alias("level"))
-    name, top = ("", 0) if unit == "line" else ("Document Content", 1)
-    return s.select("doc_id", "seq", F.coalesce("heading", F.lit(name)).alias("heading"), "content", F.coalesce("level", F.lit(top)).alias("level"))
+    return _pattern_sections(docs, F.lit(unit == "line"))
+
+
+def _pattern_sections(docs: DataFrame, by_line: Column) -> DataFrame:
+    """A document's sections are made in its row, so that no lines are sorted: a heading's runs to the next one."""
+    mark = F.when(by_line, "\n").otherwise("\n\n")
+    lines = F.filter(F.transform(F.split("text", mark), X.strip), lambda x: x != "")
+    rated = docs.select("doc_id", by_line.alias("by_line"), F.transform(lines, lambda x: F.struct(x.alias("t"), X.legal_heading(x).alias("h"))).alias("z")).where(F.size("z") > 0)
+    led = F.get("z", F.lit(0))["h"]
+    heads = F.filter(F.sequence(F.lit(0), F.size("z") - 1), lambda i: F.get("z", i)["h"])
+    placed = rated.select("doc_id", "by_line", "z", led.alias("led"), F.when(led, heads).otherwise(F.concat(F.array(F.lit(-1)), heads)).alias("b"))
+
+    def section(own: Column, k: Column) -> Column:
+        stop = F.coalesce(F.get("b", k + 1), F.size("z"))
+        t = F.get("z", own)["t"]
+        body = F.transform(F.when(stop > own + 1, F.sequence(own + 1, stop - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.get("z", i)["t"])
+        body = F.when(F.col("by_line"), F.array_join(body, "\n")).otherwise(F.array_join(body, "\n\n"))
+        name, level = F.when(F.col("by_line"), "").otherwise("Document Content"), F.when(F.col("by_line"), X.legal_level(t)).otherwise(X.heading_level(t))
+        return F.struct((k + F.col("led").cast("int")).alias("seq"), F.when(own >= 0, t).otherwise(name).alias("heading"), body.alias("content"), F.when(own >= 0, level).when(F.col("by_line"), 0).otherwise(1).alias("level"))
+
+    return placed.select("doc_id", F.explode(F.transform("b", section)).alias("s")).select("doc_id", "s.*")
 
 
 def single_section(docs: DataFrame) -> DataFrame:
@@ -115,14 +126,11 @@ def single_section(docs: DataFrame) -> DataFrame:
 
 
 def pdf_sections(docs: DataFrame) -> DataFrame:
-    """The cascade for page text: line patterns if a document has headings, else paragraphs, else one section.
+    """The cascade for page text: line patterns if a document has headings, else paragraphs; a text without either is blank.
 
     Which attempt a document takes is decided in its row, so that no attempt is computed for nothing or joined away.
     """
-    some = lambda mark, test: F.coalesce(F.exists(F.split("text", mark), lambda x: test(X.strip(x))), F.lit(False))
-    marked = docs.withColumn("kind", F.when(some("\n", X.legal_heading), "line").when(some("\n\n", lambda t: t != ""), "paragraph").otherwise("single"))
-    parts = [pattern_sections(marked.where(F.col("kind") == k), k) for k in ("line", "paragraph")]
-    return parts[0].unionByName(parts[1]).unionByName(single_section(marked.where("kind = 'single'")))
+    return _pattern_sections(docs, F.coalesce(F.exists(F.split("text", "\n"), lambda x: X.legal_heading(X.strip(x))), F.lit(False)))
 
 
 def preorder(sections: DataFrame) -> DataFrame:
