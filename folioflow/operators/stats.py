@@ -7,8 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import kernels as K
 from ..functions import patterns as P
 from ..functions import text as X
+from .splitting import fold
 
 BUCKETS = ((50, "0-50"), (100, "51-100"), (200, "101-200"), (300, "201-300"), (500, "301-500"))
 
@@ -64,9 +66,7 @@ def batch_counters(files: DataFrame) -> DataFrame:
 def overlaps(chunks: DataFrame, least: int = 10) -> DataFrame:
     """Chunks that share a run of ``least`` characters with the chunk before."""
     before = F.lag("content").over(Window.partitionBy("doc_id").orderBy("chunk_id"))
-    last = F.length("before") - least + 1
-    runs = F.when(last > 0, F.sequence(F.lit(1), last))
-    shared = F.exists(runs, lambda i: F.col("content").contains(F.substring("before", i, F.lit(least))))
+    shared = fold(K.share_run, "boolean", least)(F.col("before"), F.col("content"))
     return chunks.withColumn("before", before).where(F.coalesce(shared, F.lit(False))).drop("before")
 
 
