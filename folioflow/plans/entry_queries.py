@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import re
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
@@ -249,19 +248,13 @@ def s30_workbook_files(spark, sf):
 @query(f"with {Q.LEGAL} select doc_id, md5(text) as hash from legal")
 def s13_rtf_files(spark, sf):
     d = _legal_lists(spark, sf)
-    parse = _rtf_text()
-    return d.select("doc_id", F.md5(parse(renderers.rtf(F.col("lines")))).alias("hash"))
+    return d.select("doc_id", F.md5(C.fold(rtf.parse, "string")(renderers.rtf(F.col("lines")))).alias("hash"))
 
 
 @query(f"with {Q.LEGAL} select doc_id, md5(replace(text, '||', chr(10) || chr(10))) as hash from ({Q._REFLOWED})")
 def o5_best_rtf_text(spark, sf):
     """The best of the candidates for a file's text, with its lines set again."""
-
-    @F.pandas_udf("string")
-    def best(data: pd.Series) -> pd.Series:
-        return data.map(rtf.extract)
-
-    return _legal_lists(spark, sf).select("doc_id", F.md5(best(renderers.rtf(F.col("lines")))).alias("hash"))
+    return _legal_lists(spark, sf).select("doc_id", F.md5(C.fold(rtf.extract, "string")(renderers.rtf(F.col("lines")))).alias("hash"))
 
 
 def _starts_with_a_mark(asked: str) -> str:
@@ -282,14 +275,6 @@ def c24_rtf_articles(spark, sf):
     return Q.legal_docs(spark, sf).select("doc_id", F.posexplode(parts).alias("seq", "s")).select("doc_id", "seq", "s.heading", F.md5("s.content").alias("content"))
 
 
-def _rtf_text():
-    @F.pandas_udf("string")
-    def text(data: pd.Series) -> pd.Series:
-        return data.map(rtf.parse)
-
-    return text
-
-
 def workbook_files(spark, sf):
     """Workbooks of the cells of all nations of a region."""
     c = Q.cells(spark, sf).where("value is not null")
