@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from ..functions import text as X
+from ..functions.slices import slices, values
 from . import docx, ole, pdf, rtf, xlsx
 
 EXCEL = ("xlsx", "xls", "xlsm", "xltx", "xltm")
@@ -104,9 +105,9 @@ def extract_text(files: DataFrame, extractors: dict[str, Callable[[bytes], str]]
     """(path, text, error): a failure is reported, not hidden behind an empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for part in (p for b in batches for p in slices(tuple(b.columns))):
             texts, errors = [], []
-            for fmt, data, bad in zip(*(b.column(i).to_pylist() for i in (1, 2, 3))):
+            for fmt, data, bad in zip(*map(values, part[1:])):
                 text = None
                 if bad is None:
                     try:
@@ -115,7 +116,7 @@ def extract_text(files: DataFrame, extractors: dict[str, Callable[[bytes], str]]
                         bad = f"{type(e).__name__}: {e}"
                 texts.append(text)
                 errors.append(bad)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(errors, pa.string())], ["path", "text", "error"])
+            yield pa.RecordBatch.from_arrays([part[0], pa.array(texts, pa.string()), pa.array(errors, pa.string())], ["path", "text", "error"])
 
     return validated(files).select("path", "format", "content", "error").mapInArrow(run, "path string, text string, error string")
 
@@ -126,9 +127,9 @@ def _rows(files: DataFrame, parse: Callable[[bytes, str], list[tuple]], schema:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = _arrow(schema)
-        for b in batches:
+        for part in (p for b in batches for p in slices(tuple(b.columns))):
             out = []
-            for path, data, fmt, bad in zip(*(c.to_pylist() for c in b.columns)):
+            for path, data, fmt, bad in zip(*map(values, part)):
                 if bad is None:
                     try:
                         out += [(path, *r, None) for r in parse(data, fmt)]
@@ -217,9 +218,9 @@ def converted(files: DataFrame, converters: dict[str, tuple[str, Callable[[bytes
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for part in (p for b in batches for p in slices(tuple(b.columns))):
             out = []
-            for path, fmt, data in zip(*(c.to_pylist() for c in b.columns)):
+            for path, fmt, data in zip(*map(values, part)):
                 meta, bad = None, None
                 if fmt in converters:
                     target, f = converters[fmt]
